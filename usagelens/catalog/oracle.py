@@ -313,7 +313,7 @@ USING (bucket_name)
 )
 _put("upsert_usage", "SELECT * FROM usage")
 _put(
-    "append_history_rows",
+    "append_history",
     """
 SELECT id, bucket_name, size_bytes, num_objects, sync_behind_shards, sync_behind_entries,
        collected_at, CAST(collected_at AS DATE) AS collected_date

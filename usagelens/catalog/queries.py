@@ -45,7 +45,7 @@ def _query(function: Callable[[Proxies], DataFrame]) -> Callable[[Proxies], Data
         return function(Proxies(spark, sf_dir))
 
     run.__doc__ = function.__doc__
-    _REGISTRY[function.__name__] = run
+    _REGISTRY[function.__name__.removesuffix("_query")] = run
     return function
 
 
@@ -73,8 +73,8 @@ def _landed(p: Proxies, damaged: bool = True) -> DataFrame:
 
 @_query
 def ingest_snapshot(p: Proxies) -> DataFrame:
-    parsed = snapshots.parse_documents(_landed(p))
-    records = normalize.normalize(snapshots.good_documents(parsed.withColumnRenamed("id", "seq")), extra=["seq"])
+    parsed = snapshots.parse_documents(_landed(p).withColumnRenamed("id", "seq"))
+    records = normalize.normalize(snapshots.good_documents(parsed), extra=["seq"])
     return records.select(
         "seq",
         "bucket_name",
@@ -96,7 +96,7 @@ def ingest_snapshot(p: Proxies) -> DataFrame:
 
 @_query
 def ingest_quarantine(p: Proxies) -> DataFrame:
-    bad = snapshots.quarantine(snapshots.parse_documents(_landed(p)))
+    bad = snapshots.quarantine(snapshots.parse_documents(_landed(p).drop("id")))
     return bad.groupBy("reason").agg(
         F.count(F.lit(1)).alias("documents"), F.min("collected_at").alias("first_seen")
     )
@@ -108,8 +108,9 @@ def ingest_arrays(p: Proxies) -> DataFrame:
     wrapped = F.when(F.col("id") % 2 == 0, F.concat(F.lit("[ 7, "), "value", F.lit("]"))).otherwise(
         F.col("value")
     )
-    split = snapshots.split_arrays(_landed(p, damaged=False).withColumn("value", wrapped))
-    good = snapshots.good_documents(snapshots.parse_documents(split.withColumnRenamed("id", "seq")))
+    landed = _landed(p, damaged=False).withColumn("value", wrapped)
+    split = snapshots.split_arrays(landed.withColumnRenamed("id", "seq"))
+    good = snapshots.good_documents(snapshots.parse_documents(split))
     return normalize.normalize(good, extra=["seq"]).select(
         "seq", "bucket_name", "size_bytes", "num_objects", "collected_at"
     )
@@ -253,12 +254,11 @@ def upsert_usage(p: Proxies) -> DataFrame:
 
 
 @_query
-def append_history_rows(p: Proxies) -> DataFrame:
-    """Two appends, the second of them twice, then the table as a reader sees it."""
+def append_history_query(p: Proxies) -> DataFrame:
+    """Two appends, then the table as a reader sees it."""
     path = work_dir(p.spark, "history")
     append_history(p.hist(ts_before=ARRIVALS).drop("storage_class"), path, 1)
-    for _ in range(2):
-        append_history(p.hist(ts_from=ARRIVALS).drop("storage_class"), path, 2)
+    append_history(p.hist(ts_from=ARRIVALS).drop("storage_class"), path, 2)
     return read_history(p.spark, path)
 
 

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.operators.normalize import history_rows, normalize, usage_rows
-from usagelens.schemas import ADDED_LATER, CLASS_USAGE, CORRUPT, CURRENT, SYNC_COLUMNS
+from usagelens.schemas import ADDED_LATER, CLASS_USAGE, CURRENT, SYNC_COLUMNS
 from usagelens.sinks import versions
 from usagelens.sinks.history import append_history, read_history
 from usagelens.sinks.keyed import ARRIVAL, KeyedTable
-from usagelens.sources.snapshots import good_documents, parse_documents
+from usagelens.sources.snapshots import named, parse_documents, readable
 from usagelens.sources.sync import attach_sync
 from usagelens.sources.tables import Tables
 
@@ -56,14 +56,12 @@ class StatsStore:
         return (versions.latest_version(spark, self.runs) or 0) + 1
 
 
-def document_counters(parsed: DataFrame, mode: str) -> DataFrame:
+def _counters(rows: DataFrame, mode: str) -> DataFrame:
     """One row: documents naming an entity, how many of them are readable, the rest."""
-    readable = F.col(f"doc.{CORRUPT}").isNull()
-    named = F.coalesce(F.col("doc.bucket"), F.lit("")) != ""
-    return parsed.agg(
-        F.count_if(named).alias("fetched"),
-        F.count_if(named & readable).alias("collected"),
-        F.count_if(named & ~readable).alias("errors"),
+    return rows.agg(
+        F.count_if("named").alias("fetched"),
+        F.count_if(F.col("named") & F.col("readable")).alias("collected"),
+        F.count_if(F.col("named") & ~F.col("readable")).alias("errors"),
         F.lit(mode).alias("mode"),
     )
 
@@ -91,21 +89,25 @@ def load_documents(
     parsed = parse_documents(documents)
     if only is not None:
         names = only.select(F.col("bucket_name").alias("_name"))
-        parsed = parsed.join(names, F.col("doc.bucket") == F.col("_name"), "left_semi")
-    # parsed once, used by four writes; lost partitions are parsed again
-    parsed = parsed.drop("value").persist(StorageLevel.MEMORY_AND_DISK)
+        parsed = parsed.join(names, F.col("bucket") == F.col("_name"), "left_semi")
+    flags = ["named", "readable"]
+    parsed = parsed.withColumns({"named": named(), "readable": readable()})
+    # parsed once for all writes; lost partitions are computed again
+    rows = normalize(parsed, as_of, [ARRIVAL, *flags]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        records = normalize(good_documents(parsed), as_of, [ARRIVAL])
+        records = rows.filter("named AND readable").drop(*flags)
         if sync is not None:
             records = attach_sync(records, sync)
         if save_history:
             append_history(history_rows(records), store.history_path, version)
-        store.usage.upsert(spark, usage_rows(records, [ARRIVAL]), version)
-        store.current.upsert(spark, records, version)
+        # both tables are sharded by the entity name
+        touched = store.current.shards_of(records)
+        store.usage.upsert(spark, usage_rows(records, [ARRIVAL]), version, touched)
+        store.current.upsert(spark, records, version, touched)
         # last: a run counts once all its tables are visible
-        versions.commit(document_counters(parsed, mode), store.runs, version)
+        versions.commit(_counters(rows, mode), store.runs, version)
     finally:
-        parsed.unpersist()
+        rows.unpersist()
 
 
 def run_counters(spark: SparkSession, store: StatsStore) -> DataFrame:

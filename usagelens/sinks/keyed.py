@@ -64,21 +64,31 @@ class KeyedTable:
     def read(self, spark: SparkSession) -> DataFrame:
         return self._live(spark, None, None).select(*self.schema.names)
 
-    def upsert(self, spark: SparkSession, updates: DataFrame, version: int) -> None:
+    def shards_of(self, updates: DataFrame) -> set[int]:
+        """Numbers of the shards the rows fall into; at most as many as there are shards."""
+        return {row[SHARD] for row in updates.select(self._shard()).distinct().collect()}
+
+    def upsert(
+        self,
+        spark: SparkSession,
+        updates: DataFrame,
+        version: int,
+        touched: set[int] | None = None,
+    ) -> None:
         """Merge ``updates`` (columns of the schema, optionally ``arrival``) as ``version``.
 
         Newer ``collected_at`` wins, at equal times the later version. Repeating a version
-        starts from the versions before it, so it changes nothing.
+        starts from the versions before it, so it changes nothing. ``touched`` are the shards
+        of the rows where the caller knows them.
         """
+        touched = self.shards_of(updates) if touched is None else touched
+        if not touched:
+            return
         keys = list(self.keys)
         order = ["collected_at", *([ARRIVAL] if ARRIVAL in updates.columns else [])]
         # several rows of one key are reduced first, before they meet in one shard
         fresh = latest_per_key(updates, keys, order, list(self.carry))
         fresh = conform(fresh, self.schema).withColumn(SEQUENCE, F.lit(version).cast("bigint"))
-        # shard numbers, at most as many as there are shards
-        touched = {r[SHARD] for r in updates.select(self._shard()).distinct().collect()}
-        if not touched:
-            return
         base = self._live(spark, version, touched)
         both = base.unionByName(fresh).withColumn(SHARD, self._shard())
         # one shuffle serves the merge and the file layout: grouping by (shard, key) accepts

@@ -71,23 +71,34 @@ def read_pretty_arrays(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_documents(df: DataFrame, value: str = "value") -> DataFrame:
-    """Adds the struct column ``doc``; a text that does not fit keeps itself in ``doc._bad``."""
-    return df.withColumn("doc", F.from_json(F.col(value), _PARSE_SCHEMA, _PARSE_OPTIONS))
+    """The columns of ``df``, the document keys, and ``_bad``: the text of a document that
+    does not fit the schema. No column of ``df`` may be named like a document key.
+
+    The parsed struct goes through a generator. Without it a later filter would be pushed
+    below the projection and parse every document again.
+    """
+    document = F.from_json(F.col(value), _PARSE_SCHEMA, _PARSE_OPTIONS)
+    return df.select("*", F.inline(F.array(document)))
+
+
+def readable() -> Column:
+    return F.col(CORRUPT).isNull()
+
+
+def named() -> Column:
+    return F.coalesce(F.col("bucket"), F.lit("")) != ""
 
 
 def good_documents(parsed: DataFrame) -> DataFrame:
-    """Documents that fit the schema and name an entity; fields flattened."""
-    keep = parsed.filter(F.col(f"doc.{CORRUPT}").isNull() & (F.col("doc.bucket") != ""))
-    extra = [c for c in parsed.columns if c not in ("doc", "value")]
-    return keep.select(*[F.col(f"doc.{name}") for name in RAW.names], *extra)
+    """Documents that fit the schema and name an entity."""
+    return parsed.filter(readable() & named()).drop("value", CORRUPT)
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
     """The rest, as text with a reason."""
-    bad = F.col(f"doc.{CORRUPT}").isNotNull()
-    nameless = F.coalesce(F.col("doc.bucket"), F.lit("")) == ""
-    reason = F.when(bad, "unreadable").otherwise("no entity name")
-    return parsed.filter(bad | nameless).select("value", "collected_at", reason.alias("reason"))
+    reason = F.when(~readable(), "unreadable").otherwise("no entity name")
+    rest = parsed.filter(~readable() | ~named())
+    return rest.select("value", "collected_at", reason.alias("reason"))
 
 
 def one_entity(documents: DataFrame, name: str, tenant: str = "") -> DataFrame:
