@@ -1,0 +1,229 @@
+"""Landing files through to tables, serving snapshot and reports; batch and stream."""
+
+from __future__ import annotations
+
+import json
+import os
+from datetime import timedelta
+
+import pytest
+from conftest import NOW, rows_of
+from pyspark.sql import functions as F
+
+from usagelens.lens import Lens
+from usagelens.operators import listing, summary, worklist
+from usagelens.plans import refresh, serving
+from usagelens.sinks import versions
+from usagelens.sources import snapshots
+from usagelens.streaming.refresh import refresh_folder
+
+STALE = 60
+
+
+def document(name: str, size: int = 1024) -> dict:
+    usage = {"main": {"size": size, "size_actual": size, "num_objects": len(name)}}
+    return {"bucket": name, "owner": f"user-{sum(map(ord, name)) % 10}", "id": f"id-{name}", "usage": usage}
+
+
+def documents(spark, names, at, size=1024):
+    rows = [(json.dumps(document(n, size)), at) for n in names]
+    return spark.createDataFrame(rows, "value string, collected_at timestamp_ntz")
+
+
+def inventory(spark, names):
+    return spark.createDataFrame(list(enumerate(names)), "pos int, bucket_name string")
+
+
+@pytest.fixture
+def store(tmp_path):
+    return refresh.StatsStore(str(tmp_path / "store"), shards=4)
+
+
+def collect(spark, store, names, now, limit=None):
+    """One cycle: plan, collect what is due, return how much was collected."""
+    cur, inv = store.current.read(spark), inventory(spark, names)
+    due = worklist.refresh_worklist(inv, cur, now, STALE, limit)
+    if due.isEmpty():
+        return 0
+    # the admin tool is asked for the names on the list
+    fetched = documents(spark, [r.bucket_name for r in due.collect()], now)
+    return refresh.incremental_refresh(spark, store, fetched, due).first().collected
+
+
+def test_collection_cycles(spark, store):
+    names = [f"test-bucket-{i:04d}" for i in range(50)]
+    assert collect(spark, store, names, NOW, limit=10) == 10
+    assert store.current.read(spark).count() == 10
+    assert collect(spark, store, names, NOW) == 40
+    assert collect(spark, store, names, NOW) == 0
+    old = documents(spark, names[:1], NOW - timedelta(minutes=10))
+    other = refresh.StatsStore(store.root + "-2", shards=4)
+    refresh.bulk_refresh(spark, other, documents(spark, names[1:], NOW).unionByName(old))
+    assert collect(spark, other, names, NOW) == 1
+    assert collect(spark, other, names, NOW) == 0
+
+
+def test_workflow(spark, store):
+    names = [f"project-a-bucket-{i}" for i in range(30)] + [f"project-b-bucket-{i}" for i in range(20)]
+    counters = refresh.bulk_refresh(spark, store, documents(spark, names, NOW)).first()
+    assert counters.asDict() == {"fetched": 50, "collected": 50, "errors": 0, "mode": "bulk"}
+    tables = store.tables(spark, inventory(spark, names))
+    lens = Lens(tables, NOW)
+    assert lens.cluster_summary().first().total_buckets == 50
+    assert lens.top_by_size(5).count() == 5
+    assert sum(r.bucket_count for r in lens.summary_by_owner().collect()) == 50
+    assert rows_of(lens.storage_class_distribution())[0][:2] == ("main", 50)
+    assert lens.refresh_plan().first().mode == "none"
+    assert lens.entity_details("project-a-bucket-3").first().storage_classes == ["main"]
+    assert lens.entity_history("project-a-bucket-3").count() == 1
+    assert lens.sql("SELECT count(*) AS n FROM bucket_stats_history").first().n == 50
+    assert refresh.run_counters(spark, store).count() == 1
+
+
+def test_bulk_counts_errors_and_keeps_the_rest(spark, store):
+    good = documents(spark, ["a", "b"], NOW)
+    bad = spark.createDataFrame(
+        [('{"bucket": "c", "num_shards": "x"}', NOW), ('{"owner": "o"}', NOW), ("{broken", NOW)],
+        good.schema,
+    )
+    counters = refresh.bulk_refresh(spark, store, good.unionByName(bad)).first()
+    assert (counters.fetched, counters.collected, counters.errors) == (3, 2, 1)
+    assert store.current.read(spark).count() == 2
+
+
+def test_bulk_with_nothing(spark, store):
+    counters = refresh.bulk_refresh(spark, store, documents(spark, ["a"], NOW).limit(0)).first()
+    assert (counters.fetched, counters.collected, counters.errors) == (0, 0, 0)
+    assert store.current.read(spark).count() == 0
+
+
+def test_sync_status_survives_a_refresh_without_it(spark, store):
+    schema = "bucket_name string, sync_status string, sync_behind_shards int, sync_behind_entries int, sync_source_zone string"
+    status = spark.createDataFrame([("a", "behind", 3, 4, "z")], schema)
+    refresh.bulk_refresh(spark, store, documents(spark, ["a", "b"], NOW), sync=status)
+    refresh.bulk_refresh(spark, store, documents(spark, ["a", "b"], NOW + timedelta(1), size=5))
+    got = store.current.read(spark).select("bucket_name", "size_bytes", "sync_status", "sync_behind_shards")
+    assert sorted(rows_of(got)) == [("a", 5, "behind", 3), ("b", 5, None, None)]
+
+
+def test_incremental_equals_bulk(spark, store):
+    names = [f"b{i}" for i in range(12)]
+    later = documents(spark, names, NOW + timedelta(1), size=9)
+    refresh.bulk_refresh(spark, store, documents(spark, names, NOW))
+    for part in (names[:5], names[5:]):
+        refresh.incremental_refresh(spark, store, later, inventory(spark, part))
+    whole = refresh.StatsStore(store.root + "-2", shards=4)
+    refresh.bulk_refresh(spark, whole, documents(spark, names, NOW))
+    refresh.bulk_refresh(spark, whole, later)
+    for pick in [lambda s: s.current.read(spark), lambda s: s.usage.read(spark)]:
+        assert sorted(map(str, rows_of(pick(store)))) == sorted(map(str, rows_of(pick(whole))))
+
+
+def test_serving(spark, make_cur, tmp_path):
+    root = str(tmp_path / "serving")
+    assert serving.read_section(spark, root, "summary") is None
+    assert serving.serving_age(spark, root, NOW) is None
+    cur = make_cur(
+        *[
+            {"bucket_name": f"b{i}", "owner": "o", "size_bytes": i, "sync_status": "synced", "collected_at": NOW}
+            for i in range(5)
+        ]
+    )
+    serving.publish_serving(cur.limit(0), root, 1, NOW - timedelta(seconds=30))
+    serving.publish_serving(cur, root, 2, NOW - timedelta(seconds=10))
+    assert serving.serving_age(spark, root, NOW).first().age_seconds == 10.0
+    top = serving.read_section(spark, root, "top_by_size", 2)
+    assert [(r.bucket_name, r.size_bytes) for r in top.collect()] == [("b4", 4), ("b3", 3)]
+    everything = serving.read_section(spark, root, "all_buckets")
+    assert [r.bucket_name for r in everything.collect()] == [f"b{i}" for i in range(5)]
+    row = serving.read_section(spark, root, "summary").first()
+    assert (row.total_buckets, row.oldest_collection) == (5, str(NOW))
+    assert rows_of(serving.read_section(spark, root, "sync_summary")) == [("synced", 5)]
+    assert rows_of(serving.read_section(spark, root, "freshness")) == [("fresh_10m", 5)]
+    # a version without a commit is not seen
+    serving.serving_snapshot(cur.limit(1), NOW).write.partitionBy("section").parquet(
+        versions.data_path(root, 3)
+    )
+    assert serving.read_section(spark, root, "summary").first().total_buckets == 5
+
+
+def _land(folder, name, docs, mtime):
+    folder.mkdir(exist_ok=True)
+    path = folder / name
+    path.write_text("\n".join(d if isinstance(d, str) else json.dumps(d) for d in docs))
+    os.utime(path, (mtime, mtime))
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    landing = tmp_path / "landing"
+    _land(landing, "1.json", [document(f"b{i}", 10) for i in range(8)], 1_700_000_000)
+    _land(landing, "2.json", [document(f"b{i}", 20) for i in range(4)] + ["{broken"], 1_700_000_300)
+    streamed = refresh.StatsStore(str(tmp_path / "streamed"), shards=4)
+    served = str(tmp_path / "serving")
+
+    def run():
+        query = refresh_folder(
+            spark, str(landing), streamed, str(tmp_path / "checkpoint"), files_per_trigger=1,
+            serving_root=served, as_of=NOW, once=True,
+        )
+        query.awaitTermination()
+
+    run()
+    assert refresh.run_counters(spark, streamed).count() == 2
+    # restarted from its checkpoint, it takes only what is new
+    _land(landing, "3.json", [document("b7", 30), document("late", 1)], 1_700_000_600)
+    run()
+    assert refresh.run_counters(spark, streamed).count() == 3
+    batch = refresh.StatsStore(str(tmp_path / "batch"), shards=4)
+    refresh.bulk_refresh(spark, batch, snapshots.read_lines(spark, str(landing)))
+
+    for pick in [
+        lambda t: t.cur,
+        lambda t: t.usage,
+        lambda t: t.hist.select("bucket_name", "size_bytes", "collected_at"),
+    ]:
+        left, right = pick(streamed.tables(spark)), pick(batch.tables(spark))
+        assert sorted(map(str, rows_of(left))) == sorted(map(str, rows_of(right)))
+    assert streamed.tables(spark).hist.count() == 14
+    newest = serving.read_section(spark, served, "summary").first()
+    assert (newest.total_buckets, newest.total_size_bytes) == (9, 4 * 20 + 3 * 10 + 30 + 1)
+
+
+def test_replayed_batch_changes_nothing(spark, store):
+    first = documents(spark, ["a", "b"], NOW)
+    second = documents(spark, ["b", "c"], NOW + timedelta(1), size=7)
+    refresh.load_documents(spark, store, first, 1)
+    refresh.load_documents(spark, store, second, 2)
+    before = sorted(map(str, rows_of(store.current.read(spark))))
+    count = store.tables(spark).hist.count()
+    refresh.load_documents(spark, store, second, 2)
+    assert sorted(map(str, rows_of(store.current.read(spark)))) == before
+    assert store.tables(spark).hist.count() == count == 4
+
+
+def test_run_that_died_half_way_is_repeated(spark, store, monkeypatch):
+    refresh.load_documents(spark, store, documents(spark, ["a"], NOW), 1)
+    second = documents(spark, ["a", "b"], NOW + timedelta(1), size=7)
+
+    def lost(*_):
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(store.current), "upsert", lost)
+        with pytest.raises(RuntimeError):
+            refresh.load_documents(spark, store, second, 2)
+    assert store.next_version(spark) == 2
+    refresh.load_documents(spark, store, second, 2)
+    got = store.current.read(spark).select("bucket_name", "size_bytes")
+    assert sorted(rows_of(got)) == [("a", 7), ("b", 7)]
+    assert store.tables(spark).hist.count() == 3
+
+
+def test_stale_rows_after_a_run(spark, store):
+    refresh.bulk_refresh(spark, store, documents(spark, ["a", "b"], NOW))
+    cur = store.current.read(spark)
+    assert listing.stale_for_refresh(cur, NOW, STALE).count() == 0
+    later = NOW + timedelta(seconds=STALE + 1)
+    assert listing.stale_for_refresh(cur, later, STALE).count() == 2
+    assert summary.stale_count(cur, later, STALE).first().stale_count == 2
+    assert cur.filter(F.col("usage").isNull()).count() == 0
