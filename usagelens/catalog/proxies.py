@@ -16,6 +16,18 @@ from usagelens.functions.times import ntz
 from usagelens.operators.maintenance import latest_per_key
 from usagelens.schemas import CLASS_USAGE, CURRENT, USAGE
 
+# Columns of the driver's tables that the proxies use. With a given schema a read needs no
+# job that looks into a file first.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, "
+    "l_extendedprice double, l_shipdate timestamp_ntz",
+}
+
 AS_OF = datetime(2024, 1, 31)
 AS_OF_LINEITEM = datetime(2001, 11, 5)
 
@@ -28,7 +40,7 @@ class Proxies:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _events(self, ts_from: datetime | None = None, ts_before: datetime | None = None):
         events = self.table("events")

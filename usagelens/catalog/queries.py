@@ -294,7 +294,7 @@ def stream_refresh(p: Proxies) -> DataFrame:
     """The whole event stream applied in micro-batches; the final current rows."""
     store = _store(p)
     events = (
-        p.spark.readStream.schema(p.table("events").schema)
+        p.spark.readStream.schema(px.SCHEMAS["events"])
         .option("pathGlobFilter", "events.parquet")
         .parquet(p.sf_dir)
     )

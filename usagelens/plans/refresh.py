@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,23 @@ def _counters(rows: DataFrame, mode: str) -> DataFrame:
     )
 
 
+def _run_together(spark: SparkSession, jobs: list[Callable[[], None]]) -> None:
+    """Submit independent jobs at the same time, so that one fills the gaps of another."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        for job in running:
+            job.result()
+
+
+def _spread(documents: DataFrame) -> DataFrame:
+    """A landing of a few files that cannot be split would be parsed by as few tasks; its
+    texts are handed round first. A landing with enough partitions is left as it is.
+    """
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    few = documents.rdd.getNumPartitions() < cores
+    return documents.repartition(cores) if few else documents
+
+
 def load_documents(
     spark: SparkSession,
     store: StatsStore,
@@ -86,7 +105,7 @@ def load_documents(
     if ARRIVAL not in documents.columns:
         # no order among documents of one file: any fixed one will do
         documents = documents.withColumn(ARRIVAL, F.xxhash64("value"))
-    parsed = parse_documents(documents)
+    parsed = parse_documents(_spread(documents))
     if only is not None:
         names = only.select(F.col("bucket_name").alias("_name"))
         parsed = parsed.join(names, F.col("bucket") == F.col("_name"), "left_semi")
@@ -98,12 +117,17 @@ def load_documents(
         records = rows.filter("named AND readable").drop(*flags)
         if sync is not None:
             records = attach_sync(records, sync)
-        if save_history:
-            append_history(history_rows(records), store.history_path, version)
-        # both tables are sharded by the entity name
+        # both tables are sharded by the entity name; this also fills the cache
         touched = store.current.shards_of(records)
-        store.usage.upsert(spark, usage_rows(records, [ARRIVAL]), version, touched)
-        store.current.upsert(spark, records, version, touched)
+        classes = usage_rows(records, [ARRIVAL])
+        writes = [
+            lambda: store.current.upsert(spark, records, version, touched),
+            lambda: store.usage.upsert(spark, classes, version, touched),
+        ]
+        if save_history:
+            history = history_rows(records)
+            writes.append(lambda: append_history(history, store.history_path, version))
+        _run_together(spark, writes)
         # last: a run counts once all its tables are visible
         versions.commit(_counters(rows, mode), store.runs, version)
     finally:
