@@ -97,6 +97,18 @@ def test_bulk_with_nothing(spark, store):
     assert store.current.read(spark).count() == 0
 
 
+def test_entities_without_usage(spark, store):
+    """Their shard has current rows but no usage rows."""
+    empty = [(json.dumps({"bucket": f"e{i}", "usage": {}}), NOW) for i in range(3)]
+    docs = spark.createDataFrame(empty, "value string, collected_at timestamp_ntz")
+    refresh.bulk_refresh(spark, store, docs)
+    assert store.current.read(spark).count() == 3
+    assert store.usage.read(spark).count() == 0
+    refresh.bulk_refresh(spark, store, documents(spark, ["a"], NOW).unionByName(docs))
+    assert store.current.read(spark).count() == 4
+    assert rows_of(store.usage.read(spark).select("bucket_name")) == [("a",)]
+
+
 def test_sync_status_survives_a_refresh_without_it(spark, store):
     schema = "bucket_name string, sync_status string, sync_behind_shards int, sync_behind_entries int, sync_source_zone string"
     status = spark.createDataFrame([("a", "behind", 3, 4, "z")], schema)

@@ -275,3 +275,31 @@ def test_naive_times_do_not_depend_on_the_session_zone(spark, make_hist):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == [(datetime(2024, 3, 31), 3, 2)]
+
+
+def test_old_versions_are_dropped(spark, make_cur, tmp_path):
+    t = table(tmp_path)
+    t.upsert(spark, make_cur(*[{"bucket_name": f"b{i}", "collected_at": NOW} for i in range(40)]), 1)
+    for version in range(2, 7):
+        row = {"bucket_name": "b7", "num_objects": version, "collected_at": NOW + timedelta(version)}
+        t.upsert(spark, make_cur(row), version)
+    before = sorted(rows_of(t.read(spark).select("bucket_name", "num_objects")))
+    t.drop_old(spark, keep=2)
+    assert sorted(rows_of(t.read(spark).select("bucket_name", "num_objects"))) == before
+    shards = {p.parent.name + "/" + p.name for p in (tmp_path / "current/data").glob("*/shard=*")}
+    # three shards still live in the first version, the hot one in the two newest
+    assert len([s for s in shards if s.startswith("version=1/")]) == 3
+    assert sorted(s.split("/")[0] for s in shards if "=1/" not in s) == ["version=5", "version=6"]
+    assert len(list((tmp_path / "current/commits").glob("version=*"))) == 2
+
+
+def test_compacted_history_is_the_same(spark, make_cur, tmp_path):
+    path, target = str(tmp_path / "h"), str(tmp_path / "compact")
+    for version in range(1, 4):
+        rows = make_cur(*[{"bucket_name": f"b{i}", "size_bytes": version, "collected_at": NOW} for i in range(3)])
+        append_history(history_rows(rows), path, version)
+    from usagelens.sinks.history import compact_history
+
+    compact_history(spark, path, target)
+    assert sorted(rows_of(read_history(spark, target))) == sorted(rows_of(read_history(spark, path)))
+    assert len(list((tmp_path / "compact").glob("*/*/*.parquet"))) == 1

@@ -21,6 +21,9 @@ from usagelens.sources.sync import attach_sync
 from usagelens.sources.tables import Tables
 
 
+_RUN = "fetched bigint, collected bigint, errors bigint, mode string"
+
+
 @dataclass(frozen=True)
 class StatsStore:
     """Folders of the tables under one root on shared storage."""
@@ -135,8 +138,10 @@ def load_documents(
 
 
 def run_counters(spark: SparkSession, store: StatsStore) -> DataFrame:
-    """Counters of every run: version, fetched, collected, errors, mode."""
-    return versions.commits(spark, store.runs)
+    """Counters of every run: fetched, collected, errors, mode, version."""
+    if not versions.committed(spark, store.runs):
+        return spark.createDataFrame([], f"{_RUN}, version int")
+    return spark.read.schema(f"{_RUN}, version int").parquet(f"{store.runs}/commits")
 
 
 def bulk_refresh(
@@ -149,7 +154,7 @@ def bulk_refresh(
     """Refresh every entity the documents name; returns the counters of the run."""
     version = store.next_version(spark)
     load_documents(spark, store, documents, version, "bulk", as_of, sync=sync)
-    return run_counters(spark, store).filter(F.col("version") == version).drop("version")
+    return versions.read_commit(spark, store.runs, version, _RUN)
 
 
 def incremental_refresh(
@@ -165,4 +170,4 @@ def incremental_refresh(
     load_documents(
         spark, store, documents, version, "per-bucket", as_of, only=worklist, sync=sync
     )
-    return run_counters(spark, store).filter(F.col("version") == version).drop("version")
+    return versions.read_commit(spark, store.runs, version, _RUN)

@@ -132,8 +132,13 @@ def serving_snapshot(cur: DataFrame, as_of: datetime) -> DataFrame:
     return whole
 
 
-def publish_serving(cur: DataFrame, root: str, version: int, as_of: datetime) -> None:
-    """Write the snapshot as a new version; readers switch when it is complete."""
+def publish_serving(
+    cur: DataFrame, root: str, version: int, as_of: datetime, keep: int = 3
+) -> None:
+    """Write the snapshot as a new version; readers switch when it is complete.
+
+    The newest ``keep`` versions stay, so a reader of the one before is not disturbed.
+    """
     spark = cur.sparkSession
     rows = cur.select(*_NEEDED).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -146,6 +151,7 @@ def publish_serving(cur: DataFrame, root: str, version: int, as_of: datetime) ->
         )
         stamp = spark.range(1).select(ntz(as_of).alias("updated"))
         versions.commit(stamp, root, version)
+        versions.drop_old(spark, root, keep)
     finally:
         rows.unpersist()
 
@@ -158,10 +164,10 @@ def read_section(
     if version is None:
         return None
     if section == UPDATED:
-        stamps = versions.commits(spark, root).filter(F.col("version") == version)
-        return stamps.select("updated")
+        return versions.read_commit(spark, root, version, "updated timestamp_ntz")
     rows = (
-        spark.read.parquet(versions.data_path(root, version))
+        spark.read.schema("rank int, json string, section string")
+        .parquet(versions.data_path(root, version))
         .filter(F.col("section") == section)
         .select("rank", F.from_json("json", SECTIONS[section]).alias("row"))
         .select("rank", "row.*")

@@ -46,3 +46,15 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _LAYOUT).drop("version")
+
+
+def compact_history(spark: SparkSession, path: str, target: str) -> None:
+    """Rewrite a history of many small appends as few files per day, in a new folder."""
+    rows = read_history(spark, path).withColumn("version", F.lit(0))
+    (
+        rows.hint("rebalance", PARTITION_DATE)
+        .sortWithinPartitions(PARTITION_DATE, "bucket_name")
+        .write.mode("overwrite")
+        .partitionBy(PARTITION_DATE, "version")
+        .parquet(target)
+    )

@@ -20,6 +20,8 @@ SEQUENCE = "ingest_seq"
 # Order of rows that arrive together with the same time.
 ARRIVAL = "arrival"
 
+_COMMIT = f"{SHARD} int, shards int, data_version int"
+
 
 @dataclass(frozen=True)
 class KeyedTable:
@@ -39,30 +41,28 @@ class KeyedTable:
     def _stored(self) -> T.StructType:
         return T.StructType([*self.schema.fields, T.StructField(SEQUENCE, T.LongType())])
 
-    def _live(self, spark: SparkSession, before: int | None, only: set[int] | None) -> DataFrame:
-        """Rows of the newest committed version of each shard."""
-        found = versions.commits(spark, self.root)
-        paths: list[str] = []
-        if found is not None:
-            if before is not None:
-                found = found.filter(F.col("version") < before)
-            # at most one row per shard comes to the driver
-            newest = found.groupBy(SHARD, "shards").agg(F.max("version").alias("version")).collect()
-            if any(row["shards"] != self.shards for row in newest):
-                raise ValueError(f"{self.root} was created with another number of shards")
-            paths = [
-                f"{versions.data_path(self.root, row['version'])}/{SHARD}={row[SHARD]}"
-                for row in newest
-                if only is None or row[SHARD] in only
-            ]
-        if not paths:
+    def _places(self, spark: SparkSession, before: int | None) -> dict[int, int]:
+        """Shard -> version that holds its rows, by the newest commit. At most one row per
+        shard comes to the driver.
+        """
+        newest = versions.latest_version(spark, self.root, before)
+        if newest is None:
+            return {}
+        rows = versions.read_commit(spark, self.root, newest, _COMMIT).collect()
+        if any(row["shards"] != self.shards for row in rows):
+            raise ValueError(f"{self.root} was created with another number of shards")
+        return {row[SHARD]: row["data_version"] for row in rows}
+
+    def _rows(self, spark: SparkSession, places: dict[int, int]) -> DataFrame:
+        if not places:
             return spark.createDataFrame([], self._stored())
+        paths = [f"{versions.data_path(self.root, v)}/{SHARD}={s}" for s, v in places.items()]
         # the schema is given, so no footers are read; older files may lack some columns
         rows = spark.read.schema(self._stored()).parquet(*paths)
         return conform(rows, self._stored(), self.fill_nulls)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return self._live(spark, None, None).select(*self.schema.names)
+        return self._rows(spark, self._places(spark, None)).select(*self.schema.names)
 
     def shards_of(self, updates: DataFrame) -> set[int]:
         """Numbers of the shards the rows fall into; at most as many as there are shards."""
@@ -89,8 +89,10 @@ class KeyedTable:
         # several rows of one key are reduced first, before they meet in one shard
         fresh = latest_per_key(updates, keys, order, list(self.carry))
         fresh = conform(fresh, self.schema).withColumn(SEQUENCE, F.lit(version).cast("bigint"))
-        base = self._live(spark, version, touched)
-        both = base.unionByName(fresh).withColumn(SHARD, self._shard())
+        places = self._places(spark, before=version)
+        old = {shard: v for shard, v in places.items() if shard in touched}
+        both = self._rows(spark, old).unionByName(fresh) if old else fresh
+        both = both.withColumn(SHARD, self._shard())
         # one shuffle serves the merge and the file layout: grouping by (shard, key) accepts
         # rows that are already together by shard
         merged = latest_per_key(
@@ -98,9 +100,21 @@ class KeyedTable:
         )
         target = versions.data_path(self.root, version)
         merged.write.mode("overwrite").partitionBy(SHARD).parquet(target)
-        written = spark.createDataFrame(
-            [(s, self.shards) for s in sorted(touched)], f"{SHARD} int, shards int"
-        )
-        versions.commit(written, self.root, version)
-
-
+        # each commit is a whole map, so a reader needs only the newest one; a shard without
+        # rows has no folder
+        places |= dict.fromkeys(versions.numbered(spark, target, SHARD), version)
+        entries = [(shard, self.shards, v) for shard, v in sorted(places.items())]
+        versions.commit(spark.createDataFrame(entries, _COMMIT), self.root, version)
+
+    def drop_old(self, spark: SparkSession, keep: int = 10) -> None:
+        """Remove commits before the newest ``keep``, and shards none of the rest needs."""
+        found = versions.committed(spark, self.root)
+        needed = {place for v in found[-keep:] for place in self._places(spark, v + 1).items()}
+        for version in found[:-keep]:
+            versions.remove(spark, versions.commit_path(self.root, version))
+        # a version after the newest commit may be a run in progress
+        for version in found:
+            folder = versions.data_path(self.root, version)
+            for shard in versions.numbered(spark, folder, SHARD):
+                if (shard, version) not in needed:
+                    versions.remove(spark, f"{folder}/{SHARD}={shard}")

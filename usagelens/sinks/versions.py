@@ -1,38 +1,69 @@
 """Versioned Parquet folders.
 
 A version is written to its own folder and becomes visible by a commit folder written
-after it, one row per part of the version. Writing a version again replaces it, so a job
-that died half way, or a replayed micro-batch, is simply repeated. Readers only ever see
-folders that no longer change.
+after it. Writing a version again replaces it, so a job that died half way, or a replayed
+micro-batch, is simply repeated. Readers only ever see folders that no longer change.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
-def data_path(root: str, version: int | None = None) -> str:
-    return f"{root}/data" if version is None else f"{root}/data/version={version}"
+def data_path(root: str, version: int) -> str:
+    return f"{root}/data/version={version}"
+
+
+def commit_path(root: str, version: int) -> str:
+    return f"{root}/commits/version={version}"
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path and the path itself, whatever storage it is on."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``prefix=<n>`` in a folder."""
+    files, folder = _folder(spark, path)
+    if not files.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return sorted(int(n.removeprefix(f"{prefix}=")) for n in names if n.startswith(f"{prefix}="))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
 
 
 def commit(rows: DataFrame, root: str, version: int) -> None:
     """Make a version visible. ``rows`` describes it and is small."""
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/version={version}")
+    rows.coalesce(1).write.mode("overwrite").parquet(commit_path(root, version))
+
+
+def committed(spark: SparkSession, root: str) -> list[int]:
+    """Complete versions, oldest first. Only folder names are looked at."""
+
+    def complete(version: int) -> bool:
+        files, mark = _folder(spark, f"{commit_path(root, version)}/_SUCCESS")
+        return files.exists(mark)
+
+    return [v for v in numbered(spark, f"{root}/commits", "version") if complete(v)]
+
+
+def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
+    found = [v for v in committed(spark, root) if before is None or v < before]
+    return found[-1] if found else None
 
 
-def commits(spark: SparkSession, root: str) -> DataFrame | None:
-    """All commit rows with their ``version``; None before the first commit."""
-    try:
-        return spark.read.parquet(f"{root}/commits")
-    except AnalysisException as missing:
-        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def read_commit(spark: SparkSession, root: str, version: int, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(commit_path(root, version))
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    found = commits(spark, root)
-    if found is None:
-        return None
-    return found.selectExpr("max(version) AS version").first()["version"]
+def drop_old(spark: SparkSession, root: str, keep: int) -> None:
+    """Remove all but the newest ``keep`` versions of folders that stand for themselves."""
+    for version in committed(spark, root)[:-keep]:
+        remove(spark, commit_path(root, version))
+        remove(spark, data_path(root, version))
