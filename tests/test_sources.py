@@ -210,8 +210,7 @@ def test_inventory_that_is_no_list(spark, text):
 
 def status(spark, function, *values):
     df = spark.createDataFrame(list(enumerate(values)), "i int, value string")
-    rows = sync.sync_columns(df, function(F.col("value")), ["i"]).orderBy("i")
-    return [r[1:] for r in rows_of(rows)]
+    return [r[1:] for r in rows_of(function(df).orderBy("i"))]
 
 
 def test_sync_json(spark):
@@ -253,15 +252,18 @@ def test_sync_fetch(spark):
         (True, ' {"a": 1}', "", ("synced", 0, 0, "")),
         (True, "2 shards behind", "", ("behind", 2, 0, "")),
         (True, "[broken", "", ("unknown", 0, 0, "")),
+        (True, '{"a": ', "", ("unknown", 0, 0, "")),
+        (True, '[7, {"shards_behind": 1}]', "", ("behind", 1, 0, "")),
+        (True, "", "no sync", ("synced", 0, 0, "")),
+        (True, "in sync", "no sync", ("synced", 0, 0, "")),
         (False, "", "Zone is NOT IN A MULTISITE setup", ("not_multisite", 0, 0, "")),
         (False, "", "no sync", ("not_multisite", 0, 0, "")),
         (False, "3 shards behind", "timeout", ("unknown", 0, 0, "")),
     ]
     df = spark.createDataFrame(
-        [(i, *c[:3]) for i, c in enumerate(cases)], "i int, ok boolean, out string, err string"
+        [(i, *c[:3]) for i, c in enumerate(cases)], "i int, ok boolean, stdout string, stderr string"
     )
-    resolved = sync.sync_resolved(F.col("ok"), F.col("out"), F.col("err"))
-    rows = sync.sync_columns(df, resolved, ["i"]).orderBy("i")
+    rows = sync.sync_resolved(df).orderBy("i")
     assert [r[1:] for r in rows_of(rows)] == [c[3] for c in cases]
 
 

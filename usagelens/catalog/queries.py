@@ -130,21 +130,17 @@ def inventory_names(p: Proxies) -> DataFrame:
 
 @_query
 def sync_parse_json(p: Proxies) -> DataFrame:
-    documents = px.sync_json_documents(p.table("events"))
-    return sync.sync_columns(documents, sync.sync_from_json(F.col("value")), ["id"])
+    return sync.sync_from_json(px.sync_json_documents(p.table("events")))
 
 
 @_query
 def sync_parse_text(p: Proxies) -> DataFrame:
-    documents = px.sync_text_documents(p.table("events"))
-    return sync.sync_columns(documents, sync.sync_from_text(F.col("value")), ["id"])
+    return sync.sync_from_text(px.sync_text_documents(p.table("events")))
 
 
 @_query
 def sync_status_resolve(p: Proxies) -> DataFrame:
-    fetches = px.sync_fetches(p.table("events"))
-    status = sync.sync_resolved(F.col("ok"), F.col("stdout"), F.col("stderr"))
-    return sync.sync_columns(fetches, status, ["id"])
+    return sync.sync_resolved(px.sync_fetches(p.table("events")))
 
 
 @_query
@@ -153,8 +149,7 @@ def stats_with_sync(p: Proxies) -> DataFrame:
     cur = p.cur().withColumn("sync_source_zone", F.lit(""))
     text = F.concat(F.col("num_objects"), F.lit(" shards behind\nsource zone: zone-1"))
     fetched = cur.filter(px.user_id_of() % 3 != 0).select("bucket_name", text.alias("value"))
-    status = sync.sync_columns(fetched, sync.sync_from_text(F.col("value")), ["bucket_name"])
-    return sync.attach_sync(cur, status).select(
+    return sync.attach_sync(cur, sync.sync_from_text(fetched)).select(
         "bucket_name",
         "owner",
         "size_bytes",

@@ -18,76 +18,136 @@ SYNCED_PHRASES = ["caught up", "in sync"]
 SINGLE_SITE_PHRASES = ["not in a multisite", "no sync"]
 
 
-def _status(status: Column, shards: Column, entries: Column, zone: Column) -> Column:
-    # a lag past the column's range becomes NULL instead of failing the whole job
-    values = [status, shards.try_cast("int"), entries.try_cast("int"), zone]
-    return F.struct(*[v.alias(name) for name, v in zip(SYNC_COLUMNS, values, strict=True)])
+def _contains(text: Column, phrases: list[str]) -> Column:
+    low = F.lower(text)
+    found = low.contains(phrases[0])
+    for phrase in phrases[1:]:
+        found |= low.contains(phrase)
+    return found
+
+
+def _zones(text: Column) -> Column:
+    """The zones of a list document; NULL for anything that is not a readable list."""
+    is_list = F.ltrim(text).startswith("[")  # from_json also reads a lone object as a list
+    whole = F.from_json(text, f"array<{ZONE}>")
+    # an element that is no object voids the whole list; only then are they parsed one by one
+    elements = F.from_json(text, "array<string>")
+    objects = F.filter(elements, lambda e: F.ltrim(e).startswith("{"))
+    single = F.transform(objects, lambda e: F.from_json(e, ZONE))
+    return F.when(is_list, F.coalesce(whole, single))
 
 
-def sync_from_json(text: Column) -> Column:
-    """Lag summed over the zones of a list; anything but a list counts as in sync."""
-    # from_json also reads a lone object as a list, so the bracket is checked; elements
-    # are parsed one by one because one that is no object would void the whole list
-    elements = F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
-    objects = F.filter(elements, lambda e: F.ltrim(e).startswith("{"))
-    zones = F.coalesce(
-        F.transform(objects, lambda e: F.from_json(e, ZONE)), F.array().cast(f"array<{ZONE}>")
-    )
+def _with_json(df: DataFrame, text: Column) -> DataFrame:
+    """Adds ``_zones`` and, in a second step so that the text is parsed once, its sums."""
+    df = df.withColumn("_zones", _zones(text))
+    zero = F.lit(0).cast("bigint")
 
     def lag(field: str) -> Column:
-        zero = F.lit(0).cast("bigint")
-        return F.aggregate(zones, zero, lambda acc, z: acc + F.coalesce(z[field], zero))
-
-    named = F.filter(zones, lambda z: z["source_zone"] != "")
-    zone = F.coalesce(F.try_element_at(named, F.lit(-1))["source_zone"], F.lit(""))
-    shards, entries = lag("shards_behind"), lag("entries_behind")
-    status = F.when((shards > 0) | (entries > 0), "behind").otherwise("synced")
-    return _status(status, shards, entries, zone)
+        total = F.aggregate("_zones", zero, lambda acc, z: acc + F.coalesce(z[field], zero))
+        return F.coalesce(total, zero)
+
+    named = F.filter("_zones", lambda z: z["source_zone"] != "")
+    return df.withColumns(
+        {
+            "_json_shards": lag("shards_behind"),
+            "_json_entries": lag("entries_behind"),
+            "_json_zone": F.try_element_at(named, F.lit(-1))["source_zone"],
+        }
+    )
 
 
-def sync_from_text(text: Column) -> Column:
-    """Numbers and zone by pattern; ``error`` wins, then the in-sync phrases."""
+def _with_text(df: DataFrame, text: Column) -> DataFrame:
+    """Adds the numbers and the zone found by pattern; NULL where there is none."""
 
-    def number(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("bigint")
+    def found(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
-    shards, entries = number(SHARDS_PATTERN), number(ENTRIES_PATTERN)
-    low = F.lower(text)
-    in_sync = low.contains(SYNCED_PHRASES[0]) | low.contains(SYNCED_PHRASES[1])
-    status = (
-        F.when(low.contains(ERROR_PHRASE), "error")
-        .when(in_sync, "synced")
-        .when(shards.isNotNull() | entries.isNotNull(), "behind")
-        .otherwise("synced")
+    return df.withColumns(
+        {
+            "_text_shards": found(SHARDS_PATTERN).try_cast("bigint"),
+            "_text_entries": found(ENTRIES_PATTERN).try_cast("bigint"),
+            "_text_zone": found(ZONE_PATTERN),
+        }
     )
-    zero = F.lit(0)
-    zone = F.regexp_extract(text, ZONE_PATTERN, 1)
-    return _status(status, F.coalesce(shards, zero), F.coalesce(entries, zero), zone)
-
-
-def sync_resolved(ok: Column, stdout: Column, stderr: Column) -> Column:
-    """The status of one fetch: its JSON or text output, or the kind of failure."""
-    nothing = (F.lit(0), F.lit(0), F.lit(""))
-    low = F.lower(stderr)
-    single = low.contains(SINGLE_SITE_PHRASES[0]) | low.contains(SINGLE_SITE_PHRASES[1])
-    looks_json = F.trim(stdout).startswith("{") | F.trim(stdout).startswith("[")
-    readable = F.try_parse_json(stdout).isNotNull()
+
+
+def _json_status() -> Column:
+    lagging = (F.col("_json_shards") > 0) | (F.col("_json_entries") > 0)
+    return F.when(lagging, "behind").otherwise("synced")
+
+
+def _text_status(text: Column) -> Column:
+    """``error`` wins, then the in-sync phrases, then a number found."""
+    behind = F.col("_text_shards").isNotNull() | F.col("_text_entries").isNotNull()
     return (
-        F.when(~ok & single, _status(F.lit("not_multisite"), *nothing))
-        .when(~ok | stdout.isNull(), _status(F.lit("unknown"), *nothing))
-        .when(looks_json & readable, sync_from_json(stdout))
-        .when(looks_json, _status(F.lit("unknown"), *nothing))
-        .otherwise(sync_from_text(stdout))
+        F.when(_contains(text, [ERROR_PHRASE]), "error")
+        .when(_contains(text, SYNCED_PHRASES), "synced")
+        .when(behind, "behind")
+        .otherwise("synced")
     )
 
 
-def sync_columns(df: DataFrame, status: Column, keep: list[str]) -> DataFrame:
-    """``keep`` plus the four status columns."""
-    return df.withColumn("_sync", status).select(*keep, "_sync.*")
+def _sync_columns(df: DataFrame, keep: list[str], values: list[Column]) -> DataFrame:
+    status, shards, entries, zone = values
+    columns = [
+        status,
+        # a lag past the column's range becomes NULL instead of failing the whole job
+        F.coalesce(shards, F.lit(0)).try_cast("int"),
+        F.coalesce(entries, F.lit(0)).try_cast("int"),
+        F.coalesce(zone, F.lit("")),
+    ]
+    return df.select(*keep, *[c.alias(n) for n, c in zip(SYNC_COLUMNS, columns, strict=True)])
+
+
+def sync_from_json(df: DataFrame, value: str = "value") -> DataFrame:
+    """Lag summed over the zones of a list; anything but a list counts as in sync.
+
+    The text column is replaced by the four status columns.
+    """
+    keep = [c for c in df.columns if c != value]
+    parsed = _with_json(df, F.col(value))
+    values = [_json_status(), F.col("_json_shards"), F.col("_json_entries"), F.col("_json_zone")]
+    return _sync_columns(parsed, keep, values)
+
+
+def sync_from_text(df: DataFrame, value: str = "value") -> DataFrame:
+    """Numbers and zone by pattern, status by phrase. The text column is replaced."""
+    keep = [c for c in df.columns if c != value]
+    parsed = _with_text(df, F.col(value))
+    status = _text_status(F.col(value))
+    values = [status, F.col("_text_shards"), F.col("_text_entries"), F.col("_text_zone")]
+    return _sync_columns(parsed, keep, values)
+
+
+def sync_resolved(
+    df: DataFrame, ok: str = "ok", stdout: str = "stdout", stderr: str = "stderr"
+) -> DataFrame:
+    """The status of a fetch from its JSON or text output, or from the kind of failure."""
+    keep = [c for c in df.columns if c not in (ok, stdout, stderr)]
+    out = F.when(F.col(ok), F.col(stdout))
+    is_list, is_object = F.trim(out).startswith("["), F.trim(out).startswith("{")
+    parsed = _with_json(df, F.when(is_list, out))
+    parsed = _with_text(parsed, F.when(~is_list & ~is_object, out))
+    single_site = ~F.col(ok) & _contains(F.col(stderr), SINGLE_SITE_PHRASES)
+    broken = (is_list & F.col("_zones").isNull()) | (is_object & F.try_parse_json(out).isNull())
+    status = (
+        F.when(single_site, "not_multisite")
+        .when(out.isNull() | broken, "unknown")
+        .when(is_list | is_object, _json_status())
+        .otherwise(_text_status(out))
+    )
+    values = [status] + [
+        F.when(is_list, F.col(f"_json_{part}")).otherwise(F.col(f"_text_{part}"))
+        for part in ("shards", "entries", "zone")
+    ]
+    return _sync_columns(parsed, keep, values)
 
 
 def attach_sync(stats: DataFrame, sync: DataFrame) -> DataFrame:
-    """Copy the status columns onto the records; without a status the record keeps its own."""
+    """Copy the status columns onto the records; without a status the record keeps its own.
+
+    ``sync`` has one row per entity.
+    """
     renamed = sync.select("bucket_name", *[F.col(c).alias(f"new_{c}") for c in SYNC_COLUMNS])
     joined = stats.join(renamed, "bucket_name", "left")
     return joined.select(
