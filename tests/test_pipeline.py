@@ -77,7 +77,9 @@ def test_workflow(spark, store):
     assert lens.entity_details("project-a-bucket-3").first().storage_classes == ["main"]
     assert lens.entity_history("project-a-bucket-3").count() == 1
     assert lens.sql("SELECT count(*) AS n FROM bucket_stats_history").first().n == 50
-    assert refresh.run_counters(spark, store).count() == 1
+    state = refresh.run_state(spark, store).first()
+    assert (state.total_collected, state.cycles_completed, state.last_cycle_buckets) == (50, 1, 50)
+    assert state.collection_rate == pytest.approx(50 / state.last_cycle_time)
 
 
 def test_bulk_counts_errors_and_keeps_the_rest(spark, store):
@@ -181,11 +183,12 @@ def test_stream_equals_batch(spark, tmp_path):
         query.awaitTermination()
 
     run()
-    assert refresh.run_counters(spark, streamed).count() == 2
+    assert refresh.run_state(spark, streamed).first().cycles_completed == 2
     # restarted from its checkpoint, it takes only what is new
     _land(landing, "3.json", [document("b7", 30), document("late", 1)], 1_700_000_600)
     run()
-    assert refresh.run_counters(spark, streamed).count() == 3
+    state = refresh.run_state(spark, streamed).first()
+    assert (state.cycles_completed, state.total_collected, state.total_errors) == (3, 14, 0)
     batch = refresh.StatsStore(str(tmp_path / "batch"), shards=4)
     refresh.bulk_refresh(spark, batch, snapshots.read_lines(spark, str(landing)))
 
@@ -221,16 +224,62 @@ def test_run_that_died_half_way_is_repeated(spark, store, monkeypatch):
         raise RuntimeError("executor lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(type(store.current), "upsert", lost)
+        # all tables are written, the run is not committed
+        patch.setattr(refresh, "_finish_run", lost)
         with pytest.raises(RuntimeError):
             refresh.load_documents(spark, store, second, 2)
     assert store.next_version(spark) == 2
+    # what the lost run has written is not seen
+    seen = store.tables(spark)
+    assert (seen.hist.count(), seen.cur.count()) == (1, 1)
+    assert seen.usage.filter("size_bytes = 7").count() == 0
     refresh.load_documents(spark, store, second, 2)
     got = store.current.read(spark).select("bucket_name", "size_bytes")
     assert sorted(rows_of(got)) == [("a", 7), ("b", 7)]
     assert store.tables(spark).hist.count() == 3
 
 
+def test_stream_after_bulk_keeps_what_is_there(spark, store, tmp_path):
+    refresh.bulk_refresh(spark, store, documents(spark, ["a", "b"], NOW))
+    landing, checkpoint = tmp_path / "landing", str(tmp_path / "checkpoint")
+    _land(landing, "1.json", [document("b", 9), document("c", 9)], 1_800_000_000)
+    refresh_folder(spark, str(landing), store, checkpoint, once=True).awaitTermination()
+    refresh.bulk_refresh(spark, store, documents(spark, ["d"], NOW))
+    assert store.last_batch(spark, checkpoint) == 0 and store.last_batch(spark, "other") == -1
+    got = store.current.read(spark).select("bucket_name", "size_bytes")
+    assert sorted(rows_of(got)) == [("a", 1024), ("b", 9), ("c", 9), ("d", 1024)]
+    assert store.tables(spark).hist.count() == 5
+
+
+def test_batch_replayed_after_its_commit_is_not_applied_again(spark, store, tmp_path):
+    """The checkpoint lost the note that the batch was done; the tables have not."""
+    landing, checkpoint = tmp_path / "landing", tmp_path / "checkpoint"
+    _land(landing, "1.json", [document("b", 9)], 1_800_000_000)
+    refresh_folder(spark, str(landing), store, str(checkpoint), once=True).awaitTermination()
+    for note in (checkpoint / "commits").iterdir():
+        note.unlink()
+    refresh_folder(spark, str(landing), store, str(checkpoint), once=True).awaitTermination()
+    state = refresh.run_state(spark, store).first()
+    assert (state.cycles_completed, state.total_collected) == (1, 1)
+    assert store.tables(spark).hist.count() == 1
+
+
+def test_no_runs_yet(spark, store):
+    assert refresh.run_state(spark, store).count() == 0
+    assert store.next_version(spark) == 1
+    assert store.tables(spark).cur.count() == 0
+
+
+def test_clean_up_keeps_the_rows(spark, store):
+    for i in range(4):
+        refresh.bulk_refresh(spark, store, documents(spark, [f"b{i}", "hot"], NOW + timedelta(i)))
+    before = {n: getattr(store.tables(spark), n).count() for n in ("cur", "hist", "usage")}
+    store.drop_old(spark, keep=1)
+    assert {n: getattr(store.tables(spark), n).count() for n in before} == before
+    assert refresh.run_state(spark, store).first().total_collected == 8
+    assert store.next_version(spark) == 5
+
+
 def test_stale_rows_after_a_run(spark, store):
     refresh.bulk_refresh(spark, store, documents(spark, ["a", "b"], NOW))
     cur = store.current.read(spark)

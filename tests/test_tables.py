@@ -144,6 +144,11 @@ def test_history_append_is_repeatable(spark, make_cur, tmp_path):
     append_history(history_rows(day1.unionByName(day2)), path, 2)
     got = read_history(spark, path).groupBy("collected_date").count().orderBy("collected_date")
     assert [r["count"] for r in got.collect()] == [2, 1]
+    # the same version with other days leaves nothing of the first attempt
+    append_history(history_rows(day2), path, 2)
+    got = read_history(spark, path).groupBy("collected_date").count().orderBy("collected_date")
+    assert [r["count"] for r in got.collect()] == [1, 1]
+    assert read_history(spark, path, upto=1).count() == 1
 
 
 def test_stale(make_cur):

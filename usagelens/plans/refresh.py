@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.operators.normalize import history_rows, normalize, usage_rows
@@ -21,12 +22,22 @@ from usagelens.sources.sync import attach_sync
 from usagelens.sources.tables import Tables
 
 
-_RUN = "fetched bigint, collected bigint, errors bigint, mode string"
+_COUNTERS = "fetched bigint, collected bigint, errors bigint, mode string"
+# Each run carries the totals up to itself, so the state needs the newest run only.
+_RUN = (
+    f"{_COUNTERS}, seconds double, total_collected bigint, total_errors bigint, "
+    "cycles_completed bigint, batches map<string,bigint>"
+)
 
 
 @dataclass(frozen=True)
 class StatsStore:
-    """Folders of the tables under one root on shared storage."""
+    """Folders of the tables under one root on shared storage; one writer at a time.
+
+    A run writes all tables under the next version number and is committed last. Until then
+    the number is not taken: whoever runs next starts from the last complete run and
+    replaces whatever an unfinished one has left.
+    """
 
     root: str
     shards: int = 64
@@ -50,15 +61,34 @@ class StatsStore:
         return f"{self.root}/runs"
 
     def tables(self, spark: SparkSession, inv: DataFrame | None = None) -> Tables:
+        """The tables as of the last complete run."""
+        last = self.last_version(spark)
         return Tables(
-            cur=self.current.read(spark),
-            hist=read_history(spark, self.history_path),
-            usage=self.usage.read(spark),
+            cur=self.current.read(spark, last),
+            hist=read_history(spark, self.history_path, last),
+            usage=self.usage.read(spark, last),
             inv=inv,
         )
 
+    def drop_old(self, spark: SparkSession, keep: int = 10) -> None:
+        """Forget all but the newest ``keep`` versions; the rows of the tables stay."""
+        self.current.drop_old(spark, keep)
+        self.usage.drop_old(spark, keep)
+        versions.drop_old(spark, self.runs, keep)
+
+    def last_version(self, spark: SparkSession) -> int:
+        return versions.latest_version(spark, self.runs) or 0
+
     def next_version(self, spark: SparkSession) -> int:
-        return (versions.latest_version(spark, self.runs) or 0) + 1
+        return self.last_version(spark) + 1
+
+    def last_batch(self, spark: SparkSession, stream: str) -> int:
+        """The last micro-batch of a stream that is in the tables, -1 for none."""
+        newest = self.last_version(spark)
+        if not newest:
+            return -1
+        run = versions.read_commit(spark, self.runs, newest, _RUN)
+        return run.select(F.coalesce(F.try_element_at("batches", F.lit(stream)), F.lit(-1))).first()[0]
 
 
 def _counters(rows: DataFrame, mode: str) -> DataFrame:
@@ -71,6 +101,34 @@ def _counters(rows: DataFrame, mode: str) -> DataFrame:
     )
 
 
+def _finish_run(
+    spark: SparkSession,
+    store: StatsStore,
+    counters: DataFrame,
+    version: int,
+    started: float,
+    batch: tuple[str, int] | None,
+) -> None:
+    """Commit the run with its counters and what is known up to it."""
+    previous = versions.latest_version(spark, store.runs, version)
+    before = None if previous is None else versions.read_commit(spark, store.runs, previous, _RUN).first()
+    batches = {**(before["batches"] if before else {}), **(dict([batch]) if batch else {})}
+    pairs = [F.lit(part) for pair in batches.items() for part in pair]
+
+    def so_far(name: str) -> Column:
+        return F.lit(before[name] if before else 0).cast("bigint")
+
+    run = counters.select(
+        "*",
+        F.lit(time.monotonic() - started).alias("seconds"),
+        (so_far("total_collected") + F.col("collected")).alias("total_collected"),
+        (so_far("total_errors") + F.col("errors")).alias("total_errors"),
+        (so_far("cycles_completed") + 1).alias("cycles_completed"),
+        F.create_map(*pairs).cast("map<string,bigint>").alias("batches"),
+    )
+    versions.commit(run, store.runs, version)
+
+
 def _run_together(spark: SparkSession, jobs: list[Callable[[], None]]) -> None:
     """Submit independent jobs at the same time, so that one fills the gaps of another."""
     with ThreadPoolExecutor(len(jobs)) as pool:
@@ -98,13 +156,16 @@ def load_documents(
     only: DataFrame | None = None,
     sync: DataFrame | None = None,
     save_history: bool = True,
+    batch: tuple[str, int] | None = None,
 ) -> None:
     """Apply documents (``value``, optionally ``collected_at`` and ``arrival``) as ``version``.
 
     ``only`` restricts the run to a list of names, ``sync`` adds replication status. Rows
     without a status keep the one already stored. Each write replaces its own version, so a
-    run that failed at any point is repeated as a whole.
+    run that failed at any point is repeated as a whole. ``batch`` names the stream and the
+    micro-batch the documents come from.
     """
+    started = time.monotonic()
     if ARRIVAL not in documents.columns:
         # no order among documents of one file: any fixed one will do
         documents = documents.withColumn(ARRIVAL, F.xxhash64("value"))
@@ -132,16 +193,33 @@ def load_documents(
             writes.append(lambda: append_history(history, store.history_path, version))
         _run_together(spark, writes)
         # last: a run counts once all its tables are visible
-        versions.commit(_counters(rows, mode), store.runs, version)
+        _finish_run(spark, store, _counters(rows, mode), version, started, batch)
     finally:
         rows.unpersist()
 
 
-def run_counters(spark: SparkSession, store: StatsStore) -> DataFrame:
-    """Counters of every run: fetched, collected, errors, mode, version."""
-    if not versions.committed(spark, store.runs):
-        return spark.createDataFrame([], f"{_RUN}, version int")
-    return spark.read.schema(f"{_RUN}, version int").parquet(f"{store.runs}/commits")
+def run_counters(spark: SparkSession, store: StatsStore, version: int) -> DataFrame:
+    """Counters of one run."""
+    run = versions.read_commit(spark, store.runs, version, _RUN)
+    return run.select("fetched", "collected", "errors", "mode")
+
+
+def run_state(spark: SparkSession, store: StatsStore) -> DataFrame:
+    """Totals over all runs, and size, duration and rate of the last one."""
+    newest = versions.latest_version(spark, store.runs)
+    if newest is None:
+        runs = spark.createDataFrame([], _RUN)
+    else:
+        runs = versions.read_commit(spark, store.runs, newest, _RUN)
+    rate = F.when(F.col("seconds") > 0, F.col("collected") / F.col("seconds")).otherwise(0.0)
+    return runs.select(
+        "total_collected",
+        "total_errors",
+        "cycles_completed",
+        F.col("collected").alias("last_cycle_buckets"),
+        F.col("seconds").alias("last_cycle_time"),
+        rate.alias("collection_rate"),
+    )
 
 
 def bulk_refresh(
@@ -154,7 +232,7 @@ def bulk_refresh(
     """Refresh every entity the documents name; returns the counters of the run."""
     version = store.next_version(spark)
     load_documents(spark, store, documents, version, "bulk", as_of, sync=sync)
-    return versions.read_commit(spark, store.runs, version, _RUN)
+    return run_counters(spark, store, version)
 
 
 def incremental_refresh(
@@ -170,4 +248,4 @@ def incremental_refresh(
     load_documents(
         spark, store, documents, version, "per-bucket", as_of, only=worklist, sync=sync
     )
-    return versions.read_commit(spark, store.runs, version, _RUN)
+    return run_counters(spark, store, version)

@@ -24,37 +24,35 @@ def with_date(history: DataFrame) -> DataFrame:
 
 
 def append_history(history: DataFrame, path: str, version: int) -> None:
-    """Add rows as ``version``. Only the folders (day, version) are replaced, so writing a
-    version twice does not add its rows twice.
+    """Add rows as ``version``. A version is one folder and is replaced as a whole, so
+    writing it again, also with other rows, leaves nothing behind.
     """
-    rows = with_date(history).withColumn("version", F.lit(version))
     (
         # a day is spread over as many files as its size needs, small days share a task
-        rows.hint("rebalance", PARTITION_DATE)
+        with_date(history)
+        .hint("rebalance", PARTITION_DATE)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PARTITION_DATE, "version")
-        .parquet(path)
+        .partitionBy(PARTITION_DATE)
+        .parquet(f"{path}/version={version}")
     )
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The history with its partition date; time filters go through ``times.since``."""
+def read_history(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The history with its partition date; time filters go through ``times.since``.
+
+    ``upto`` is the newest complete version: rows of a run that is not finished stay unseen.
+    """
     try:
-        return spark.read.schema(_LAYOUT).parquet(path).drop("version")
+        rows = spark.read.schema(_LAYOUT).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], _LAYOUT).drop("version")
+        rows = spark.createDataFrame([], _LAYOUT)
+    if upto is not None:
+        rows = rows.filter(F.col("version") <= upto)
+    return rows.drop("version")
 
 
 def compact_history(spark: SparkSession, path: str, target: str) -> None:
     """Rewrite a history of many small appends as few files per day, in a new folder."""
-    rows = read_history(spark, path).withColumn("version", F.lit(0))
-    (
-        rows.hint("rebalance", PARTITION_DATE)
-        .sortWithinPartitions(PARTITION_DATE, "bucket_name")
-        .write.mode("overwrite")
-        .partitionBy(PARTITION_DATE, "version")
-        .parquet(target)
-    )
+    append_history(read_history(spark, path), target, 0)

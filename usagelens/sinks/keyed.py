@@ -61,8 +61,10 @@ class KeyedTable:
         rows = spark.read.schema(self._stored()).parquet(*paths)
         return conform(rows, self._stored(), self.fill_nulls)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return self._rows(spark, self._places(spark, None)).select(*self.schema.names)
+    def read(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        """The rows by the newest commit, or by the newest one up to a version."""
+        before = None if upto is None else upto + 1
+        return self._rows(spark, self._places(spark, before)).select(*self.schema.names)
 
     def shards_of(self, updates: DataFrame) -> set[int]:
         """Numbers of the shards the rows fall into; at most as many as there are shards."""

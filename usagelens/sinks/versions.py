@@ -43,19 +43,23 @@ def commit(rows: DataFrame, root: str, version: int) -> None:
     rows.coalesce(1).write.mode("overwrite").parquet(commit_path(root, version))
 
 
-def committed(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions, oldest first. Only folder names are looked at."""
+def _complete(spark: SparkSession, root: str, version: int) -> bool:
+    files, mark = _folder(spark, f"{commit_path(root, version)}/_SUCCESS")
+    return files.exists(mark)
 
-    def complete(version: int) -> bool:
-        files, mark = _folder(spark, f"{commit_path(root, version)}/_SUCCESS")
-        return files.exists(mark)
 
-    return [v for v in numbered(spark, f"{root}/commits", "version") if complete(v)]
+def committed(spark: SparkSession, root: str) -> list[int]:
+    """Complete versions, oldest first. Only folder names are looked at."""
+    found = numbered(spark, f"{root}/commits", "version")
+    return [v for v in found if _complete(spark, root, v)]
 
 
 def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
-    found = [v for v in committed(spark, root) if before is None or v < before]
-    return found[-1] if found else None
+    """The newest complete version, found with one listing and usually one more look."""
+    for version in reversed(numbered(spark, f"{root}/commits", "version")):
+        if (before is None or version < before) and _complete(spark, root, version):
+            return version
+    return None
 
 
 def read_commit(spark: SparkSession, root: str, version: int, schema: str) -> DataFrame:

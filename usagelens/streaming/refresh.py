@@ -1,4 +1,4 @@
-"""Landed files -> tables and serving snapshot, one version per micro-batch."""
+"""Landed files -> tables and serving snapshot, one run per micro-batch."""
 
 from __future__ import annotations
 
@@ -23,22 +23,29 @@ def refresh_stream(
     as_of: datetime | None = None,
     once: bool = False,
     refresh_seconds: int = REFRESH_SECONDS,
+    keep: int = 10,
 ) -> StreamingQuery:
     """Start the refresh of a document stream (``value``, ``collected_at``, ``arrival``).
 
-    Every micro-batch becomes one version of the tables. A batch that is replayed after a
-    failure replaces its own version, which makes the refresh exactly-once. With ``once``
+    Every micro-batch becomes the next version of the tables. The commit of a version records
+    the batch, under the name of the checkpoint: a batch replayed after its commit is not
+    applied again, one replayed before it replaces its own half-written version. With ``once``
     the stream drains what has landed and stops. ``as_of`` fixes the time of the published
-    snapshot; by default it is the time of the batch.
+    snapshot; by default it is the time of the batch. The newest ``keep`` versions stay.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = batch_id + 1
-        load_documents(spark, store, batch, version, mode="stream")
+        if store.last_batch(spark, checkpoint) < batch_id:
+            version = store.next_version(spark)
+            load_documents(
+                spark, store, batch, version, mode="stream", batch=(checkpoint, batch_id)
+            )
         if serving_root:
             now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
-            publish_serving(store.current.read(spark), serving_root, version, now)
+            newest = store.last_version(spark)
+            publish_serving(store.tables(spark).cur, serving_root, newest, now)
+        store.drop_old(spark, keep)
 
     writer = documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     if once:
