@@ -264,6 +264,36 @@ def test_batch_replayed_after_its_commit_is_not_applied_again(spark, store, tmp_
     assert store.tables(spark).hist.count() == 1
 
 
+@pytest.mark.parametrize("form", ["lines", "array", "indented array"])
+def test_last_document_of_a_file_wins(spark, store, tmp_path, form):
+    docs = [document(f"b{i % 7}", i) for i in range(300)]
+    text = {
+        "lines": "\n".join(map(json.dumps, docs)),
+        "array": json.dumps(docs),
+        "indented array": json.dumps(docs, indent=4),
+    }[form]
+    read = {
+        "lines": snapshots.read_lines,
+        "array": snapshots.read_arrays,
+        "indented array": snapshots.read_pretty_arrays,
+    }[form]
+    (tmp_path / "landing").mkdir()
+    (tmp_path / "landing" / "a.json").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        landed = read(spark, str(tmp_path / "landing"))
+        refresh.bulk_refresh(spark, store, landed)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = dict(rows_of(store.current.read(spark).select("bucket_name", "size_bytes")))
+    assert got == {f"b{i % 7}": i for i in range(300)}
+    assert store.tables(spark).hist.count() == 300
+    usage = store.tables(spark).usage
+    assert rows_of(summary.storage_class_distribution(usage)) == rows_of(
+        summary.storage_class_distribution(usage, unique=True)
+    )
+
+
 def test_no_runs_yet(spark, store):
     assert refresh.run_state(spark, store).count() == 0
     assert store.next_version(spark) == 1

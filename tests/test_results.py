@@ -42,7 +42,7 @@ def test_empty_tables(make_cur, make_hist):
     assert rows_of(summary.cluster_summary(cur)) == [(0, 0, 0, 0, None, None)]
     assert rows_of(summary.collection_freshness(cur, NOW)) == [(0, 0, 0.0, 0, 0.0, 0, 0.0, None, None)]
     assert rows_of(compare.compare_snapshots(cur, hist, NOW)) == [(0, 0, 0, 0, 0, 0, 0, 0, 24)]
-    assert rows_of(summary.pipeline_status(cur, NOW))[0][:4] == (0, 0, 0, 0)
+    assert rows_of(summary.status_rollup(cur, NOW))[0][:4] == (0, 0, 0, 0)
     for empty in [
         growth.cluster_growth(hist, NOW),
         growth.fastest_growing_entities(hist, cur, NOW),

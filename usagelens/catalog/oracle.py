@@ -629,7 +629,7 @@ FROM cur_nulls
 """,
 )
 _put(
-    "pipeline_status",
+    "status_rollup",
     f"""
 SELECT count(*) AS total_buckets, count(DISTINCT owner) AS total_owners,
        CAST(sum(num_objects) AS BIGINT) AS total_objects, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes,

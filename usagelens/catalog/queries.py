@@ -27,8 +27,8 @@ from usagelens.plans import refresh, reports, serving
 from usagelens.schemas import CURRENT
 from usagelens.session import work_dir
 from usagelens.sinks.history import append_history, read_history
-from usagelens.sinks.keyed import ARRIVAL
 from usagelens.sources import inventory, snapshots, sync, tables
+from usagelens.sources.snapshots import ARRIVAL
 from usagelens.streaming.refresh import refresh_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -479,8 +479,8 @@ def timestamp_health(p: Proxies) -> DataFrame:
 
 
 @_query
-def pipeline_status(p: Proxies) -> DataFrame:
-    return summary.pipeline_status(p.cur_nulls(), AS_OF)
+def status_rollup(p: Proxies) -> DataFrame:
+    return summary.status_rollup(p.cur_nulls(), AS_OF)
 
 
 # --- growth and comparison ----------------------------------------------------------

@@ -30,10 +30,11 @@ class Lens:
         return summary.summary_by_owner(self.tables.cur, limit)
 
     def storage_class_distribution(self) -> DataFrame:
-        return summary.storage_class_distribution(self.tables.usage)
+        t = self.tables
+        return summary.storage_class_distribution(t.usage, unique=t.keyed)
 
     def status(self, threshold_seconds: int = summary.STALE_SECONDS) -> DataFrame:
-        return summary.pipeline_status(self.tables.cur, self.as_of, threshold_seconds)
+        return summary.status_rollup(self.tables.cur, self.as_of, threshold_seconds)
 
     def timestamp_health(self) -> DataFrame:
         return summary.timestamp_health(self.tables.cur)

@@ -16,8 +16,8 @@ from usagelens.operators.normalize import history_rows, normalize, usage_rows
 from usagelens.schemas import ADDED_LATER, CLASS_USAGE, CURRENT, SYNC_COLUMNS
 from usagelens.sinks import versions
 from usagelens.sinks.history import append_history, read_history
-from usagelens.sinks.keyed import ARRIVAL, KeyedTable
-from usagelens.sources.snapshots import named, parse_documents, readable
+from usagelens.sinks.keyed import KeyedTable
+from usagelens.sources.snapshots import ARRIVAL, BLOCK, named, parse_documents, readable
 from usagelens.sources.sync import attach_sync
 from usagelens.sources.tables import Tables
 
@@ -68,6 +68,7 @@ class StatsStore:
             hist=read_history(spark, self.history_path, last),
             usage=self.usage.read(spark, last),
             inv=inv,
+            keyed=True,
         )
 
     def drop_old(self, spark: SparkSession, keep: int = 10) -> None:
@@ -137,6 +138,18 @@ def _run_together(spark: SparkSession, jobs: list[Callable[[], None]]) -> None:
             job.result()
 
 
+def _in_order(documents: DataFrame) -> DataFrame:
+    """Adds ``arrival``: of documents with the same name and time, the last in its file wins."""
+    if ARRIVAL in documents.columns:
+        return documents
+    if BLOCK not in documents.columns:
+        # nothing is known about their order: any that is the same on a retry will do
+        return documents.withColumn(ARRIVAL, F.xxhash64("value"))
+    # within a block the ids rise from line to line
+    place = F.struct(BLOCK, F.monotonically_increasing_id().alias("line"))
+    return documents.withColumn(ARRIVAL, place).drop(BLOCK)
+
+
 def _spread(documents: DataFrame) -> DataFrame:
     """A landing of a few files that cannot be split would be parsed by as few tasks; its
     texts are handed round first. A landing with enough partitions is left as it is.
@@ -166,9 +179,7 @@ def load_documents(
     micro-batch the documents come from.
     """
     started = time.monotonic()
-    if ARRIVAL not in documents.columns:
-        # no order among documents of one file: any fixed one will do
-        documents = documents.withColumn(ARRIVAL, F.xxhash64("value"))
+    documents = _in_order(documents)
     parsed = parse_documents(_spread(documents))
     if only is not None:
         names = only.select(F.col("bucket_name").alias("_name"))

@@ -14,11 +14,10 @@ from pyspark.sql import types as T
 
 from usagelens.operators.maintenance import conform, latest_per_key
 from usagelens.sinks import versions
+from usagelens.sources.snapshots import ARRIVAL
 
 SHARD = "shard"
 SEQUENCE = "ingest_seq"
-# Order of rows that arrive together with the same time.
-ARRIVAL = "arrival"
 
 _COMMIT = f"{SHARD} int, shards int, data_version int"
 

@@ -17,14 +17,23 @@ _PARSE_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 PRETTY_RECORD_END = "\n    },"
 
 
-def _file_time() -> Column:
+# Columns that tell in which order documents arrived: the offset of the file block a line
+# was read from, and the position in the list a document was taken from.
+BLOCK = "block"
+ARRIVAL = "arrival"
+
+
+def _landed() -> list[Column]:
     """When the file landed; the same on every retry, so a replayed batch is unchanged."""
-    return utc_ntz(F.col("_metadata.file_modification_time")).alias("collected_at")
+    return [
+        utc_ntz(F.col("_metadata.file_modification_time")).alias("collected_at"),
+        F.col("_metadata.file_block_start").alias(BLOCK),
+    ]
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One document per line (splittable). Columns ``value, collected_at``."""
-    return spark.read.text(path).select("value", _file_time()).filter(F.trim("value") != "")
+    """One document per line (splittable). Columns ``value, collected_at, block``."""
+    return spark.read.text(path).select("value", *_landed()).filter(F.trim("value") != "")
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -32,23 +41,26 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
     reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.text(path).select("value", _file_time()).filter(F.trim("value") != "")
+    return reader.text(path).select("value", *_landed()).filter(F.trim("value") != "")
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     """One JSON array (or one object) per file. Unindented arrays cannot be split, so a
     file is one task; use ``read_pretty_arrays`` or one document per line for big files.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", _file_time())
-    return split_arrays(whole)
+    whole = spark.read.text(path, wholetext=True).select("value", *_landed())
+    return split_arrays(whole.drop(BLOCK))
 
 
 def split_arrays(df: DataFrame) -> DataFrame:
-    """Explode ``value`` (array text or a single document) into one document per row."""
+    """Explode ``value`` (array text or a single document) into one document per row, with
+    its position in the list as ``arrival``.
+    """
     items = F.when(
         F.ltrim("value").startswith("["), F.from_json("value", "array<string>")
     ).otherwise(F.array("value"))
-    return df.withColumn("value", F.explode(items))
+    rest = [c for c in df.columns if c != "value"]
+    return df.select(*rest, F.posexplode(items).alias(ARRIVAL, "value"))
 
 
 def read_pretty_arrays(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +76,7 @@ def read_pretty_arrays(spark: SparkSession, path: str) -> DataFrame:
     text = F.regexp_replace(opened, r"\s*(\n\])?\s*$", "")
     document = F.when(last, text).otherwise(F.concat(text, F.lit("\n    }")))
     return (
-        lines.select(document.alias("value"), text.alias("text"), _file_time())
+        lines.select(document.alias("value"), text.alias("text"), *_landed())
         .filter(~F.col("text").isin("", "]"))
         .drop("text")
     )
@@ -91,7 +103,7 @@ def named() -> Column:
 
 def good_documents(parsed: DataFrame) -> DataFrame:
     """Documents that fit the schema and name an entity."""
-    return parsed.filter(readable() & named()).drop("value", CORRUPT)
+    return parsed.filter(readable() & named()).drop("value", CORRUPT, BLOCK)
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:

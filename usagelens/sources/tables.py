@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,19 +17,23 @@ VIEW_NAMES = {
 
 @dataclass(frozen=True)
 class Tables:
-    """Latest rows, history, usage per class, and the inventory."""
+    """Latest rows, history, usage per class, and the inventory.
+
+    ``keyed``: the usage table is known to have one row per (entity, class).
+    """
 
     cur: DataFrame
     hist: DataFrame
     usage: DataFrame
     inv: DataFrame | None = None
+    keyed: bool = False
 
     def register(self) -> None:
         """Temp views under their table names."""
-        for field in fields(self):
-            frame = getattr(self, field.name)
+        for field, view in VIEW_NAMES.items():
+            frame = getattr(self, field)
             if frame is not None:
-                frame.createOrReplaceTempView(VIEW_NAMES[field.name])
+                frame.createOrReplaceTempView(view)
 
 
 def custom_sql(spark: SparkSession, tables: Tables, sql: str, **args: object) -> DataFrame:
