@@ -63,6 +63,27 @@ def test_collection_cycles(spark, store):
     assert collect(spark, other, names, NOW) == 0
 
 
+def test_planned_cycles(spark, store):
+    names = [f"b{i}" for i in range(20)]
+    inv = inventory(spark, names)
+
+    def cycle(now, **options):
+        fetched = documents(spark, names, now)
+        return refresh.refresh_once(spark, store, inv, fetched, now, STALE, **options).first()
+
+    first = cycle(NOW, bulk_threshold=10)
+    assert (first.mode, first.collected, first.to_update, first.in_db) == ("bulk", 20, 20, 0)
+    idle = cycle(NOW)
+    assert (idle.mode, idle.collected, idle.in_db) == ("none", 0, 20)
+    later = NOW + timedelta(minutes=10)
+    some = cycle(later, limit=5)
+    assert (some.mode, some.collected, some.to_update) == ("per-bucket", 5, 20)
+    rest = cycle(later)
+    assert (rest.mode, rest.collected, rest.to_update) == ("per-bucket", 15, 15)
+    assert cycle(later).mode == "none"
+    assert store.tables(spark).hist.count() == 40
+
+
 def test_workflow(spark, store):
     names = [f"project-a-bucket-{i}" for i in range(30)] + [f"project-b-bucket-{i}" for i in range(20)]
     counters = refresh.bulk_refresh(spark, store, documents(spark, names, NOW)).first()

@@ -342,6 +342,29 @@ UNION ALL
 SELECT {_STATE} FROM stored WHERE collected_at >= {_ARRIVALS} - INTERVAL 6 HOURS
 """,
 )
+_put(
+    "refresh_once",
+    f""", stored AS (
+  SELECT * FROM hist WHERE collected_at < {_ARRIVALS}
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY collected_at DESC, id DESC) = 1),
+due AS (
+  SELECT bucket_name FROM inv WHERE bucket_name NOT IN (SELECT bucket_name FROM stored)
+  UNION ALL
+  SELECT bucket_name FROM stored WHERE collected_at < {_ARRIVALS} - INTERVAL 1800 SECONDS),
+numbers AS (
+  SELECT (SELECT count(*) FROM due) AS to_update, (SELECT count(*) FROM inv) AS total_buckets,
+         (SELECT count(*) FROM stored) AS in_db,
+         (SELECT count(*) FROM hist WHERE collected_at >= {_ARRIVALS}) AS arrived,
+         (SELECT count(*) FROM hist WHERE collected_at >= {_ARRIVALS}
+            AND bucket_name IN (SELECT bucket_name FROM due)) AS arrived_due)
+SELECT CASE WHEN to_update > 500 THEN arrived ELSE arrived_due END AS fetched,
+       CASE WHEN to_update > 500 THEN arrived ELSE arrived_due END AS collected,
+       CAST(0 AS BIGINT) AS errors,
+       CASE WHEN to_update > 500 THEN 'bulk' WHEN to_update > 0 THEN 'per-bucket' ELSE 'none' END AS mode,
+       total_buckets, in_db, to_update
+FROM numbers
+""",
+)
 _put("stream_refresh", f"SELECT {_STATE} FROM latest")
 _put(
     "conform_schema",

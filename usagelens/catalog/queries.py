@@ -284,6 +284,15 @@ def incremental_refresh(p: Proxies) -> DataFrame:
     return store.current.read(p.spark).select(*_STATE)
 
 
+@_query
+def refresh_once(p: Proxies) -> DataFrame:
+    """A first bulk load, then one planned cycle over the documents that arrive later."""
+    store, documents = _store(p), _documents(p)
+    refresh.bulk_refresh(p.spark, store, documents.filter(F.col("collected_at") < ntz(ARRIVALS)))
+    later = documents.filter(F.col("collected_at") >= ntz(ARRIVALS))
+    return refresh.refresh_once(p.spark, store, p.inv(), later, ARRIVALS)
+
+
 @_query
 def stream_refresh(p: Proxies) -> DataFrame:
     """The whole event stream applied in micro-batches; the final current rows."""

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.operators.normalize import history_rows, normalize, usage_rows
+from usagelens.operators.summary import STALE_SECONDS
+from usagelens.operators.worklist import BULK_THRESHOLD, refresh_plan, refresh_worklist
 from usagelens.schemas import ADDED_LATER, CLASS_USAGE, CURRENT, SYNC_COLUMNS
 from usagelens.sinks import versions
 from usagelens.sinks.history import append_history, read_history
@@ -260,3 +262,35 @@ def incremental_refresh(
         spark, store, documents, version, "per-bucket", as_of, only=worklist, sync=sync
     )
     return run_counters(spark, store, version)
+
+
+def refresh_once(
+    spark: SparkSession,
+    store: StatsStore,
+    inv: DataFrame,
+    documents: DataFrame,
+    as_of: datetime,
+    threshold_seconds: int = STALE_SECONDS,
+    bulk_threshold: int = BULK_THRESHOLD,
+    limit: int | None = None,
+) -> DataFrame:
+    """One collection cycle: plan it, refresh everything, only what is due, or nothing.
+
+    ``limit`` holds for the per-entity mode only. Returns one row with the counters of the
+    run and the numbers of the plan.
+    """
+    cur = store.tables(spark).cur
+    # the plan is one row; the choice needs its mode only
+    plan = refresh_plan(inv, cur, as_of, threshold_seconds, bulk_threshold).first()
+    mode = plan["mode"]
+    if mode == "bulk":
+        counters = bulk_refresh(spark, store, documents, as_of)
+    elif mode == "per-bucket":
+        names = refresh_worklist(inv, cur, as_of, threshold_seconds, limit)
+        counters = incremental_refresh(spark, store, documents, names, as_of)
+    else:
+        counters = spark.createDataFrame([(0, 0, 0, mode)], _COUNTERS)
+    return counters.select(
+        "*",
+        *[F.lit(plan[name]).cast("bigint").alias(name) for name in ("total_buckets", "in_db", "to_update")],
+    )
