@@ -315,6 +315,19 @@ def test_last_document_of_a_file_wins(spark, store, tmp_path, form):
     )
 
 
+def test_repair_of_the_stored_table(spark, store):
+    refresh.bulk_refresh(spark, store, documents(spark, ["a", "b"], NOW))
+    untimed = documents(spark, ["c"], NOW).withColumn("collected_at", F.lit(None).cast("timestamp_ntz"))
+    refresh.bulk_refresh(spark, store, untimed)
+    assert rows_of(summary.timestamp_health(store.tables(spark).cur))[0][:2] == (3, 1)
+    assert refresh.repair(spark, store, NOW + timedelta(1)).first().fetched == 1
+    got = store.tables(spark).cur.select("bucket_name", "collected_at", "size_bytes")
+    assert sorted(rows_of(got)) == [("a", NOW, 1024), ("b", NOW, 1024), ("c", NOW + timedelta(1), 1024)]
+    state = refresh.run_state(spark, store).first()
+    assert (state.cycles_completed, state.total_collected) == (2, 3)
+    assert refresh.repair(spark, store, NOW).first().fetched == 0
+
+
 def test_no_runs_yet(spark, store):
     assert refresh.run_state(spark, store).count() == 0
     assert store.next_version(spark) == 1

@@ -316,7 +316,7 @@ _put(
     "append_history",
     """
 SELECT id, bucket_name, size_bytes, num_objects, sync_behind_shards, sync_behind_entries,
-       collected_at, CAST(collected_at AS DATE) AS collected_date
+       collected_at, strftime(collected_at, '%Y-%m-%d') AS collected_date
 FROM hist
 """,
 )
@@ -391,7 +391,7 @@ _TEXT = "strftime(collected_at, '%Y-%m-%d %H:%M:%S.%f')"
 
 
 def _section(name: str, pairs: str, order: str | None, source: str) -> str:
-    rank = f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER)" if order else "CAST(NULL AS INTEGER)"
+    rank = f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER)" if order else "CAST(0 AS INTEGER)"
     return (
         f"SELECT '{name}' AS section, {rank} AS rank, "
         f"CAST(json_object({pairs}) AS VARCHAR) AS json FROM {source}"

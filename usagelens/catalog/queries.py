@@ -254,7 +254,8 @@ def append_history_query(p: Proxies) -> DataFrame:
     path = work_dir(p.spark, "history")
     append_history(p.hist(ts_before=ARRIVALS).drop("storage_class"), path, 1)
     append_history(p.hist(ts_from=ARRIVALS).drop("storage_class"), path, 2)
-    return read_history(p.spark, path)
+    rows = read_history(p.spark, path)
+    return rows.withColumn("collected_date", F.col("collected_date").cast("string"))
 
 
 def _store(p: Proxies) -> refresh.StatsStore:

@@ -17,7 +17,8 @@ def latest_per_key(
     """The last row per key by ``order``.
 
     ``carry`` columns take their last value that is not NULL instead, so a row that does
-    not know them keeps what an earlier row said.
+    not know them keeps what an earlier row said. From then on the value counts as said by
+    the row that kept it.
 
     Plain aggregates: rows of one key are reduced before the shuffle, and no key's rows are
     ever gathered in one task, however many it has.

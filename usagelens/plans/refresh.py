@@ -12,6 +12,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelens.operators.maintenance import repair_dry_run, repair_null_times
 from usagelens.operators.normalize import history_rows, normalize, usage_rows
 from usagelens.operators.summary import STALE_SECONDS
 from usagelens.operators.worklist import BULK_THRESHOLD, refresh_plan, refresh_worklist
@@ -126,7 +127,9 @@ def _finish_run(
         F.lit(time.monotonic() - started).alias("seconds"),
         (so_far("total_collected") + F.col("collected")).alias("total_collected"),
         (so_far("total_errors") + F.col("errors")).alias("total_errors"),
-        (so_far("cycles_completed") + 1).alias("cycles_completed"),
+        (so_far("cycles_completed") + F.when(F.col("mode") == "repair", 0).otherwise(1)).alias(
+            "cycles_completed"
+        ),
         F.create_map(*pairs).cast("map<string,bigint>").alias("batches"),
     )
     versions.commit(run, store.runs, version)
@@ -294,3 +297,23 @@ def refresh_once(
         "*",
         *[F.lit(plan[name]).cast("bigint").alias(name) for name in ("total_buckets", "in_db", "to_update")],
     )
+
+
+def repair(spark: SparkSession, store: StatsStore, as_of: datetime) -> DataFrame:
+    """Give stored rows without a collection time the time ``as_of``; ``fetched`` counts them.
+
+    Only the shards that hold such rows are rewritten.
+    """
+    started, version = time.monotonic(), store.next_version(spark)
+    cur = store.tables(spark).cur
+    broken = cur.filter(F.col("collected_at").isNull())
+    store.current.upsert(spark, repair_null_times(broken, as_of), version)
+    zero = F.lit(0).cast("bigint")
+    counters = repair_dry_run(cur).select(
+        F.col("null_collected_at").alias("fetched"),
+        zero.alias("collected"),
+        zero.alias("errors"),
+        F.lit("repair").alias("mode"),
+    )
+    _finish_run(spark, store, counters, version, started, None)
+    return run_counters(spark, store, version)

@@ -56,9 +56,9 @@ def _text(name: str) -> Column:
 
 
 def _section(name: str, rows: DataFrame, order: list[Column] | None) -> DataFrame:
-    """``section, rank, json``. Only sections of bounded size are ranked."""
+    """``section, rank, json``. Only sections of bounded size are ranked, others have rank 0."""
     json = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json")
-    rank = F.lit(None).cast("int") if order is None else F.row_number().over(Window.orderBy(*order))
+    rank = F.lit(0) if order is None else F.row_number().over(Window.orderBy(*order))
     return rows.select(F.lit(name).alias("section"), rank.alias("rank"), json)
 
 
