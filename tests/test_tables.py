@@ -151,6 +151,28 @@ def test_history_append_is_repeatable(spark, make_cur, tmp_path):
     assert read_history(spark, path, upto=1).count() == 1
 
 
+def test_a_large_day_is_written_by_many_tasks(spark, tmp_path):
+    """All rows fall on one day; the day is split by size, not sent to one task."""
+    rows = spark.range(0, 200_000, 1, 8).select(
+        F.col("id"),
+        F.concat(F.lit("b"), F.xxhash64("id")).alias("bucket_name"),
+        F.xxhash64("id", F.lit(1)).alias("size_bytes"),
+        F.lit(1).cast("bigint").alias("num_objects"),
+        F.lit(0).alias("sync_behind_shards"),
+        F.lit(0).alias("sync_behind_entries"),
+        F.lit(str(NOW)).cast("timestamp_ntz").alias("collected_at"),
+    )
+    path = str(tmp_path / "h")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        append_history(rows, path, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = list((tmp_path / "h").glob("*/*/*.parquet"))
+    assert len(files) > 3
+    assert read_history(spark, path).agg(F.count("id"), F.countDistinct("id")).first()[:] == (200_000, 200_000)
+
+
 def test_stale(make_cur):
     cur = make_cur(
         {"bucket_name": "old-bucket", "collected_at": NOW - timedelta(minutes=10)},

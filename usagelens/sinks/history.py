@@ -28,9 +28,11 @@ def append_history(history: DataFrame, path: str, version: int) -> None:
     writing it again, also with other rows, leaves nothing behind.
     """
     (
-        # a day is spread over as many files as its size needs, small days share a task
+        # a day is spread over as many files as its size needs, small days share a task;
+        # sorted by name, a file's statistics let lookups of one entity skip row groups
         with_date(history)
         .hint("rebalance", PARTITION_DATE)
+        .sortWithinPartitions(PARTITION_DATE, "bucket_name")
         .write.mode("overwrite")
         .partitionBy(PARTITION_DATE)
         .parquet(f"{path}/version={version}")
