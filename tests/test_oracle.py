@@ -84,5 +84,7 @@ def test_rows_are_reduced_before_the_shuffle(spark):
 
 def test_documents_are_parsed_once(spark):
     plan = scan_lines(QUERIES["ingest_snapshot"](spark, SF))
-    parses = re.findall(r"from_json\(StructField\(bucket,", plan)
-    assert len(parses) == 1
+    # once for all documents; the second reading is below a condition only failures meet
+    assert len(re.findall(r"inline\(array\(from_json\(StructField\(bucket,", plan)) == 1
+    everywhere = re.findall(r".{50}from_json\(StructField\(bucket,", plan)
+    assert all("inline(" in p or re.search(r"isnotnull\(_bad#\d+\) THEN ", p) for p in everywhere)

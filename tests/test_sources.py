@@ -92,6 +92,23 @@ def test_edges_get_defaults(spark):
     assert (got["null measures"].size_bytes, got["null measures"].num_objects) == (0, 4)
 
 
+def test_measures_that_are_no_whole_numbers(spark):
+    """A float is a number; a text is an error that shows, not a silent 0."""
+    odd = [
+        {"bucket": "float", "usage": {"a": {"size": 1024.0, "num_objects": 3}, "b": {"size": 2**60}}},
+        {"bucket": "text", "usage": {"a": {"size": "many"}}},
+        {"bucket": "note and text", "usage": {"note": "x", "a": {"size": "many"}}},
+        {"bucket": "note and owner", "owner": "o", "usage": {"note": "x", "a": {"size": 5}}},
+        {"bucket": "usage is text", "usage": "none"},
+    ]
+    parsed = snapshots.parse_documents(texts(spark, *odd))
+    got = {r.bucket_name: r for r in normalize.normalize(snapshots.good_documents(parsed)).collect()}
+    assert sorted(got) == ["float", "note and owner"]
+    assert (got["float"].size_bytes, got["float"].num_objects) == (2**60 + 1024, 3)
+    assert (got["note and owner"].owner, got["note and owner"].size_bytes) == ("o", 5)
+    assert snapshots.quarantine(parsed).filter("reason = 'unreadable'").count() == 3
+
+
 def test_bad_rows_are_kept_apart(spark):
     lines = [FULL, *BAD, '{"bucket": "cut', "[1]", '"text"', "5", "null"]
     parsed = snapshots.parse_documents(texts(spark, *lines))

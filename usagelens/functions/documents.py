@@ -6,13 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from usagelens.schemas import PLACEMENT_DEFAULT, QUOTA_DEFAULT, USAGE
+from usagelens.schemas import CORRUPT, PLACEMENT_DEFAULT, QUOTA_DEFAULT, USAGE
 
 
-def parse_usage(raw: Column) -> Column:
-    """``map<string,string>`` of JSON texts -> ``map<string,USAGE>``; non-objects are dropped."""
-    objects = F.map_filter(raw, lambda _, text: F.ltrim(text).startswith("{"))
-    return F.transform_values(objects, lambda _, text: F.from_json(text, USAGE))
+# Measures as any number, and a place for the text of an object that has others.
+_ANY_NUMBER = T.StructType(
+    [
+        *[T.StructField(name, T.DecimalType(38, 6)) for name in USAGE.names],
+        T.StructField(CORRUPT, T.StringType()),
+    ]
+)
+
+
+def usage_of_texts(texts: Column) -> Column:
+    """``map<string,string>`` of JSON texts -> map of measures and ``_bad``. Values that are no
+    objects are dropped.
+    """
+    objects = F.map_filter(texts, lambda _, text: F.ltrim(text).startswith("{"))
+    options = {"columnNameOfCorruptRecord": CORRUPT}
+    return F.transform_values(objects, lambda _, text: F.from_json(text, _ANY_NUMBER, options))
+
+
+def whole_measures(usage: Column) -> Column:
+    """Measures of any number type -> ``map<string,USAGE>``."""
+
+    def rounded(_: Column, cls: Column) -> Column:
+        return F.struct(*[F.round(cls[n], 0).cast("bigint").alias(n) for n in USAGE.names])
+
+    return F.transform_values(usage, rounded)
 
 
 def usage_total(usage: Column, measure: str) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagelens.functions.documents import (
-    parse_usage,
     placement_document,
     quota_document,
     usage_document,
@@ -37,8 +36,6 @@ def normalize(documents: DataFrame, as_of: datetime | None = None, extra: list[s
     is known. A key with an explicit JSON null is treated like a missing key.
     """
     given = set(documents.columns)
-    docs = documents.withColumn("usage", parse_usage(F.col("usage")))
-
     def column(field: T.StructField) -> Column:
         name = field.name
         source = _RENAMED.get(name, name)
@@ -60,7 +57,7 @@ def normalize(documents: DataFrame, as_of: datetime | None = None, extra: list[s
             value = F.col(source)
         return value.cast(field.dataType).alias(name)
 
-    return docs.select(*[column(f) for f in CURRENT.fields], *(extra or []))
+    return documents.select(*[column(f) for f in CURRENT.fields], *(extra or []))
 
 
 def usage_rows(records: DataFrame, extra: list[str] | None = None) -> DataFrame:

@@ -33,8 +33,7 @@ PLACEMENT = _struct(data_pool=_S, data_extra_pool=_S, index_pool=_S)
 # Column that receives the text of a document which does not fit RAW.
 CORRUPT = "_bad"
 
-# The document as it lands. ``usage`` values stay JSON text here: a typed map
-# would turn the whole map into NULL when one of its values is not an object.
+# The document as it lands.
 RAW = _struct(
     bucket=_S,
     num_shards=_I,
@@ -56,7 +55,7 @@ RAW = _struct(
     mtime=_S,
     creation_time=_S,
     max_marker=_S,
-    usage=T.MapType(_S, _S),
+    usage=T.MapType(_S, USAGE),
     bucket_quota=QUOTA,
 )
 

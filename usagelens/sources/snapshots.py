@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from usagelens.functions.documents import usage_of_texts, whole_measures
 from usagelens.functions.times import utc_ntz
 from usagelens.schemas import CORRUPT, RAW
 
-_PARSE_SCHEMA = T.StructType([*RAW.fields, T.StructField(CORRUPT, T.StringType(), True)])
+_BAD = T.StructField(CORRUPT, T.StringType(), True)
+_STRICT = T.StructType([*RAW.fields, _BAD])
+# The same with the usage values as text.
+_TEXTS = T.StructField("usage", T.MapType(T.StringType(), T.StringType()))
+_LOOSE = T.StructType([_TEXTS if f.name == "usage" else f for f in _STRICT.fields])
 _PARSE_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 # End of a top-level element in an array document indented by four spaces. Nested
@@ -88,9 +93,28 @@ def parse_documents(df: DataFrame, value: str = "value") -> DataFrame:
 
     The parsed struct goes through a generator. Without it a later filter would be pushed
     below the projection and parse every document again.
+
+    Usage values that are no objects are skipped, but one of them voids the whole map of a
+    typed parse. Only documents that fail are therefore read a second time, with the usage
+    values as text.
     """
-    document = F.from_json(F.col(value), _PARSE_SCHEMA, _PARSE_OPTIONS)
-    return df.select("*", F.inline(F.array(document)))
+    text = F.col(value)
+    parsed = df.select("*", F.inline(F.array(F.from_json(text, _STRICT, _PARSE_OPTIONS))))
+    failed = F.col(CORRUPT).isNotNull()
+    loose = F.when(failed, F.from_json(text, _LOOSE, _PARSE_OPTIONS))
+    second = parsed.withColumn("_loose", loose)
+    # still bad: something else than the usage, or a measure that is no number
+    texts = F.when(F.col(f"_loose.{CORRUPT}").isNull(), F.col("_loose.usage"))
+    second = second.withColumn("_second", F.when(failed, usage_of_texts(texts)))
+    odd = F.exists(F.map_values("_second"), lambda cls: cls[CORRUPT].isNotNull())
+    rescued = failed & F.col("_second").isNotNull() & ~odd
+    objects = F.map_filter("usage", lambda _, cls: cls.isNotNull())
+    return second.withColumns(
+        {
+            "usage": F.when(rescued, whole_measures(F.col("_second"))).otherwise(objects),
+            CORRUPT: F.when(~rescued, F.col(CORRUPT)),
+        }
+    ).drop("_loose", "_second")
 
 
 def readable() -> Column:
