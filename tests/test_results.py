@@ -252,7 +252,7 @@ def test_sync_tables(make_cur, make_hist):
     assert [r.bucket_name for r in reports.sync_report(cur, hist, NOW, 2).collect()] == ["a"]
 
 
-def _bytes_text(b: int | None) -> str:
+def _bytes_text(b: float | None) -> str:
     if not b:
         return "0 B"
     x = b
@@ -288,6 +288,15 @@ def test_bytes_labels(spark, sizes):
         assert text == _bytes_text(size), size
 
 
+def test_fractional_bytes_labels(spark):
+    rng = random.Random(3)
+    sizes = [None, 0.0, 861.485, -861.485, 1023.96, -1861.485, 1e6, 5.5e12, 3e18]
+    sizes += [rng.uniform(-1, 1) * 10 ** rng.randrange(1, 18) for _ in range(300)]
+    df = spark.createDataFrame([(s,) for s in sizes], "s double")
+    for size, text in rows_of(df.select("s", labels.human_rate(F.col("s")))):
+        assert text == _bytes_text(size), size
+
+
 def test_other_labels(spark):
     ages = [None, 0.0, 59.9, 60.0, 3599.0, 3600.0, 86399.0, 86400.0, 200000.5]
     df = spark.createDataFrame([(a,) for a in ages], "a double")

@@ -944,12 +944,10 @@ FROM (SELECT g.bucket_name, c.owner, g.start_size, g.end_size, g.end_size - g.st
 _put(
     "forecast_report",
     f"""
-SELECT {_bytes_label('b.current_bytes')} AS current, {_bytes_label('b.daily')} AS daily_growth,
-       {_bytes_label('b.monthly')} AS monthly_growth, {_bytes_label('b.forecast')} AS forecast, error
-FROM (SELECT current_bytes, CAST(trunc(daily_growth_bytes) AS BIGINT) AS daily,
-             CAST(trunc(monthly_growth_bytes) AS BIGINT) AS monthly,
-             CAST(trunc(forecast_bytes) AS BIGINT) AS forecast, error
-      FROM ({_forecast('hist', _WEEK, digits=None)})) b
+SELECT {_bytes_label('current_bytes')} AS current, {_bytes_label('daily_growth_bytes')} AS daily_growth,
+       {_bytes_label('monthly_growth_bytes')} AS monthly_growth,
+       {_bytes_label('forecast_bytes')} AS forecast, error
+FROM ({_forecast('hist', _WEEK, digits=None)})
 """,
 )
 _put(

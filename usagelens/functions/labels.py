@@ -43,6 +43,21 @@ def human_bytes(size: Column, zero: str = "0 B") -> Column:
     return F.when(size.isNull() | (size == 0), F.lit(zero)).otherwise(signed)
 
 
+def human_rate(size: Column, zero: str = "0 B") -> Column:
+    """The same for fractional sizes, such as a growth per day."""
+    size = size.cast("double")
+    magnitude = F.abs(size)
+
+    def in_unit(step: int) -> Column:
+        scaled = F.bround(size / F.lit(float(1 << 10 * step)), 1)
+        return F.format_string(f"%.1f {UNITS[step]}", scaled)
+
+    label = F.when(size.isNull() | (size == 0), F.lit(zero))
+    for step in range(len(UNITS) - 1):
+        label = label.when(magnitude < float(1 << 10 * (step + 1)), in_unit(step))
+    return label.otherwise(in_unit(len(UNITS) - 1))
+
+
 def human_age(seconds: Column) -> Column:
     """``90 -> 1m``; truncating; NULL gives ``N/A``."""
 

@@ -11,6 +11,7 @@ from usagelens.functions.labels import (
     delta_label,
     human_age,
     human_bytes,
+    human_rate,
     pct_label,
     severity,
     sync_label,
@@ -104,12 +105,11 @@ def forecast_report(
 ) -> DataFrame:
     """The forecast with size labels."""
 
-    def label(name: str):
-        return human_bytes(F.col(name).cast("bigint")).alias(name.removesuffix("_bytes"))
-
-    names = ["current_bytes", "daily_growth_bytes", "monthly_growth_bytes", "forecast_bytes"]
+    names = ["daily_growth_bytes", "monthly_growth_bytes", "forecast_bytes"]
     return capacity_forecast(hist, as_of, history_days, forecast_days).select(
-        *[label(n) for n in names], "error"
+        human_bytes(F.col("current_bytes")).alias("current"),
+        *[human_rate(F.col(n)).alias(n.removesuffix("_bytes")) for n in names],
+        "error",
     )
 
 
