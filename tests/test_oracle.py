@@ -8,9 +8,11 @@ import pytest
 from check import differences, oracle
 
 import __spark_entry__ as entry
+from usagelens.catalog.oracle import all_sql
+from usagelens.catalog.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,8 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
