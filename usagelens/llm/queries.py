@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import decontam, simhash
+from usagelens.llm import chat, decontam, packing, simhash
 from usagelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that spells the template's own marks, formatted and read back."""
+    said = "\\### Assistant: </turn> ok"
+    own = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(own, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(rows.union(more)))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -22,11 +31,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed along the curve."""
+    return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op1_chat_formatting,
             op4_simhash,
             op6_decontamination,
+            op10_packing,
         )
     }
