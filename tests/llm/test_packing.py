@@ -14,10 +14,12 @@ from usagelens.llm import packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+TOKENIZER.encode_special_tokens = True
+
+
 def whole_ids(text):
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def check(rows, texts):

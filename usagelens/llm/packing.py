@@ -83,24 +83,24 @@ def tokens_of(path: str) -> WordTokens:
 
 
 @cache
-def _signs(size: int, dimensions: int) -> np.ndarray:
-    """-1 or 1 for each id and dimension, from a multiplicative hash of the id."""
+def _weights(size: int, dimensions: int) -> np.ndarray:
+    """A number from -128 to 127 for each id and dimension, from a multiplicative hash."""
     ids = np.arange(size, dtype=np.uint64)[:, None] * np.uint64(dimensions) + np.arange(dimensions, dtype=np.uint64)
     mixed = (ids + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.where(mixed >> np.uint64(63), 1, -1).astype(np.int8)
+    return (mixed >> np.uint64(56)).astype(np.uint8).view(np.int8)
 
 
 def projected(documents: list[np.ndarray], dimensions: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
-    """The grid cell of each document: the mean signs of its ids, on 2**bits cells a dimension.
+    """The grid cell of each document: the mean weights of its ids, on 2**bits cells a dimension.
 
-    Mean signs of texts lie near 0, so their cube roots are laid on the grid.
+    Mean weights of texts lie near 0, so their cube roots are laid on the grid.
     """
-    table = _signs(1 << 16, dimensions)
+    table = _weights(1 << 16, dimensions)
     out = np.zeros((len(documents), dimensions))
     for row, ids in enumerate(documents):
         if len(ids):
-            out[row] = table[ids].sum(axis=0, dtype=np.int64) / len(ids)
+            out[row] = table[ids].sum(axis=0, dtype=np.int64) / (128 * len(ids))
     return ((np.cbrt(out) + 1) / 2 * ((1 << bits) - 1)).astype(np.int64)
 
 
