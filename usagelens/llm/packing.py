@@ -13,8 +13,8 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -33,17 +33,16 @@ LENGTH = 1024
 END = 0
 DIMENSIONS, BITS = 3, 16
 # Distinct parts of texts a worker remembers the ids of; when they are more, it starts anew.
-_KNOWN = 500_000
-# A space beside other white space: such a text is not cut at its spaces.
-_LOOSE = re.compile(r"\s | \s")
+_KNOWN = 700_000
+_STOPS = {",", "."}
 
 
 class WordTokens:
     """Ids of whole texts by a ``tokenizers`` file, each distinct word encoded once.
 
     The pre-tokeniser never joins across a single space between two other characters but puts
-    it before the next word. So the ids of a text are those of its parts between such spaces,
-    and the parts of a corpus come again and again. No special token is recognised in a text.
+    it before the next word, and a single line end is a token by itself. So the ids of a text
+    are those of its parts between them, and the parts of a corpus come again and again. No special token is recognised in a text.
     """
 
     def __init__(self, path: str):
@@ -56,24 +55,35 @@ class WordTokens:
 
     def _bytes(self, parts: list[str]) -> list[bytes]:
         coded = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(c.ids, "<u2").tobytes() for c in coded]
+        return [array("H", c.ids).tobytes() for c in coded]
 
     @staticmethod
     def _parts(text: str) -> list[str]:
-        if "\0" in text or _LOOSE.search(text):
+        words = text.split()
+        loose = len(" ".join(words)) != len(text) or text.count(" ") + text.count("\n") != len(words) - 1
+        if loose or "\0" in text:  # white space beside other, at an end, or of another kind
             return [text]
-        return text.replace(" ", "\0 ").split("\0")
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encodes new parts; a stop after a letter is a token by itself, so the word is shared."""
+        known = self._known
+        ending = {p: p[:-1] for p in parts if p[-1:] in _STOPS and p[-2:-1].isalpha()}
+        words = [p for p in {ending.get(p, p) for p in parts} | _STOPS if p not in known]
+        known.update(zip(words, self._bytes(words), strict=True))
+        known.update((p, known[word] + known[p[-1]]) for p, word in ending.items())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 16-bit numbers."""
         known = self._known
         split = [self._parts(t) for t in texts]
-        new = list({part for parts in split for part in parts if part not in known})
+        parts = set().union(*split)
+        new = parts.difference(known)
         if len(known) + len(new) > _KNOWN:
             known.clear()
-            new = list({part for parts in split for part in parts})
-        known.update(zip(new, self._bytes(new), strict=True))
-        return [np.frombuffer(b"".join([known[part] for part in parts]), "<u2") for parts in split]
+            new = parts
+        self._learn(new)
+        return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u2") for p in split]
 
 
 @cache
