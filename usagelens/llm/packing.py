@@ -34,7 +34,17 @@ END = 0
 DIMENSIONS, BITS = 3, 16
 # Distinct parts of texts a worker remembers the ids of; when they are more, it starts anew.
 _KNOWN = 700_000
-_STOPS = {",", "."}
+
+
+def _shown() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1
+    for itself, U+0100 and what follows for the other bytes in their order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_SHOWN = _shown()
 
 
 class WordTokens:
@@ -49,13 +59,22 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._merge = self._tokenizer.model.tokenize
         if self._tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self._known: dict[str, bytes] = {}
 
-    def _bytes(self, parts: list[str]) -> list[bytes]:
-        coded = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("H", c.ids).tobytes() for c in coded]
+    def _ids(self, part: str) -> bytes:
+        """A word of Latin letters, with or without its space, is one token of the
+        pre-tokeniser; so the merges can begin at once."""
+        core = part.removeprefix(" ")
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+            if core.isascii():
+                shown = part.replace(" ", "\u0120")
+            else:
+                shown = part.encode().decode("latin-1").translate(_SHOWN)
+            return array("H", [t.id for t in self._merge(shown)]).tobytes()
+        return array("H", self._tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     @staticmethod
     def _parts(text: str) -> list[str]:
@@ -67,11 +86,16 @@ class WordTokens:
 
     def _learn(self, parts: set[str]) -> None:
         """Encodes new parts; a stop after a letter is a token by itself, so the word is shared."""
-        known = self._known
-        ending = {p: p[:-1] for p in parts if p[-1:] in _STOPS and p[-2:-1].isalpha()}
-        words = [p for p in {ending.get(p, p) for p in parts} | _STOPS if p not in known]
-        known.update(zip(words, self._bytes(words), strict=True))
-        known.update((p, known[word] + known[p[-1]]) for p, word in ending.items())
+        known, ids = self._known, self._ids
+        stops = {stop: ids(stop) for stop in ",."}
+        for part in parts:
+            stop = stops.get(part[-1:]) if part[-2:-1].isalpha() else None
+            word = part[:-1] if stop else part
+            code = known.get(word)
+            if code is None:
+                code = known[word] = ids(word)
+            if stop:
+                known[part] = code + stop
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 16-bit numbers."""
