@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import chat, decontam, packing, simhash
+from usagelens.llm import chat, decontam, packing, secret_scan, sharding, simhash
 from usagelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,11 +26,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on 16 shards."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test passages in all documents."""
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed along the curve."""
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
@@ -42,7 +52,9 @@ def all_queries() -> dict[str, Query]:
         for f in (
             op1_chat_formatting,
             op4_simhash,
+            op5_sharding,
             op6_decontamination,
+            op8_secret_scan,
             op10_packing,
         )
     }
