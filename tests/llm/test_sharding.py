@@ -33,7 +33,7 @@ def test_groups_stay_together(spark):
     rows = placed.collect()
     check(rows, list(enumerate(texts)))
     edges = sharding.cut_edges(placed.where("size > 4")).first()
-    assert edges["pairs"] == 250 * 6 and edges["cut"] <= 0.1 * edges["pairs"]
+    assert edges["pairs"] == 250 * 6 and edges["cut"] <= 0.2 * edges["pairs"]  # by hash: 0.94
     hot = Counter(r.shard for r in rows if r.size == 4)
     assert len([s for s, n in hot.items() if n > 20]) <= 8
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import chat, decontam, packing, secret_scan, sharding, simhash
+from usagelens.llm import chat, decontam, hnsw, packing, quality, secret_scan, sharding, simhash
 from usagelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.union(more)))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents classified; the source is the host, the language the path."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -41,6 +46,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings."""
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed along the curve."""
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
@@ -51,10 +61,12 @@ def all_queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op1_chat_formatting,
+            op3_quality,
             op4_simhash,
             op5_sharding,
             op6_decontamination,
             op8_secret_scan,
+            op9_embedding_duplicates,
             op10_packing,
         )
     }

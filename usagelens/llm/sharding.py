@@ -51,21 +51,40 @@ def documents(docs: DataFrame) -> DataFrame:
 def _granted(asked: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     """(shard, wanted, share): the share of the requests of each pair of shards that is granted.
 
-    ``asked`` and ``sizes`` have at most shards x shards and shards rows.
+    ``asked`` and ``sizes`` have at most shards x shards and shards rows; they become one row
+    of arrays. An exchange between two shards is granted as a whole. For what goes beyond it, a
+    shard takes in as much as it has room for plus what leaves it at the shares found so far;
+    shares only grow from step to step, so no step exceeds the room.
     """
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    room = sizes.select(
-        F.col("shard").alias("wanted"),
-        F.greatest(F.lit(0.0), (1 + TOLERANCE) * total / shards - F.col("n")).alias("room"),
-    )
-    back = asked.select(F.col("wanted").alias("shard"), F.col("shard").alias("wanted"), F.col("x").alias("y"))
-    both = asked.join(back, ["shard", "wanted"], "left").join(room, "wanted", "left")
-    free = F.least("x", F.coalesce("y", F.lit(0)))
-    more = F.col("x") - free
-    all_more = F.sum(more).over(Window.partitionBy("wanted"))
-    share = F.coalesce("room", (1 + TOLERANCE) * F.lit(0.0)) / F.greatest(all_more, F.lit(1))
-    return both.select(
-        "shard", "wanted", ((free + more * F.least(F.lit(1.0), share)) / F.col("x")).alias("share")
+    flows = asked.select((F.col("shard") * shards + F.col("wanted")).alias("k"), F.col("x").alias("v"))
+    stocks = sizes.select((-1 - F.col("shard")).alias("k"), F.col("n").alias("v"))
+    one = flows.union(stocks).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    pairs, each = f"sequence(0, {shards * shards - 1})", f"sequence(0, {shards - 1})"
+    turned = f"x[(i % {shards}) * {shards} + i div {shards}]"
+
+    def total(of: str) -> str:
+        return f"aggregate(transform({each}, k -> {of}), 0D, (a, v) -> a + v)"
+
+    taken = f"least(1D, (room[j] + {total(f'more[j * {shards} + k] * s[k]')}) / greatest(1D, asks[j]))"
+    steps = f"aggregate(sequence(1, 8), transform({each}, j -> 0D), (s, t) -> transform({each}, j -> {taken}))"
+    return (
+        one.selectExpr(
+            f"transform({pairs}, i -> double(coalesce(try_element_at(m, i), 0))) AS x",
+            f"transform({each}, j -> double(coalesce(try_element_at(m, -1 - j), 0))) AS n",
+        )
+        .selectExpr("x", "n", f"transform({pairs}, i -> least(x[i], {turned})) AS free")
+        .selectExpr("x", "n", "free", "zip_with(x, free, (a, b) -> a - b) AS more")
+        .selectExpr(
+            "*",
+            f"transform(n, v -> greatest(0D, {1 + TOLERANCE}D / {shards} * {total('n[k]')} - v)) AS room",
+            f"transform({each}, j -> {total(f'more[k * {shards} + j]')}) AS asks",
+        )
+        .selectExpr("*", f"{steps} AS s")
+        .selectExpr(
+            f"posexplode(transform({pairs}, i -> (free[i] + more[i] * s[i % {shards}]) / greatest(1D, x[i])))"
+            " AS (k, share)"
+        )
+        .selectExpr(f"int(k div {shards}) AS shard", f"int(k % {shards}) AS wanted", "share")
     )
 
 
@@ -79,6 +98,8 @@ def propagate(rows: DataFrame, key: list[str], shards: int = SHARDS, rounds: int
     now, path = written(
         rows.withColumn("shard", F.pmod(F.xxhash64("grp", *key), F.lit(shards)).cast("int")), "shards-start"
     )
+    # Of a group that no shard can hold, only as many rows as fit ask to move.
+    fits = now.count() / shards
     for k in range(rounds):
         counts = now.groupBy("grp", "shard").agg(F.count("*").alias("n"))
         # most documents, then a shard by the group's hash, so that ties spread evenly
@@ -87,7 +108,12 @@ def propagate(rows: DataFrame, key: list[str], shards: int = SHARDS, rounds: int
             counts.groupBy("grp").agg(F.max(draw)["shard"].alias("wanted"), F.sum("n").alias("members")).where("members > 1"),
             "shards-best",
         )
-        tied, tied_path = written(now.join(best.select("grp", "wanted"), "grp", "left"), "shards-asked")
+        tied, tied_path = written(
+            now.join(best, "grp", "left").withColumn(
+                "wanted", F.when(_unit(F.lit(-1), "grp", *key) < fits / F.col("members"), F.col("wanted"))
+            ),
+            "shards-asked",
+        )
         asked = tied.where("wanted <> shard").groupBy("shard", "wanted").agg(F.count("*").alias("x"))
         sizes = tied.groupBy("shard").agg(F.count("*").alias("n"))
         # at most shards x shards rows
