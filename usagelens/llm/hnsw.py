@@ -36,6 +36,8 @@ BEAM = 32
 #: Queries of a shard held against brute force, and the share of their links to be found.
 AUDIT, RECALL = 64, 0.99
 _QUERIES = 512
+#: What single precision may lose of a cosine.
+_ROUNDING = 1e-5
 
 
 class Graph:
@@ -46,7 +48,7 @@ class Graph:
     """
 
     def __init__(self, unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM):
-        self.unit, self.beam = unit, beam
+        self.unit, self.beam = unit.astype(np.float32), beam  # verified in double precision later
         n = len(unit)
         # Levels by position, which is by hash: a point in DEGREE is on the next level too.
         order = np.arange(n)
@@ -132,7 +134,7 @@ class Graph:
         rows = np.arange(len(queries))[:, None]
         seen = np.zeros((len(queries), len(self.unit)), bool)
         ids = np.full((len(queries), beam), -1, np.int64)
-        close = np.full((len(queries), beam), -2.0)
+        close = np.full((len(queries), beam), -2.0, np.float32)
         open_ = np.zeros((len(queries), beam), bool)
         fresh = entry
         active = rows[:, 0]
@@ -144,12 +146,12 @@ class Graph:
             new &= ~seen[active[:, None], np.maximum(fresh, 0)]
             q, c = np.nonzero(new)
             seen[active[q], fresh[q, c]] = True
-            cos = np.full(fresh.shape, -2.0)
+            cos = np.full(fresh.shape, -2.0, np.float32)
             cos[q, c] = np.einsum("ij,ij->i", queries[active[q]], self.unit[fresh[q, c]])
             all_ids = np.concatenate([ids[active], np.where(new, fresh, -1)], axis=1)
             all_close = np.concatenate([close[active], cos], axis=1)
             all_open = np.concatenate([open_[active], new], axis=1)
-            best = np.argsort(-all_close, axis=1, kind="stable")[:, :beam]
+            best = np.argsort(-all_close, axis=1)[:, :beam]
             ids[active] = np.take_along_axis(all_ids, best, 1)
             close[active] = np.take_along_axis(all_close, best, 1)
             open_[active] = np.take_along_axis(all_open, best, 1)
@@ -157,13 +159,15 @@ class Graph:
             if not len(active):
                 return ids, close
             # the four nearest open points of each beam are looked at in one step
-            next_ = np.argsort(~open_[active], axis=1, kind="stable")[:, :4]
+            place = np.where(open_[active], np.arange(beam, dtype=np.int32), beam)
+            next_ = np.argpartition(place, 3, axis=1)[:, :4]
             looked = np.where(np.take_along_axis(open_[active], next_, 1), np.take_along_axis(ids[active], next_, 1), -1)
             open_[active[:, None], next_] = False
             around = self.near[level][np.maximum(looked, 0)]
             fresh = np.where(looked[:, :, None] >= 0, around, -1).reshape(len(active), -1)
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        queries = queries.astype(np.float32)
         return self._walk(queries, 0, self._entries(queries, 0), beam)
 
 
@@ -187,32 +191,34 @@ class Shard:
             got = self.links(self.unit[some])
             hits = sum(len(np.intersect1d(g, t)) for g, t in zip(got, true, strict=True))
             self.recall = hits / max(1, sum(map(len, true)))
-            if self.recall >= RECALL or self.beam >= len(self.unit):
+            if self.recall >= RECALL or 8 * self.beam >= len(self.unit):
                 return
-            self.beam = min(2 * self.beam, len(self.unit))
+            self.beam *= 2
 
     def links(self, queries: np.ndarray) -> list[np.ndarray]:
-        """The points of the shard whose cosine with each query is enough."""
-        if self.graph is None:
-            return [np.flatnonzero(row >= self.least) for row in queries @ self.unit.T]
+        """The points of the shard whose cosine with each query is enough.
+
+        A beam full of links is widened; one as wide as an eighth of the shard is no cheaper than
+        the shard itself.
+        """
         out: list = [None] * len(queries)
         todo, beam = np.arange(len(queries)), self.beam
         while len(todo):
             again = []
             for at in range(0, len(todo), _QUERIES):
                 some = todo[at : at + _QUERIES]
-                if beam >= len(self.unit):  # the whole shard
+                if self.graph is None or 8 * beam >= len(self.unit):
                     for q, row in zip(some, queries[some] @ self.unit.T, strict=True):
                         out[q] = np.flatnonzero(row >= self.least)
                     continue
                 ids, close = self.graph.search(queries[some], beam)
                 for q, i, c in zip(some.tolist(), ids, close, strict=True):
-                    linked = c >= self.least
-                    if linked[-1]:
+                    near = i[c >= self.least - _ROUNDING]
+                    if len(near) == beam:
                         again.append(q)
                     else:
-                        out[q] = i[linked]
-            todo, beam = np.array(again, np.int64), min(4 * beam, len(self.unit))
+                        out[q] = near[self.unit[near] @ queries[q] >= self.least] if len(near) else near
+            todo, beam = np.array(again, np.int64), 4 * beam
         return out
 
 
@@ -251,15 +257,13 @@ def _search(least: float):
     """
     schema = arrow_schema(FOUND)
 
-    def answers(shard: Shard, root: np.ndarray | None, ids: np.ndarray, copies: np.ndarray, asked: np.ndarray, vectors: np.ndarray):
-        found = shard.links(unit_rows(vectors))
+    def answers(found: list[np.ndarray], asked: np.ndarray, root: np.ndarray, ids: np.ndarray, copies: np.ndarray):
         rows = []
         for q, near in zip(asked.tolist(), found, strict=True):
             others = near[ids[near] != q]
             if len(others):
-                ends = np.unique(root[others])
                 count = int(copies[others].sum())
-                for k, end in enumerate(ends.tolist()):
+                for k, end in enumerate(np.unique(root[others]).tolist()):
                     rows.append((q, count if k == 0 else 0, int(ids[end])))
         columns = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays(
@@ -271,14 +275,17 @@ def _search(least: float):
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shard, root, held = None, None, None, []
-        ids = copies = np.empty(0, np.int64)
-
-        def built() -> None:
-            nonlocal shard, root
-            vectors = np.concatenate([matrix(h) for h in held])
-            shard = Shard(vectors, least)
-            root = _roots(len(vectors), shard.links(shard.unit))
+        key, shard, held = None, None, []
+        root = ids = copies = np.empty(0, np.int64)
+
+        def build() -> pa.RecordBatch:
+            """The shard of the points held, and the links of its own points."""
+            nonlocal shard, root, ids, copies
+            ids, copies = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("class", "copies"))
+            shard = Shard(np.concatenate([matrix(h) for h in held]), least)
+            found = shard.links(shard.unit)
+            root = _roots(len(ids), found)
+            return answers(found, ids, root, ids, copies)
 
         for batch in batches:
             keys = batch.column("bucket").to_numpy(zero_copy_only=False)
@@ -289,17 +296,19 @@ def _search(least: float):
                     continue
                 part = batch.slice(start, end - start)
                 if keys[start] != key:
+                    if held and shard is None:
+                        yield build()
                     key, shard, held = keys[start], None, []
                 if not query[start]:
                     held.append(part)
                     continue
                 if shard is None:
-                    ids = np.concatenate([h.column("class").to_numpy() for h in held])
-                    copies = np.concatenate([h.column("copies").to_numpy() for h in held])
-                    built()
+                    yield build()
                 for at in range(0, part.num_rows, _QUERIES):
                     some = part.slice(at, _QUERIES)
-                    yield answers(shard, root, ids, copies, some.column("class").to_numpy(), matrix(some))
+                    yield answers(shard.links(unit_rows(matrix(some))), some.column("class").to_numpy(), root, ids, copies)
+        if held and shard is None:
+            yield build()
 
     return run
 
@@ -342,7 +351,9 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE, shard: i
     columns = ["bucket", "query", "class", "copies", "embedding"]
     points = dealt.withColumn("s", own).withColumn("bucket", bucket).withColumn("query", F.lit(0)).select(columns)
     asked = (
-        dealt.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        dealt.withColumn("own", own)
+        .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        .where("s <> own")  # a shard asks for its own points itself
         .withColumn("bucket", bucket)
         .withColumn("query", F.lit(1))
         .select(columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import chat, decontam, hnsw, packing, quality, secret_scan, sharding, simhash
+from usagelens.llm import chat, decontam, hnsw, licenses, lmscore, packing, quality, secret_scan, sharding, simhash
 from usagelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.union(more)))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored; the target is what is labelled good and not toxic."""
+    targets = lmscore.good_documents(table(spark, sf_dir, "labels"))
+    return lmscore.score(table(spark, sf_dir, "documents"), targets)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents classified; the source is the host, the language the path."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -41,6 +47,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
@@ -61,10 +72,12 @@ def all_queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op1_chat_formatting,
+            op2_lm_scoring,
             op3_quality,
             op4_simhash,
             op5_sharding,
             op6_decontamination,
+            op7_license_scan,
             op8_secret_scan,
             op9_embedding_duplicates,
             op10_packing,
