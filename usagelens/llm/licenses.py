@@ -115,7 +115,14 @@ VOCABULARY = sorted(
 )
 #: Every feature has one of these words.
 TELLING = sorted({w for p in VOCABULARY for w in p.split() if w not in STOP_WORDS})
-_HAS_WORD = r"(?i)(?<![a-z0-9])(?:" + "|".join(TELLING) + r")(?![a-z0-9])"
+#: By first letter, so that most places of a text fail at once.
+_HAS_WORD = (
+    r"(?i)(?<![a-z0-9])(?:"
+    + "|".join(
+        f"{first}(?:{'|'.join(w[1:] for w in TELLING if w[0] == first)})" for first in sorted({w[0] for w in TELLING})
+    )
+    + r")(?![a-z0-9])"
+)
 FAMILIES = [*sorted({f for f, _ in TEMPLATES}), UNKNOWN]
 
 
@@ -226,7 +233,7 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,line:string>>").alias("found"))
 
     def step(acc: Column, line: Column) -> Column:
-        telling = F.regexp_like(line, F.lit(_HAS_WORD))
+        telling = F.regexp_like(F.lower(line), F.lit(_HAS_WORD))
         own = F.array(F.struct(acc["at"].alias("start"), line.alias("line")))
         return F.struct(
             (acc["at"] + F.char_length(line) + 1).alias("at"),
@@ -234,7 +241,7 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
         )
 
     some = F.aggregate(lines, begin, step, lambda a: a["found"])
-    looked = F.when(F.regexp_like("text", F.lit(_HAS_WORD)), some)
+    looked = F.when(F.regexp_like(F.lower("text"), F.lit(_HAS_WORD)), some)
     rows = docs.select("__row", F.explode_outer(looked).alias("p"))
     rows = rows.select("__row", "p.start", "p.line", pairs(words(F.col("p.line"))).alias("found"))
     rows = rows.withColumn("ps", F.when(F.col("line").isNotNull(), model.probabilities(F.col("found"))))
