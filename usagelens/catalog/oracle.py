@@ -830,7 +830,7 @@ ORDER BY sync_behind_entries DESC, bucket_name LIMIT 50
 )
 
 
-def _sync(limit: int) -> str:
+def _sync(limit: int, only: str = "true") -> str:
     return f"""
 SELECT c.bucket_name, c.owner, c.sync_status, c.sync_behind_shards AS shards_behind,
        c.sync_behind_entries AS entries_behind, c.size_bytes,
@@ -839,7 +839,7 @@ SELECT c.bucket_name, c.owner, c.sync_status, c.sync_behind_shards AS shards_beh
 FROM cur c LEFT JOIN (
   SELECT bucket_name, avg(sync_behind_shards) AS avg_shards, max(sync_behind_shards) AS max_shards
   FROM hist WHERE collected_at >= {_NOW} - INTERVAL 24 HOURS GROUP BY 1) h USING (bucket_name)
-WHERE c.sync_status IS NOT NULL AND c.sync_status <> ''
+WHERE c.sync_status IS NOT NULL AND c.sync_status <> '' AND ({only})
 ORDER BY shards_behind DESC, c.bucket_name LIMIT {limit}
 """
 
@@ -926,7 +926,7 @@ _put(
     f"""
 SELECT substr(bucket_name, 1, 35) AS bucket_name, substr(owner, 1, 15) AS owner, sync_status,
        shards_behind, entries_behind, avg_shards_24h
-FROM ({_sync(30)}) WHERE shards_behind > 0 OR entries_behind > 0
+FROM ({_sync(30, "c.sync_behind_shards > 0 OR c.sync_behind_entries > 0")})
 """,
 )
 _put(

@@ -38,7 +38,8 @@ def entity_details(cur: DataFrame, name: str) -> DataFrame:
 def entity_history(hist: DataFrame, name: str, as_of: datetime, days: int = 30) -> DataFrame:
     """The series of one entity over the last days, in time order."""
     window = since(hist.filter(F.col("bucket_name") == name), as_of - timedelta(days=days))
-    return window.select("collected_at", "size_bytes", "num_objects").orderBy("collected_at")
+    tie = ["id"] if "id" in hist.columns else []
+    return window.orderBy("collected_at", *tie).select("collected_at", "size_bytes", "num_objects")
 
 
 def entity_history_last(

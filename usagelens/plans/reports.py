@@ -72,10 +72,10 @@ def comparison_report(
 
 
 def sync_report(cur: DataFrame, hist: DataFrame, as_of: datetime, limit: int = 30) -> DataFrame:
-    """Lagging rows among the first ``limit`` rows of the sync comparison."""
+    """The first ``limit`` lagging rows of the sync comparison."""
+    lagging = (F.col("sync_behind_shards") > 0) | (F.col("sync_behind_entries") > 0)
     return (
-        sync_comparison(cur, hist, as_of, limit)
-        .filter((F.col("shards_behind") > 0) | (F.col("entries_behind") > 0))
+        sync_comparison(cur.filter(lagging), hist, as_of, limit)
         .select(
             _short("bucket_name", 35),
             _short("owner", 15),
