@@ -14,50 +14,63 @@ DOCS = "doc_id long, text string"
 
 
 def slow(rows, targets):
-    """The scores of (doc_id, text) rows by dictionaries over the same places."""
-    places = [[tuple(int(x) for x in p) for p in zip(*lmscore.coded(t), strict=True)] for _, t in rows]
+    """The scores of (doc_id, text) rows by dictionaries over the words themselves."""
+    found = {}
+    for doc, text in rows:
+        w = (text or "").encode().lower().split()
+        found[doc] = list(zip([None, *w], w, strict=False))
+    size = len({w for pairs in found.values() for _, w in pairs})
     tables = []
-    for keep in (targets, None):
-        word, context, pair = Counter(), Counter(), Counter()
-        for (doc, _), found in zip(rows, places, strict=True):
-            if keep is None or doc in keep:
-                for w, b, p in found:
-                    word[w] += 1
-                    context[b] += 1
-                    pair[p] += 1
-        tables.append((word, context, pair, sum(word.values())))
-
-    def bits(w, b, p, table):
-        word, context, pair, total = table
-        both = min(pair[p], context[b], word[w])
-        alone = (word[w] + 1) / (total + 2**18)
-        return -math.log2((both + lmscore.SMOOTH * alone) / (context[b] + lmscore.SMOOTH))
+    for keep in (targets, found):
+        pair = Counter(p for doc in found if doc in keep for p in found[doc])
+        context = Counter(v for doc in found if doc in keep for v, _ in found[doc])
+        tables.append((context, pair))
+
+    def bits(p, table):
+        context, pair = table
+        return -math.log2((pair[p] + lmscore.SMOOTH / size) / (context[p[0]] + lmscore.SMOOTH))
 
     out = {}
-    for (doc, _), found in zip(rows, places, strict=True):
-        means = [sum(bits(*f, t) for f in found) / max(1, len(found)) for t in tables]
-        out[doc] = (len(found), *means, means[0] - means[1])
+    for doc, pairs in found.items():
+        means = [sum(bits(p, t) for p in pairs) / max(1, len(pairs)) for t in tables]
+        out[doc] = (len(pairs), *means, means[0] - means[1])
     return out
 
 
-def test_against_recount(spark):
+@pytest.mark.parametrize("span", [lmscore.RANGE, 5_000])
+def test_against_recount(spark, monkeypatch, span):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     good = lmscore.good_documents(labels)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
+    size = len({w for _, t in rows for w in (t or "").encode().lower().split()})
+    about, total = lmscore.vocabulary(docs)
+    assert abs(about - size) < 0.05 * size and total == sum(len((t or "").split()) for _, t in rows)
+    monkeypatch.setattr(lmscore, "vocabulary", lambda _: (size, total))
     want = slow(rows, {r.doc_id for r in good.collect()})
-    got = {r.doc_id: tuple(r)[1:] for r in lmscore.score(docs, good).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in lmscore.score(docs, good, span).collect()}
     assert set(got) == set(want)
     for doc, row in want.items():
-        assert got[doc][0] == row[0] and got[doc][1:] == pytest.approx(row[1:], rel=1e-6, abs=1e-6)
+        assert got[doc][0] == row[0] and got[doc][1:] == pytest.approx(row[1:], rel=1e-5, abs=1e-5)
+
+
+def test_keys():
+    context, pair = lmscore.coded("A b a B")
+    assert context[0] == 0 and context[1] == context[3] != context[2]
+    assert pair[1] == pair[3] != pair[2] and max(pair) < 1 << 48
+    assert np.array_equal(lmscore.coded("a  b\tA\nb")[1], pair)
+
+
+def test_long_texts_by_slices(monkeypatch):
+    text = "one  two\nthree " * 40 + "x" * 90 + " end"
+    monkeypatch.setattr(lmscore, "_SLICE", 16)
+    assert [w for some in lmscore.words(text) for w in some] == text.encode().split()
 
 
-def test_places():
-    word, before, pair = lmscore.coded("A b a B")
-    assert word[0] == word[2] and word[1] == word[3] and before[0] == 0
-    assert before[1:].tolist() == word[:-1].tolist()
-    assert pair[1] == pair[3] != pair[2]
-    assert max(pair) < 1 << lmscore.PAIR_BITS and np.array_equal(lmscore.coded("a  b\tA\nb")[2], pair)
+def test_packed():
+    for numbers in ([], [5], [0, 2**48 - 1, 7]):
+        some = np.array(numbers, np.uint64)
+        assert np.array_equal(lmscore.unpacked(lmscore.packed(some)), some)
 
 
 def test_target_like_documents_score_lower(spark):

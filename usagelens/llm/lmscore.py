@@ -1,107 +1,240 @@
 """LM scoring by cross-entropy difference.
 
-Two bigram models of the same order and smoothing share one vocabulary: the background model is
-trained on all documents, the target model on the documents labelled good and not toxic. A
-document's score is the mean over its words of the target loss less the background loss; the
-lower, the more it is like the target.
-
-The vocabulary is one of hashed words: 2**18 word classes, and the counts of word pairs are
-kept in 2**20 places. So a model has a proven size, whatever the corpus, and is broadcast;
-all words of all documents are counted, and words or pairs of one place share its count.
-
-p(w | v) = (c(v, w) + SMOOTH p(w)) / (c(v) + SMOOTH), p(w) = (c(w) + 1) / (N + 2**18), where v is
-the word before, or the start of the document. Losses are in bits.
+Two bigram models of the same order and smoothing share one vocabulary, that of the whole corpus:
+the background model is trained on all documents, the target model on the documents labelled
+good and not toxic. A document's score is the mean over its words of the target loss less the
+background loss; the lower, the more it is like the target.
+
+p(w | v) = (c(v, w) + SMOOTH / V) / (c(v) + SMOOTH), where v is the word before, or the start of the
+document, c(v) its count as such, and V the number of distinct words (HyperLogLog, so it is not
+shuffled). Losses are in bits. The loss of a word is log2(c(v) + SMOOTH) - log2(c(v, w) +
+SMOOTH / V): one term of a context, one of a pair. So counts never meet each other or a text:
+
+1. a task packs the pairs and the contexts of some documents, a *chunk*, into one row for each range
+   of hashed keys; a key is there once, with the documents that have it;
+2. one range of all chunks gives the counts of its keys in both corpora, and at once each
+   document's sum of their terms;
+3. the sums of a chunk's documents are added up.
+
+Counts are exact but for 48-bit hashes of pairs and contexts. The number of ranges follows the
+corpus (``RANGE`` words in each), so a task holds one range's keys, whatever the corpus. A key
+that many documents share is there once a chunk, so a frequent word makes no large group.
 
 Defined cases: a null or blank text has no words, entropies and a difference of 0; labels that are
 null or repeated count by their largest value (toxic: any); a null ``doc_id`` is scored and has
 no label; repeated rows count each; empty tables give empty results, and without target
-documents the target model is uniform; other columns are not read.
+documents the target model is uniform; other columns are not read. One text is in one task.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import arrow_schema, in_parts, written
+from usagelens.llm.common import arrow_schema, in_parts
 
-WORD_BITS, PAIR_BITS = 18, 20
 SMOOTH = 64.0
-_WORDS, _PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
+#: Words of a chunk, and words whose keys are in one range, about.
+CHUNK, RANGE = 2_000_000, 4_000_000
+_SLICE = 1 << 23
+
+
+def words(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, split at ASCII white space, A-Z as a-z; a long text's slice by slice."""
+    data = (text or "").encode().lower()
+    at = 0
+    while len(data) - at > _SLICE:
+        end = at + _SLICE
+        if not data[end - 1 : end].isspace():
+            kept = data[at:end].rsplit(None, 1)
+            if len(kept) < 2:  # no place to cut
+                break
+            end -= len(kept[1])
+        yield data[at:end].split()
+        at = end
+    yield data[at:].split()
+
+
+def coded(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The 48-bit keys of each word's context and pair. The start of a text is a context too."""
+    found = [np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)) for w in words(text)]
+    after = np.concatenate(found)
+    before = np.concatenate((np.zeros(1, np.uint64), after[:-1])) if len(after) else after
+    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ after
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return before >> np.uint64(16), mixed >> np.uint64(16)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes, the highest bytes first."""
+    planes = numbers.astype(">u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
+
+
+#: ``kind``: -1 a chunk's documents, 0 contexts, 1 pairs.
+PACKED = "kind int, span long, chunk long, keys binary, times binary, docs binary, targets binary"
+
+
+def _pack(spans: int):
+    schema = arrow_schema(PACKED)
+
+    def ranges(kind: int, chunk: int, found: list[np.ndarray], targets: bytes) -> Iterator[tuple]:
+        """A row for each range of keys that the chunk has, keys in order."""
+        keys = np.concatenate(found)
+        docs = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        order = np.argsort(keys, kind="stable")
+        keys, docs = keys[order], docs[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, int)
+        times = np.diff(np.append(first, len(keys)))
+        distinct = keys[first]
+        span = ((distinct >> np.uint64(16)) * np.uint64(spans)) >> np.uint64(32)
+        cuts = np.flatnonzero(np.concatenate(([True], span[1:] != span[:-1]))) if len(span) else np.empty(0, int)
+        for a, b in zip(cuts, np.append(cuts[1:], len(span)), strict=True):
+            start, end = first[a], first[b] if b < len(first) else len(keys)
+            steps = np.diff(distinct[a:b], prepend=np.uint64(0))
+            yield kind, int(span[a]), chunk, packed(steps), packed(times[a:b]), packed(docs[start:end]), targets
+
+    def rows(chunk: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, goals, contexts, pairs = zip(*held, strict=True)
+        targets = packed(np.array(goals, np.uint64))
+        named = np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)
+        known = packed(np.array([i is not None for i in ids], np.uint64))
+        sizes = packed(np.array([len(p) for p in pairs], np.uint64))
+        yield batch([(-1, chunk, chunk, packed(named), known, sizes, targets)])
+        yield from (batch([r]) for r in ranges(0, chunk, contexts, targets))
+        yield from (batch([r]) for r in ranges(1, chunk, pairs, targets))
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for part in in_parts(batches):
+            for doc, text, goal in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                held.append((doc, goal, *coded(text)))
+                size += 1 + len(held[-1][-1])
+                if size >= CHUNK:
+                    yield from rows(chunk, held)
+                    chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield from rows(chunk, held)
 
-def coded(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The places of each word, of the word before it, and of the pair.
+    return run
 
-    Words are split at white space, A-Z as a-z. The start of a text is the word class 0.
-    """
-    found = [] if text is None else text.encode().lower().split()
-    sums = np.fromiter(map(zlib.crc32, found), np.uint64, len(found))
-    before = np.concatenate((np.zeros(1, np.uint64), sums[:-1])) if len(sums) else sums
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15) + sums) * np.uint64(0xD6E8FEB86659FD93)
-    low = np.uint64(_WORDS - 1)
-    return (
-        (sums & low).astype(np.int64),
-        (before & low).astype(np.int64),
-        (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64),
-    )
 
+SUMS = "chunk long, kind int, ids binary, known binary, sizes binary, sums binary"
 
-COUNTS = "place long, n long, target long"
 
+def _grouped(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """The rows of sorted batches by the values of some columns."""
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of one task: words at their place, contexts after them, then pairs."""
-    schema = arrow_schema(COUNTS)
-    size = 2 * _WORDS + _PAIRS
-    totals = np.zeros((2, size), np.int64)
-    for batch in in_parts(batches):
-        for text, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            word, before, pair = coded(text)
-            places = np.concatenate((word, _WORDS + before, 2 * _WORDS + pair))
-            np.add.at(totals[0], places, 1)
-            if target:
-                np.add.at(totals[1], places, 1)
-    some = np.flatnonzero(totals[0])
-    for at in range(0, len(some), 100_000):
-        k = some[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(k), pa.array(totals[0][k]), pa.array(totals[1][k])], schema=schema
-        )
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            at = [batch.schema.get_field_index(k) for k in keys]
+            for k in range(batch.num_rows):
+                row = tuple(c[k].as_py() for c in batch.columns)
+                yield tuple(row[i] for i in at), row
 
+    for key, found in groupby(rows(), key=lambda r: r[0]):
+        yield key, (row for _, row in found)
 
-class Model:
-    """Counts of one corpus in their places."""
 
-    def __init__(self, counts: np.ndarray):
-        self.words = counts[:_WORDS].astype(np.float32)
-        self.contexts = counts[_WORDS : 2 * _WORDS].astype(np.float32)
-        self.pairs = counts[2 * _WORDS :].astype(np.float32)
-        self.total = float(counts[:_WORDS].sum())
+def _sum(vocabulary: int):
+    """Counts of each range's keys, and of each chunk's documents the sums of their terms."""
+    schema = arrow_schema(SUMS)
 
-    def bits(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """The loss of each word. A pair's place may hold other pairs too, so its count is
-        bounded by those of its two words."""
-        context = self.contexts[before].astype(np.float64)
-        alone = self.words[word].astype(np.float64)
-        both = np.minimum(np.minimum(self.pairs[pair], context), alone)
-        return -np.log2((both + SMOOTH * (alone + 1) / (self.total + _WORDS)) / (context + SMOOTH))
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, _), found in _grouped(batches, "kind", "span"):
+            if kind < 0:
+                for _, _, chunk, ids, known, sizes, _ in found:
+                    yield row(chunk, kind, ids, known, sizes, None)
+                continue
+            held, keys, alls, goals = [], [], [], []
+            for _, _, chunk, steps, times, docs, targets in found:
+                n = unpacked(times).astype(np.int64)
+                goal = unpacked(targets)[unpacked(docs).astype(np.int64)]
+                keys.append(np.cumsum(unpacked(steps), dtype=np.uint64))
+                alls.append(n)
+                goals.append(np.add.reduceat(goal, np.cumsum(n) - n).astype(np.int64))
+                held.append((chunk, times, docs))
+            cuts = np.cumsum([len(k) for k in keys])[:-1]
+            _, place = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            more = SMOOTH / vocabulary if kind else SMOOTH
+            sign = -1.0 if kind else 1.0
+            target, background = (
+                sign * np.log2(np.bincount(place, np.concatenate(c)) + more) for c in (goals, alls)
+            )
+            del alls, goals
+            for (chunk, times, docs), own in zip(held, np.split(place, cuts), strict=True):
+                n, doc = unpacked(times).astype(np.int64), unpacked(docs).astype(np.int64)
+                some = np.flatnonzero(np.bincount(doc))
+                # the difference is far smaller than the loss, so it is rounded by itself
+                terms = (target[own], target[own] - background[own])
+                sums = [np.bincount(doc, np.repeat(t, n))[some].astype(np.float32) for t in terms]
+                yield row(chunk, kind, packed(some), None, None, np.concatenate(sums).tobytes())
+
+    return run
 
-def counts(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(place, n, target) over all documents; at most 2 x 2**18 + 2**20 rows.
 
-    Each task counts its own texts first, so what is shuffled is bounded by tasks, not words.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = texts.join(targets.withColumn("target", F.lit(True)), "doc_id", "left")
-    partial = marked.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_count, COUNTS)
-    return partial.groupBy("place").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+SCORES = "doc_id long, n_words long, target_entropy double, background_entropy double, difference double"
+
+
+def _add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entropies of each chunk's documents; its row of documents comes first."""
+    schema = arrow_schema(SCORES)
+    for _, found in _grouped(batches, "chunk"):
+        _, kind, ids, known, sizes, _ = next(found)
+        if kind >= 0:
+            raise ValueError("a chunk without its documents")
+        n = unpacked(sizes).astype(np.int64)
+        totals = np.zeros((2, len(n)))
+        for _, _, some, _, _, sums in found:
+            totals[:, unpacked(some).astype(np.int64)] += np.frombuffer(sums, np.float32).reshape(2, -1)
+        target, difference = totals / np.maximum(1, n)
+        names = pa.array(unpacked(ids).view(np.int64), pa.int64(), mask=unpacked(known) == 0)
+        columns = [names, *map(pa.array, (n, target, target - difference, difference))]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): hashes of a task's words, each once a while, and how many words there were."""
+    schema = arrow_schema("word long, n long")
+
+    def batch(found: set[bytes], n: int) -> pa.RecordBatch:
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
+        counts = np.zeros(len(found), np.int64)
+        counts[:1] = n
+        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts)], schema=schema)
+
+    found, n = set(), 0
+    for part in in_parts(batches):
+        for text in part.column(0).to_pylist():
+            for some in words(text):
+                found.update(some)
+                n += len(some)
+            if len(found) > 200_000:
+                yield batch(found, n)
+                found, n = set(), 0
+    if found:
+        yield batch(found, n)
 
 
 def good_documents(labels: DataFrame) -> DataFrame:
@@ -115,33 +248,25 @@ def good_documents(labels: DataFrame) -> DataFrame:
     )
 
 
-def models(docs: DataFrame, targets: DataFrame) -> tuple[Model, Model]:
-    """(target, background): their tables have a fixed number of places."""
-    table, _ = written(counts(docs, targets), "lm-counts")
-    found = table.toPandas()
-    places = np.zeros((2, 2 * _WORDS + _PAIRS), np.int64)
-    places[:, found["place"].to_numpy()] = found["target"].to_numpy(), found["n"].to_numpy()
-    return Model(places[0]), Model(places[1])
-
-
-SCORES = "doc_id long, n_words long, target_entropy double, background_entropy double, difference double"
+def vocabulary(docs: DataFrame) -> tuple[int, int]:
+    """The distinct words of all documents, about, and all words; one row for the driver."""
+    found = docs.select("text").mapInArrow(_distinct, "word long, n long")
+    row = found.agg(F.approx_count_distinct("word", 0.01), F.sum("n")).first()
+    return max(1, row[0]), row[1] or 0
 
 
-def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per document: its words, its entropy under both models and their difference."""
-    pair = docs.sparkSession.sparkContext.broadcast(models(docs, targets))
-    schema = arrow_schema(SCORES)
+def score(docs: DataFrame, targets: DataFrame, span: int = RANGE) -> DataFrame:
+    """One row per document: its words, its entropy under both models and their difference.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = pair.value
-        for batch in in_parts(batches):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                places = coded(text)
-                n = len(places[0])
-                means = [float(m.bits(*places).sum()) / max(1, n) for m in (target, background)]
-                rows.append((n, *means, means[0] - means[1]))
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORES)
+    ``docs`` are read twice; they are a table, whose tasks give the same rows when repeated.
+    """
+    distinct, total = vocabulary(docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marks = targets.select("doc_id").distinct().withColumn("target", F.lit(1))
+    # documents without a label need no partner, and texts are not shuffled for the few labels
+    marked = texts.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)))
+    ranges = marked.mapInArrow(_pack(1 + total // span), PACKED)
+    sums = (
+        ranges.repartition("kind", "span").sortWithinPartitions("kind", "span", "chunk").mapInArrow(_sum(distinct), SUMS)
+    )
+    return sums.repartition("chunk").sortWithinPartitions("chunk", "kind", "ids").mapInArrow(_add, SCORES)
