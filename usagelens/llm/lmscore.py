@@ -43,7 +43,7 @@ from usagelens.llm.common import arrow_schema, in_parts
 
 SMOOTH = 64.0
 #: Words of a chunk, and words whose keys are in one range, about.
-CHUNK, RANGE = 2_000_000, 4_000_000
+CHUNK, RANGE = 4_000_000, 8_000_000
 _SLICE = 1 << 23
 
 
@@ -89,6 +89,7 @@ PACKED = "kind int, span long, chunk long, keys binary, times binary, docs binar
 
 
 def _pack(spans: int):
+    """Contexts, of which fewer are distinct, have a quarter of the ranges of pairs."""
     schema = arrow_schema(PACKED)
 
     def ranges(kind: int, chunk: int, found: list[np.ndarray], targets: bytes) -> Iterator[tuple]:
@@ -100,7 +101,7 @@ def _pack(spans: int):
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, int)
         times = np.diff(np.append(first, len(keys)))
         distinct = keys[first]
-        span = ((distinct >> np.uint64(16)) * np.uint64(spans)) >> np.uint64(32)
+        span = ((distinct >> np.uint64(16)) * np.uint64(spans if kind else 1 + spans // 4)) >> np.uint64(32)
         cuts = np.flatnonzero(np.concatenate(([True], span[1:] != span[:-1]))) if len(span) else np.empty(0, int)
         for a, b in zip(cuts, np.append(cuts[1:], len(span)), strict=True):
             start, end = first[a], first[b] if b < len(first) else len(keys)
@@ -171,8 +172,8 @@ def _sum(vocabulary: int):
                 n = unpacked(times).astype(np.int64)
                 goal = unpacked(targets)[unpacked(docs).astype(np.int64)]
                 keys.append(np.cumsum(unpacked(steps), dtype=np.uint64))
-                alls.append(n)
-                goals.append(np.add.reduceat(goal, np.cumsum(n) - n).astype(np.int64))
+                alls.append(n.astype(np.int32))
+                goals.append(np.add.reduceat(goal, np.cumsum(n) - n).astype(np.int32))
                 held.append((chunk, times, docs))
             cuts = np.cumsum([len(k) for k in keys])[:-1]
             _, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -258,13 +259,18 @@ def vocabulary(docs: DataFrame) -> tuple[int, int]:
 def score(docs: DataFrame, targets: DataFrame, span: int = RANGE) -> DataFrame:
     """One row per document: its words, its entropy under both models and their difference.
 
-    ``docs`` are read twice; they are a table, whose tasks give the same rows when repeated.
+    ``docs`` are read twice. Their labels come by one shuffle of the texts at any size; a broadcast
+    would have no bound.
     """
     distinct, total = vocabulary(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = targets.select("doc_id").distinct().withColumn("target", F.lit(1))
-    # documents without a label need no partner, and texts are not shuffled for the few labels
-    marked = texts.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)))
+    # sorted whole, so that a repeated task makes the same chunks
+    marked = (
+        texts.join(marks.hint("shuffle_hash"), "doc_id", "left")
+        .select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target"))
+        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+    )
     ranges = marked.mapInArrow(_pack(1 + total // span), PACKED)
     sums = (
         ranges.repartition("kind", "span").sortWithinPartitions("kind", "span", "chunk").mapInArrow(_sum(distinct), SUMS)
