@@ -141,16 +141,21 @@ class Model:
             return start
         entries = [x for p, w in sorted(self.weights.items()) for x in (F.lit(p), F.array(*[F.lit(v) for v in w]))]
         table = F.create_map(*entries)
-        own = F.filter(found, lambda p: F.array_contains(F.map_keys(table), p))
+        own = F.array_intersect(found, F.array(*[F.lit(p) for p in sorted(self.weights)]))
         return F.aggregate(
             own, start, lambda s, p: F.zip_with(s, F.element_at(table, p), lambda a, b: a + b)
         )
 
     def probabilities(self, found: Column, temperature: float | None = None) -> Column:
-        t = temperature or self.temperature
-        scores = self.scores(found)
-        raised = F.transform(scores, lambda s: F.exp((s - F.array_max(scores)) / t))
-        return F.transform(raised, lambda e: e / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+        return _normed(_raised(self.scores(found), temperature or self.temperature))
+
+
+def _raised(scores: Column, temperature: float) -> Column:
+    return F.transform(scores, lambda s: F.exp((s - F.array_max(scores)) / temperature))
+
+
+def _normed(raised: Column) -> Column:
+    return F.transform(raised, lambda e: e / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
 def _rows(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
@@ -244,7 +249,10 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     looked = F.when(F.regexp_like(F.lower("text"), F.lit(_HAS_WORD)), some)
     rows = docs.select("__row", F.explode_outer(looked).alias("p"))
     rows = rows.select("__row", "p.start", "p.line", pairs(words(F.col("p.line"))).alias("found"))
-    rows = rows.withColumn("ps", F.when(F.col("line").isNotNull(), model.probabilities(F.col("found"))))
+    # a column a step: inside a lambda the step before would be worked out for every family
+    rows = rows.withColumn("scores", F.when(F.col("line").isNotNull(), model.scores(F.col("found"))))
+    rows = rows.withColumn("raised", _raised(F.col("scores"), model.temperature))
+    rows = rows.withColumn("ps", _normed(F.col("raised")))
     best = F.array_max("ps")
     names = F.array(*[F.lit(f) for f in FAMILIES])
     rows = rows.withColumn("probability", best).withColumn(
