@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from usagelens.llm import packing
@@ -99,3 +100,20 @@ def test_copies_are_neighbours(spark):
         places.setdefault(r.doc_id % 50, set()).add(r.curve)
     assert all(len(p) == 1 for p in places.values())
     assert len(set.union(*places.values())) > 25
+
+
+def test_parts_of_words():
+    texts = [
+        "a.b", "don't stop's, it's", "'s", " x", "", "\n", "a\nb", "a \nb", "$$$ ab$$ 's'", "é!! É.", "ß's,",
+        "a\0b", "日本 語。", "x y", "naïve,naïve", "ŉa ǅ Ω", "a_b_ _", "a''s", "12ab, ab12.", "🙂🙂 a🙂", None,
+    ]
+    got = packing.WordTokens(PATH).encode(pa.array(texts))
+    assert [g.tolist() for g in got] == [whole_ids(t)[:-1] for t in texts]
+    assert packing.WordTokens(PATH).encode(pa.array([], pa.string())) == []
+
+
+def test_batches_by_size():
+    texts = ["a" * 10, None, "b" * 35, "", "c" * 5, "d" * 6]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    parts = [p.column(0).to_pylist() for p in packing.by_size([batch, batch.slice(0, 0)], 20)]
+    assert sum(parts, []) == texts and len(parts) > 1

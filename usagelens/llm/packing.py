@@ -13,18 +13,21 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
+import string
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from usagelens.llm.common import arrow_schema, in_parts, written
 
@@ -32,82 +35,114 @@ TOKENIZER = "byte_bpe_50k.json"
 LENGTH = 1024
 END = 0
 DIMENSIONS, BITS = 3, 16
-# Distinct parts of texts a worker remembers the ids of; when they are more, it starts anew.
-_KNOWN = 700_000
+# Bytes of text encoded together.
+_TOGETHER = 32 << 20
 
 
-def _shown() -> dict[int, int]:
+def _shown() -> np.ndarray:
     """The character that stands for each byte in a byte-level vocabulary: printable Latin-1
     for itself, U+0100 and what follows for the other bytes in their order."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in printable]
-    return {b: 256 + k for k, b in enumerate(others)}
+    out = np.arange(256, dtype="<u4")
+    out[others] = 256 + np.arange(len(others))
+    return out
 
 
 _SHOWN = _shown()
+# White space that is not one blank or line end between two other characters, and NUL.
+_LOOSE = (
+    r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}"
+    r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+# Letters that every version of Unicode calls so, and the ASCII punctuation of which a run after
+# a letter begins a token of the pre-tokeniser (an apostrophe may belong to the word).
+_LETTER = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"
+_STOP = "[" + re.escape(string.punctuation.replace("'", "")) + "]"
 
 
 class WordTokens:
-    """Ids of whole texts by a ``tokenizers`` file, each distinct word encoded once.
+    """Ids of whole texts by a ``tokenizers`` file, each distinct word of a call encoded once.
 
     The pre-tokeniser never joins across a single space between two other characters but puts
-    it before the next word, and a single line end is a token by itself. So the ids of a text
-    are those of its parts between them, and the parts of a corpus come again and again. No special token is recognised in a text.
+    it before the next word, a single line end is a token by itself, and a word ends before a
+    stop. So the ids of a text are those of its parts between these places, and the parts of
+    texts come again and again. Texts with other white space are encoded whole. No special
+    token is recognised in a text.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._merge = self._tokenizer.model.tokenize
         if self._tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self._known: dict[str, bytes] = {}
-
-    def _ids(self, part: str) -> bytes:
-        """A word of Latin letters, with or without its space, is one token of the
-        pre-tokeniser; so the merges can begin at once."""
-        core = part.removeprefix(" ")
-        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
-            if core.isascii():
-                shown = part.replace(" ", "\u0120")
-            else:
-                shown = part.encode().decode("latin-1").translate(_SHOWN)
-            return array("H", [t.id for t in self._merge(shown)]).tobytes()
-        return array("H", self._tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        # the merges alone, for words in the characters of the vocabulary between line ends
+        line = chr(_SHOWN[10])
+        self._words = Tokenizer(self._tokenizer.model)
+        self._words.pre_tokenizer = Split(line, "isolated")
+        self._line = self._tokenizer.token_to_id(line)
 
     @staticmethod
-    def _parts(text: str) -> list[str]:
-        words = text.split()
-        loose = len(" ".join(words)) != len(text) or text.count(" ") + text.count("\n") != len(words) - 1
-        if loose or "\0" in text:  # white space beside other, at an end, or of another kind
-            return [text]
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-    def _learn(self, parts: set[str]) -> None:
-        """Encodes new parts; a stop after a letter is a token by itself, so the word is shared."""
-        known, ids = self._known, self._ids
-        stops = {stop: ids(stop) for stop in ",."}
-        for part in parts:
-            stop = stops.get(part[-1:]) if part[-2:-1].isalpha() else None
-            word = part[:-1] if stop else part
-            code = known.get(word)
-            if code is None:
-                code = known[word] = ids(word)
-            if stop:
-                known[part] = code + stop
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text as unsigned 16-bit numbers."""
-        known = self._known
-        split = [self._parts(t) for t in texts]
-        parts = set().union(*split)
-        new = parts.difference(known)
-        if len(known) + len(new) > _KNOWN:
-            known.clear()
-            new = parts
-        self._learn(new)
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u2") for p in split]
+    def _each(tokenizer: Tokenizer, texts: Iterable[str]) -> list[np.ndarray]:
+        """One after the other: what the library keeps of a text besides its ids is large."""
+        encode = tokenizer.encode_batch_fast
+        return [np.array(encode([text], add_special_tokens=False)[0].ids, "<u2") for text in texts]
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return self._each(self._tokenizer, texts)
+
+    def _by_merges(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of words that are each one token of the pre-tokeniser, a line end after each."""
+        joined = ("\n".join(words[k : k + 512]) + "\n" for k in range(0, len(words), 512))
+        shown = (_SHOWN[np.frombuffer(j.encode(), np.uint8)].tobytes().decode("utf-32-le") for j in joined)
+        return self._each(self._words, shown)
+
+    def _tidy(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of texts without loose white space."""
+        marked = pc.replace_substring_regex(texts, f"({_LETTER})({_STOP})", "\\1\0\\2")
+        marked = pc.replace_substring(pc.replace_substring(marked, "\n", "\0\n\0"), " ", "\0 ")
+        split = pc.split_pattern(marked, "\0")
+        coded = split.flatten().dictionary_encode()
+        parts, places = coded.dictionary, coded.indices.to_numpy()
+        is_word = pc.match_substring_regex(parts, rf"\A ?{_LETTER}+\z")
+        words, rest = parts.filter(is_word).to_pylist(), parts.filter(pc.invert(is_word)).to_pylist()
+        # all ids of the words and where each word's line end was
+        ids = np.concatenate([*self._by_merges(words), np.empty(0, "<u2")])
+        ends = np.flatnonzero(ids == self._line)
+        ends = ends - np.arange(len(ends))
+        others = self._whole(rest)
+        ids = np.concatenate([ids[ids != self._line], *others])
+        more = ends[-1] if len(ends) else 0
+        offsets = np.concatenate([[0], ends, more + np.cumsum([len(o) for o in others], dtype=np.int64)])
+        buffers = [None, pa.py_buffer((2 * offsets).astype("<i8")), pa.py_buffer(ids)]
+        codes = pa.Array.from_buffers(pa.large_binary(), len(parts), buffers)
+        flags = is_word.to_numpy(zero_copy_only=False)
+        order = np.empty(len(parts), np.int64)
+        order[np.concatenate([np.flatnonzero(flags), np.flatnonzero(~flags)])] = np.arange(len(parts))
+        _, ends, raw = codes.take(pa.array(order[places])).buffers()
+        found = np.frombuffer(raw or b"", "<u2")
+        at = np.frombuffer(ends, "<i8")[split.offsets.to_numpy()] // 2
+        return [found[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (null: none) as unsigned 16-bit numbers."""
+        texts = texts.fill_null("")
+        loose = pc.match_substring_regex(texts, _LOOSE)
+        tidy = iter(self._tidy(texts.filter(pc.invert(loose))))
+        apart = iter(self._whole(texts.filter(loose).to_pylist()))
+        return [next(apart if alone else tidy) for alone in loose.to_pylist()]
+
+
+def by_size(batches: Iterable[pa.RecordBatch], size: int = _TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about so many bytes of their column ``text``, a longer text by itself."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text").fill_null("")).to_numpy(zero_copy_only=False)
+        place = (np.cumsum(sizes, dtype=np.int64) - sizes) // size
+        cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if end > start:
+                yield batch.slice(start, end - start)
 
 
 @cache
@@ -177,8 +212,8 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens_of(tokenizer).encode
-        for batch in in_parts(batches):
-            ids = encode([text or "" for text in batch.column(1).to_pylist()])
+        for batch in by_size(batches):
+            ids = encode(batch.column("text"))
             keys = hilbert_key(projected(ids))
             closed = [x.tobytes() + END.to_bytes(2, "little") for x in ids]
             yield pa.RecordBatch.from_arrays(
