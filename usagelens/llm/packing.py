@@ -36,7 +36,7 @@ LENGTH = 1024
 END = 0
 DIMENSIONS, BITS = 3, 16
 # Bytes of text encoded together.
-_TOGETHER = 32 << 20
+_TOGETHER = 8 << 20
 
 
 def _shown() -> np.ndarray:
