@@ -15,7 +15,7 @@ from usagelens.operators import listing, summary, worklist
 from usagelens.plans import refresh, serving
 from usagelens.sinks import versions
 from usagelens.sources import snapshots
-from usagelens.streaming.refresh import refresh_folder
+from usagelens.streaming.refresh import refresh_folder, stream_id
 
 STALE = 60
 
@@ -260,13 +260,62 @@ def test_run_that_died_half_way_is_repeated(spark, store, monkeypatch):
     assert store.tables(spark).hist.count() == 3
 
 
+@pytest.mark.parametrize("after", ["repair", "empty run", "run without history"])
+def test_dead_run_leaves_no_rows(spark, store, monkeypatch, after):
+    refresh.load_documents(spark, store, documents(spark, ["a"], NOW), 1)
+
+    def lost(*_):
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(refresh, "_finish_run", lost)
+        with pytest.raises(RuntimeError):
+            refresh.load_documents(spark, store, documents(spark, ["ghost", "a"], NOW + timedelta(1), 7), 2)
+    if after == "repair":
+        refresh.repair(spark, store, NOW)
+    elif after == "empty run":
+        refresh.load_documents(spark, store, documents(spark, ["a"], NOW).limit(0), 2)
+    else:
+        refresh.load_documents(spark, store, documents(spark, ["a"], NOW), 2, save_history=False)
+    seen = store.tables(spark)
+    assert store.last_version(spark) == 2
+    assert rows_of(seen.cur.select("bucket_name", "size_bytes")) == [("a", 1024)]
+    assert rows_of(seen.usage.select("bucket_name", "size_bytes")) == [("a", 1024)]
+    assert rows_of(seen.hist.select("bucket_name", "size_bytes")) == [("a", 1024)]
+
+
+def test_new_checkpoint_at_an_old_place_is_another_stream(spark, store, tmp_path):
+    first, second, checkpoint = tmp_path / "first", tmp_path / "second", tmp_path / "checkpoint"
+    _land(first, "1.json", [document("a", 1)], 1_800_000_000)
+    refresh_folder(spark, str(first), store, str(checkpoint), once=True).awaitTermination()
+    checkpoint.rename(tmp_path / "retired")
+    _land(second, "2.json", [document("b", 2)], 1_800_000_001)
+    refresh_folder(spark, str(second), store, str(checkpoint), once=True).awaitTermination()
+    got = store.current.read(spark).select("bucket_name", "size_bytes")
+    assert sorted(rows_of(got)) == [("a", 1), ("b", 2)]
+
+
+def test_replication_status_is_one_reading(spark, store):
+    def status(*values):
+        ddl = "bucket_name string, sync_status string, sync_behind_shards int, sync_behind_entries int, sync_source_zone string"
+        return spark.createDataFrame([("a", *values)], ddl)
+
+    names = ["sync_status", "sync_behind_shards", "sync_behind_entries", "sync_source_zone"]
+    refresh.bulk_refresh(spark, store, documents(spark, ["a"], NOW), sync=status("behind", 3, 7, "east"))
+    later = documents(spark, ["a"], NOW + timedelta(1))
+    refresh.bulk_refresh(spark, store, later, sync=status("synced", 0, None, None))
+    refresh.bulk_refresh(spark, store, documents(spark, ["a"], NOW + timedelta(2)))
+    assert rows_of(store.current.read(spark).select(*names)) == [("synced", 0, None, None)]
+
+
 def test_stream_after_bulk_keeps_what_is_there(spark, store, tmp_path):
     refresh.bulk_refresh(spark, store, documents(spark, ["a", "b"], NOW))
     landing, checkpoint = tmp_path / "landing", str(tmp_path / "checkpoint")
     _land(landing, "1.json", [document("b", 9), document("c", 9)], 1_800_000_000)
     refresh_folder(spark, str(landing), store, checkpoint, once=True).awaitTermination()
     refresh.bulk_refresh(spark, store, documents(spark, ["d"], NOW))
-    assert store.last_batch(spark, checkpoint) == 0 and store.last_batch(spark, "other") == -1
+    assert store.last_batch(spark, stream_id(spark, checkpoint)) == 0
+    assert store.last_batch(spark, "other") == -1
     got = store.current.read(spark).select("bucket_name", "size_bytes")
     assert sorted(rows_of(got)) == [("a", 1024), ("b", 9), ("c", 9), ("d", 1024)]
     assert store.tables(spark).hist.count() == 5

@@ -16,9 +16,9 @@ def latest_per_key(
 ) -> DataFrame:
     """The last row per key by ``order``.
 
-    ``carry`` columns take their last value that is not NULL instead, so a row that does
-    not know them keeps what an earlier row said. From then on the value counts as said by
-    the row that kept it.
+    ``carry`` columns belong together. They come from the last row in which the first of them
+    is not NULL, so a row that does not know them keeps what an earlier row said, and never a
+    mixture of two rows. From then on they count as said by the row that kept them.
 
     Plain aggregates: rows of one key are reduced before the shuffle, and no key's rows are
     ever gathered in one task, however many it has.
@@ -27,10 +27,13 @@ def latest_per_key(
     rest = [c for c in df.columns if c not in keys and c not in carry]
     rank = F.struct(*order)
     kept = [F.max_by(F.struct(*rest), rank).alias("_row")]
-    # the rank is NULL where the value is, and a NULL rank never wins
-    kept += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in carry]
+    if carry:
+        # the rank is NULL in rows that do not know them, and a NULL rank never wins
+        known = F.when(F.col(carry[0]).isNotNull(), rank)
+        kept.append(F.max_by(F.struct(*carry), known).alias("_carried"))
     merged = df.groupBy(*keys).agg(*kept)
-    return merged.select(*[F.col(f"_row.{c}") if c in rest else F.col(c) for c in df.columns])
+    places = dict.fromkeys(rest, "_row.") | dict.fromkeys(carry, "_carried.")
+    return merged.select(*[F.col(places.get(c, "") + c) for c in df.columns])
 
 
 def merge_latest(

@@ -18,7 +18,7 @@ from usagelens.operators.summary import STALE_SECONDS
 from usagelens.operators.worklist import BULK_THRESHOLD, refresh_plan, refresh_worklist
 from usagelens.schemas import ADDED_LATER, CLASS_USAGE, CURRENT, SYNC_COLUMNS
 from usagelens.sinks import versions
-from usagelens.sinks.history import append_history, read_history
+from usagelens.sinks.history import append_history, read_history, version_path
 from usagelens.sinks.keyed import KeyedTable
 from usagelens.sources.snapshots import ARRIVAL, BLOCK, named, parse_documents, readable
 from usagelens.sources.sync import attach_sync
@@ -38,8 +38,8 @@ class StatsStore:
     """Folders of the tables under one root on shared storage; one writer at a time.
 
     A run writes all tables under the next version number and is committed last. Until then
-    the number is not taken: whoever runs next starts from the last complete run and
-    replaces whatever an unfinished one has left.
+    the number is not taken: whoever runs next starts from the last complete run and first
+    removes whatever an unfinished one has left, whichever tables it writes itself.
     """
 
     root: str
@@ -86,6 +86,20 @@ class StatsStore:
     def next_version(self, spark: SparkSession) -> int:
         return self.last_version(spark) + 1
 
+    def start_run(self, spark: SparkSession, version: int) -> float:
+        """Remove what a run that died has left under a version; returns when the run started.
+
+        Nothing is removed where the version is complete: repeating it replaces its rows.
+        """
+        started = time.monotonic()
+        if version > self.last_version(spark):
+            for root in (self.current.root, self.usage.root, self.runs):
+                # the commit goes first: there is never one without its rows
+                versions.remove(spark, versions.commit_path(root, version))
+                versions.remove(spark, versions.data_path(root, version))
+            versions.remove(spark, version_path(self.history_path, version))
+        return started
+
     def last_batch(self, spark: SparkSession, stream: str) -> int:
         """The last micro-batch of a stream that is in the tables, -1 for none."""
         newest = self.last_version(spark)
@@ -183,7 +197,7 @@ def load_documents(
     run that failed at any point is repeated as a whole. ``batch`` names the stream and the
     micro-batch the documents come from.
     """
-    started = time.monotonic()
+    started = store.start_run(spark, version)
     documents = _in_order(documents)
     parsed = parse_documents(_spread(documents))
     if only is not None:
@@ -304,7 +318,8 @@ def repair(spark: SparkSession, store: StatsStore, as_of: datetime) -> DataFrame
 
     Only the shards that hold such rows are rewritten.
     """
-    started, version = time.monotonic(), store.next_version(spark)
+    version = store.next_version(spark)
+    started = store.start_run(spark, version)
     cur = store.tables(spark).cur
     broken = cur.filter(F.col("collected_at").isNull())
     store.current.upsert(spark, repair_null_times(broken, as_of), version)

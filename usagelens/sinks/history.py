@@ -19,6 +19,10 @@ _LAYOUT = T.StructType(
 )
 
 
+def version_path(path: str, version: int) -> str:
+    return f"{path}/version={version}"
+
+
 def with_date(history: DataFrame) -> DataFrame:
     return history.withColumn(PARTITION_DATE, F.col("collected_at").cast("date"))
 
@@ -35,7 +39,7 @@ def append_history(history: DataFrame, path: str, version: int) -> None:
         .sortWithinPartitions(PARTITION_DATE, "bucket_name")
         .write.mode("overwrite")
         .partitionBy(PARTITION_DATE)
-        .parquet(f"{path}/version={version}")
+        .parquet(version_path(path, version))
     )
 
 
@@ -55,6 +59,9 @@ def read_history(spark: SparkSession, path: str, upto: int | None = None) -> Dat
     return rows.drop("version")
 
 
-def compact_history(spark: SparkSession, path: str, target: str) -> None:
-    """Rewrite a history of many small appends as few files per day, in a new folder."""
-    append_history(read_history(spark, path), target, 0)
+def compact_history(spark: SparkSession, path: str, target: str, upto: int) -> None:
+    """Rewrite a history of many small appends as few files per day, in a new folder.
+
+    ``upto`` is the newest complete version; rows of a run that is not finished are left out.
+    """
+    append_history(read_history(spark, path, upto), target, 0)

@@ -146,13 +146,16 @@ def sync_resolved(
 def attach_sync(stats: DataFrame, sync: DataFrame) -> DataFrame:
     """Copy the status columns onto the records; without a status the record keeps its own.
 
-    ``sync`` has one row per entity.
+    ``sync`` has one row per entity. The columns are one reading: all come from it or none.
     """
-    renamed = sync.select("bucket_name", *[F.col(c).alias(f"new_{c}") for c in SYNC_COLUMNS])
+    known = F.col(SYNC_COLUMNS[0]).isNotNull().alias("_known")
+    renamed = sync.select("bucket_name", F.struct(*SYNC_COLUMNS).alias("_reading"), known)
     joined = stats.join(renamed, "bucket_name", "left")
     return joined.select(
         *[
-            F.coalesce(F.col(f"new_{c}"), F.col(c)).alias(c) if c in SYNC_COLUMNS else F.col(c)
+            F.when(F.col("_known"), F.col(f"_reading.{c}")).otherwise(F.col(c)).alias(c)
+            if c in SYNC_COLUMNS
+            else F.col(c)
             for c in stats.columns
         ]
     )

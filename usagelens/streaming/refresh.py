@@ -15,6 +15,11 @@ from usagelens.sources.snapshots import stream_lines
 REFRESH_SECONDS = 300
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the streaming query that a checkpoint belongs to."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
 def refresh_stream(
     documents: DataFrame,
     store: StatsStore,
@@ -28,18 +33,20 @@ def refresh_stream(
     """Start the refresh of a document stream (``value``, ``collected_at``, ``arrival``).
 
     Every micro-batch becomes the next version of the tables. The commit of a version records
-    the batch, under the name of the checkpoint: a batch replayed after its commit is not
-    applied again, one replayed before it replaces its own half-written version. With ``once``
+    the batch, under the id of the query, which its checkpoint keeps: a batch replayed after its
+    commit is not applied again, one replayed before it replaces its own half-written version,
+    and a new checkpoint, also at an old place, is another stream. With ``once``
     the stream drains what has landed and stops. ``as_of`` fixes the time of the published
     snapshot; by default it is the time of the batch. The newest ``keep`` versions stay.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if store.last_batch(spark, checkpoint) < batch_id:
+        stream = stream_id(spark, checkpoint)
+        if store.last_batch(spark, stream) < batch_id:
             version = store.next_version(spark)
             load_documents(
-                spark, store, batch, version, mode="stream", batch=(checkpoint, batch_id)
+                spark, store, batch, version, mode="stream", batch=(stream, batch_id)
             )
         if serving_root:
             now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
