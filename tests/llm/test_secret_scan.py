@@ -120,3 +120,34 @@ def test_redact(spark):
     assert got[None].text == "[secret]"
     assert scan.redact(spark.createDataFrame([], DOCS)).count() == 0
     assert scan.find_secrets(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def entropy_texts(spark, texts):
+    """The texts of the entropy spans, and the redacted texts."""
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], DOCS)
+    found = {r.doc_id: r.spans for r in scan.find_secrets(docs).collect()}
+    out = {r.doc_id: r.text for r in scan.redact(docs).collect()}
+    cut = [[s.split(":") for s in found[i].split(",") if s.startswith("entropy")] for i in range(len(texts))]
+    return [[texts[i][int(s) : int(e)] for _, s, e in spans] for i, spans in enumerate(cut)], [out[i] for i in range(len(texts))]
+
+
+def test_parts_beside_allowed_ones(spark):
+    """A secret is found whatever allowed prefix, path or placeholder stands beside it."""
+    lower, digits, other = "3ax6xnjp29jd6fds4gc373sgvjxteol0", "k3v9x2m8q7z1w5r4t6y0b8n2", "Zx81kQ0pLm7Tr5Yw2Bv9Nc4Hd6"
+    cases = [
+        ("key-", lower), ("prod/", digits), ("dop_v1_", "k3v9x2m8q7z1w5r4t6yb"), ("docs/example/", other),
+        ("changeme", other), ("xxxxx-", other), ("0123456789_", other),
+        ("user-550e8400-e29b-41d4-a716-446655440000-", digits), ("key-", "ax3k-9dm2-q8zt-7bv1n-2kfp"),
+    ]
+    alone, _ = entropy_texts(spark, [secret for _, secret in cases])
+    texts = [f"see {prefix}{secret} é" for prefix, secret in cases]
+    got, out = entropy_texts(spark, texts)
+    assert all(alone) and got == alone
+    assert all("[secret]" in t for t in out)
+    harmless = [
+        "usr/local/lib/python3/site-packages/module-name2", "release-notes-2024-05-01-version-12",
+        "user-550e8400-e29b-41d4-a716-446655440000", "foo/example/bar-baz/qux-module2/test-data",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "your-key-placeholder-xxxxxxxx1234",
+    ]
+    got, out = entropy_texts(spark, harmless)
+    assert got == [[]] * len(harmless) and out == harmless

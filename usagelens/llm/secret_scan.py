@@ -4,7 +4,8 @@ Three patterns give the base spans. Beside them, every candidate string (a long
 characters that keys are made of) is swept by a window: the Shannon entropy of each window
 follows from counts that change by the character that enters and the one that leaves. Windows
 above the limit of the candidate's character class are joined into spans of kind ``entropy``;
-candidates on the allow-list and those that overlap a base span are left out.
+what the allow-list names is cut out of a candidate first, and every part of 20 or more characters
+that is left is swept. Candidates that overlap a base span are left out.
 
 Spans are in code points, the end exclusive. Positions come from marking the matches in a copy
 of the text in which the marks' own characters were replaced by another one outside all patterns.
@@ -38,14 +39,27 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 # Least entropy of a window, in bits a character, by the class of the whole candidate.
 LIMITS = {"hex": 3.0, "upper": 3.5, "mixed": 3.7}
-# Candidates that match any of these are no secrets: identifiers with hyphens, version or file
-# paths, placeholders.
+# Candidates that match any of these have parts that are no secrets: identifiers with hyphens,
+# version or file paths, placeholders. Those parts are cut out, the rest is swept.
 ALLOW = [
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|placeholder|changeme|xxxx",
     r"^[a-z]+([-_/][a-z0-9]+)+$",
     r"0123456789|abcdefghij",
 ]
+_UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+#: What is cut out of a candidate on the list: placeholders, with the separators beside them.
+_PLACEHOLDERS = (
+    f"[-_/]*(?:(?i:example|placeholder|changeme|x{{4,}})|0123456789|abcdefghij|"
+    f"(?<![A-Za-z0-9]){_UUID}(?![A-Za-z0-9]))[-_/]*"
+)
+#: A rest in lower case loses its dictionary-like parts too: letters, digits, or letters with up to
+#: three digits behind them if the part is too short for a window.
+_LOWER = "^[-_/a-z0-9]+$"
+_WORDS = (
+    f"(?<![a-z0-9])[-_/]*(?:[a-z]+|[0-9]+|(?=[a-z0-9]{{1,{WINDOW - 1}}}(?![a-z0-9]))[a-z]+[0-9]{{1,3}})(?![a-z0-9])[-_/]*"
+)
+_PIECES = "array<struct<start:long,text:string>>"
 # Marks of matches, and what takes their place in the text; none is in a pattern.
 _OPEN, _SHUT, _OTHER = "\u0001", "\u0002", "\u0003"
 _MILLION = 1_000_000
@@ -180,22 +194,66 @@ def _joined(begins: Column, start: Column) -> Column:
     return F.aggregate(begins, empty, step)
 
 
+def _eligible(text: Column) -> Column:
+    """Long enough for a window, with digits and letters."""
+    return (
+        (F.char_length(text) >= WINDOW)
+        & F.regexp_like(text, F.lit("[0-9]"))
+        & F.regexp_like(text, F.lit("[A-Za-z]"))
+    )
+
+
+def _outside(p: Column, pattern: str) -> Column:
+    """array<struct<start, text>>: what the matches of a pattern leave of a piece."""
+    parts = F.split(F.regexp_replace(p["text"], pattern, f"{_OPEN}$0{_SHUT}"), f"[{_OPEN}{_SHUT}]", -1)
+    state = F.struct(p["start"].alias("at"), F.lit(False).alias("inside"), F.array().cast(_PIECES).alias("found"))
+
+    def step(acc: Column, part: Column) -> Column:
+        own = F.array(F.struct(acc["at"].alias("start"), part.alias("text")))
+        return F.struct(
+            (acc["at"] + F.char_length(part)).alias("at"),
+            (~acc["inside"]).alias("inside"),
+            F.when(acc["inside"], acc["found"]).otherwise(F.concat(acc["found"], own)).alias("found"),
+        )
+
+    return F.aggregate(parts, state, step, lambda a: a["found"])
+
+
+def _kept(pieces: Column) -> Column:
+    return F.filter(pieces, lambda p: _eligible(p["text"]))
+
+
+def _not_allowed(p: Column) -> Column:
+    """array<struct<start, text>>: what the allow-list leaves of a piece.
+
+    A piece that no pattern of the list matches stays whole.
+    """
+    listed = F.lit(False)
+    for pattern in ALLOW:
+        listed = listed | F.regexp_like(p["text"], F.lit(pattern))
+    whole = F.array(p)
+
+    def named(q: Column) -> Column:
+        return F.when(F.regexp_like(q["text"], F.lit(_LOWER)), _kept(_outside(q, _WORDS))).otherwise(F.array(q))
+
+    return F.when(listed, F.flatten(F.transform(_kept(_outside(p, _PLACEHOLDERS)), named))).otherwise(whole)
+
+
 def entropy_spans(plain: Column, base: Column) -> Column:
     """array<struct<start, kind, end>> of the windows above the limits, outside base spans."""
-    found = _matches(plain, CANDIDATE)
 
-    def eligible(m: Column) -> Column:
-        text, end = m["text"], m["start"] + F.char_length(m["text"])
-        keep = F.regexp_like(text, F.lit("[0-9]")) & F.regexp_like(text, F.lit("[A-Za-z]"))
-        for pattern in ALLOW:
-            keep = keep & ~F.regexp_like(text, F.lit(pattern))
-        return keep & ~F.exists(base, lambda b: (b["start"] < end) & (b["end"] > m["start"]))
+    def whole(m: Column) -> Column:
+        end = m["start"] + F.char_length(m["text"])
+        return _eligible(m["text"]) & ~F.exists(base, lambda b: (b["start"] < end) & (b["end"] > m["start"]))
+
+    found = F.filter(_matches(plain, CANDIDATE), whole)
+    pieces = F.flatten(F.transform(found, _not_allowed))
 
     def swept(m: Column) -> Column:
         high = F.filter(_windows(m["text"]), lambda w: w["total"] <= _limit(m["text"]))
         return _joined(F.transform(high, lambda w: w["begin"]), m["start"])
 
-    return F.flatten(F.transform(F.filter(found, eligible), swept))
+    return F.flatten(F.transform(pieces, swept))
 
 
 def _named(spans: Column) -> Column:
