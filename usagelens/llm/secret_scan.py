@@ -4,8 +4,8 @@ Three patterns give the base spans. Beside them, every candidate string (a long
 characters that keys are made of) is swept by a window: the Shannon entropy of each window
 follows from counts that change by the character that enters and the one that leaves. Windows
 above the limit of the candidate's character class are joined into spans of kind ``entropy``;
-what the allow-list names is cut out of a candidate first, and every part of 20 or more characters
-that is left is swept. Candidates that overlap a base span are left out.
+base spans and what the allow-list names are cut out of a candidate first, and every part of 20
+or more characters that is left is swept.
 
 Spans are in code points, the end exclusive. Positions come from marking the matches in a copy
 of the text in which the marks' own characters were replaced by another one outside all patterns.
@@ -59,7 +59,7 @@ _LOWER = "^[-_/a-z0-9]+$"
 _WORDS = (
     f"(?<![a-z0-9])[-_/]*(?:[a-z]+|[0-9]+|(?=[a-z0-9]{{1,{WINDOW - 1}}}(?![a-z0-9]))[a-z]+[0-9]{{1,3}})(?![a-z0-9])[-_/]*"
 )
-_PIECES = "array<struct<start:long,text:string>>"
+_PIECES = "array<struct<start:long,text:string,cut:boolean>>"
 # Marks of matches, and what takes their place in the text; none is in a pattern.
 _OPEN, _SHUT, _OTHER = "\u0001", "\u0002", "\u0003"
 _MILLION = 1_000_000
@@ -203,13 +203,34 @@ def _eligible(text: Column) -> Column:
     )
 
 
+def _uncovered(m: Column, base: Column) -> Column:
+    """array<struct<start, text, cut>>: what base spans leave of a candidate."""
+    end = m["start"] + F.char_length(m["text"])
+    over = F.filter(base, lambda b: (b["start"] < end) & (b["end"] > m["start"]))
+    state = F.struct(m["start"].alias("at"), F.array().cast(_PIECES).alias("found"))
+
+    def piece(start: Column, stop: Column) -> Column:
+        text = F.substring(m["text"], (start - m["start"] + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
+        return F.array(F.struct(start.alias("start"), text.alias("text"), F.lit(True).alias("cut")))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"),
+            F.concat(acc["found"], piece(acc["at"], b["start"])).alias("found"),
+        )
+
+    whole = F.array(F.struct(m["start"].alias("start"), m["text"].alias("text"), F.lit(False).alias("cut")))
+    left = F.aggregate(over, state, step, lambda a: F.concat(a["found"], piece(a["at"], end)))
+    return F.when(F.size(over) == 0, whole).otherwise(left)
+
+
 def _outside(p: Column, pattern: str) -> Column:
-    """array<struct<start, text>>: what the matches of a pattern leave of a piece."""
+    """array<struct<start, text, cut>>: what the matches of a pattern leave of a piece."""
     parts = F.split(F.regexp_replace(p["text"], pattern, f"{_OPEN}$0{_SHUT}"), f"[{_OPEN}{_SHUT}]", -1)
     state = F.struct(p["start"].alias("at"), F.lit(False).alias("inside"), F.array().cast(_PIECES).alias("found"))
 
     def step(acc: Column, part: Column) -> Column:
-        own = F.array(F.struct(acc["at"].alias("start"), part.alias("text")))
+        own = F.array(F.struct(acc["at"].alias("start"), part.alias("text"), F.lit(True).alias("cut")))
         return F.struct(
             (acc["at"] + F.char_length(part)).alias("at"),
             (~acc["inside"]).alias("inside"),
@@ -224,11 +245,11 @@ def _kept(pieces: Column) -> Column:
 
 
 def _not_allowed(p: Column) -> Column:
-    """array<struct<start, text>>: what the allow-list leaves of a piece.
+    """array<struct<start, text, cut>>: what the allow-list leaves of a piece.
 
     A piece that no pattern of the list matches stays whole.
     """
-    listed = F.lit(False)
+    listed = p["cut"] & F.regexp_like(p["text"], F.lit(_LOWER))
     for pattern in ALLOW:
         listed = listed | F.regexp_like(p["text"], F.lit(pattern))
     whole = F.array(p)
@@ -241,13 +262,9 @@ def _not_allowed(p: Column) -> Column:
 
 def entropy_spans(plain: Column, base: Column) -> Column:
     """array<struct<start, kind, end>> of the windows above the limits, outside base spans."""
-
-    def whole(m: Column) -> Column:
-        end = m["start"] + F.char_length(m["text"])
-        return _eligible(m["text"]) & ~F.exists(base, lambda b: (b["start"] < end) & (b["end"] > m["start"]))
-
-    found = F.filter(_matches(plain, CANDIDATE), whole)
-    pieces = F.flatten(F.transform(found, _not_allowed))
+    found = F.filter(_matches(plain, CANDIDATE), lambda m: _eligible(m["text"]))
+    pieces = _kept(F.flatten(F.transform(found, lambda m: _uncovered(m, base))))
+    pieces = F.flatten(F.transform(pieces, _not_allowed))
 
     def swept(m: Column) -> Column:
         high = F.filter(_windows(m["text"]), lambda w: w["total"] <= _limit(m["text"]))
