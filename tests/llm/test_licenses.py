@@ -87,3 +87,31 @@ def test_odd_rows(spark, model):
 def test_native(docs, model):
     plan = licenses.scan(docs, model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+    "of this software and associated documentation files (the \"Software\"), to deal\n"
+    "in the Software without restriction",
+    "bsd": " * Redistribution and use in source and binary forms,\n * with or without modification, are permitted\n"
+    " *\n * provided that the following conditions are met",
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify\n"
+    "it under the terms of the GNU General Public License as published by\n"
+    "the Free Software Foundation, either version 3 of the License",
+}
+
+
+def test_wrapped_notices(spark, model):
+    """A notice over several lines is found, its span in code points from its first to its last line."""
+    rows, want = [], []
+    for k, (family, notice) in enumerate(WRAPPED.items()):
+        for j, (before, after) in enumerate([("", ""), ("é🙂 first\n\n", "\n\nlast"), ("A line é.\n", "\nAnother line.\n")]):
+            rows.append((10 * k + j, before + notice + after))
+            want.append((10 * k + j, f"{family}:{len(before)}:{len(before + notice)}"))
+    got = sorted((r.doc_id, r.spans) for r in licenses.scan(spark.createDataFrame(rows, DOCS), model).collect())
+    assert got == want
+    both = "\n\n".join(WRAPPED.values()) + "\nReleased under the\nMIT License."
+    apart = [(1, both), (2, WRAPPED["mit"].replace("\n", "\n\n"))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(apart, DOCS), model).collect()}
+    assert [s.split(":")[0] for s in got[1].spans.split(",")] == [*WRAPPED, "mit"]
+    assert got[2].spans == ""

@@ -6,9 +6,11 @@ when words are missing, against texts that only speak of licences and a bounded
 paragraphs of the corpus. Its probabilities are calibrated on held-out rows by a temperature.
 A predicted family is confirmed by comparing the paragraph with the family's templates.
 
-A paragraph is a line of a text. One without any word of the templates that can tell them
-has no feature, is unknown by the model, and is not looked at further; every other paragraph is
-scored, whatever its length.
+A paragraph is a line of a text, or neighbouring lines of a run without blank lines, so that a
+notice may be wrapped. It starts and ends in a line with a feature, and there are at most ``REACH``
+words between these two; lines without words do not count. A text without any word of the templates
+that can tell them has no feature, is unknown by the model, and is not looked at further. Of
+paragraphs that overlap, the one with the largest share of a template is reported, then the shortest.
 
 Defined cases: null and empty texts have no paragraphs; repeated rows are scanned each; a null
 ``doc_id`` is kept; an empty table gives no rows (the model is then trained on the templates and
@@ -32,6 +34,8 @@ UNKNOWN = "unknown"
 FIT_DOCUMENTS = 200
 #: The least probability of a family, and the least share of a template's word pairs.
 LEAST_PROBABILITY, LEAST_SHARE = 0.5, 0.5
+#: The end of a run: before a blank line. The parts of a text split there are the whole text.
+_RUN_END = r"(?<=\n)(?=[^\S\n]*(?:\n|$))"
 
 # The usual notices of each licence family.
 TEMPLATES = [
@@ -123,6 +127,8 @@ _HAS_WORD = (
     )
     + r")(?![a-z0-9])"
 )
+#: The most words between the first and the last line of a paragraph: twice the longest template.
+REACH = 2 * max(len(_plain_words(t)) for _, t in TEMPLATES)
 FAMILIES = [*sorted({f for f, _ in TEMPLATES}), UNKNOWN]
 
 
@@ -228,29 +234,107 @@ def _share(found: Column, family: Column) -> Column:
     return F.greatest(*shares)
 
 
-def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """(__row, start, end, family, probability, share): paragraphs with a telling word.
+def _telling_parts(text: Column) -> Column:
+    """array<struct<start, line>>: the parts of a text, split before blank lines, with a telling word."""
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,line:string>>").alias("found"))
+
+    def step(acc: Column, part: Column) -> Column:
+        telling = F.regexp_like(F.lower(part), F.lit(_HAS_WORD))
+        own = F.array(F.struct(acc["at"].alias("start"), part.alias("line")))
+        return F.struct(
+            (acc["at"] + F.char_length(part)).alias("at"),
+            F.when(telling, F.concat(acc["found"], own)).otherwise(acc["found"]).alias("found"),
+        )
+
+    return F.aggregate(F.split(text, _RUN_END, -1), begin, step, lambda a: a["found"])
+
 
-    ``docs`` has ``__row`` and ``text``; a row without such a paragraph gives one row of nulls.
-    Positions are in code points.
+def _marks(lines: Column) -> Column:
+    """array<struct<start, end, before, upto, own>>: the lines with a feature.
+
+    ``lines`` is array<struct<n, w, telling>>. ``before`` and ``upto`` count words of the run;
+    ``own`` are the features that end in the line.
     """
-    lines = F.split("text", "\n")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,line:string>>").alias("found"))
+    known = F.array(*[F.lit(p) for p in VOCABULARY])
+    begin = F.struct(
+        F.lit(0).cast("long").alias("at"),
+        F.lit(0).cast("long").alias("before"),
+        F.lit(None).cast("string").alias("last"),
+        F.array().cast("array<struct<start:long,end:long,before:long,upto:long,own:array<string>>>").alias("found"),
+    )
 
     def step(acc: Column, line: Column) -> Column:
-        telling = F.regexp_like(F.lower(line), F.lit(_HAS_WORD))
-        own = F.array(F.struct(acc["at"].alias("start"), line.alias("line")))
+        n = F.size(line["w"])
+        across = F.concat_ws(" ", acc["last"], F.get(line["w"], F.lit(0)))
+        crossing = (n > 0) & acc["last"].isNotNull() & F.array_contains(known, across)
+        own = F.when(line["telling"], F.array_intersect(pairs(line["w"]), known)).otherwise(
+            F.array().cast("array<string>")
+        )
+        # a pair across a line end is a feature of the line it ends in
+        own = F.when(crossing, F.concat(own, F.array(across))).otherwise(own)
+        mark = F.struct(
+            acc["at"].alias("start"),
+            (acc["at"] + line["n"]).alias("end"),
+            acc["before"].alias("before"),
+            (acc["before"] + n).alias("upto"),
+            own.alias("own"),
+        )
         return F.struct(
-            (acc["at"] + F.char_length(line) + 1).alias("at"),
-            F.when(telling, F.concat(acc["found"], own)).otherwise(acc["found"]).alias("found"),
+            (acc["at"] + line["n"] + 1).alias("at"),
+            (acc["before"] + n).alias("before"),
+            F.when(n > 0, F.element_at(line["w"], -1)).otherwise(acc["last"]).alias("last"),
+            F.when(line["telling"] | crossing, F.concat(acc["found"], F.array(mark))).otherwise(acc["found"]).alias("found"),
+        )
+
+    return F.aggregate(lines, begin, step, lambda a: a["found"])
+
+
+def _windows(marks: Column, start: Column, part: Column) -> Column:
+    """array<struct<start, line>>: each marked line, and neighbouring lines that hold features together."""
+
+    def of(first: Column, k: Column) -> Column:
+        near = F.filter(F.slice(marks, k + 1, REACH + 2), lambda m: m["before"] - first["upto"] <= REACH)
+        # the last line adds a feature, or the window is the line alone
+        wide = F.filter(
+            F.transform(near, lambda m, i: F.struct(m.alias("last"), i.alias("i"))),
+            lambda x: (x["i"] == 0) | (F.size(x["last"]["own"]) > 0),
         )
+        return F.transform(
+            wide,
+            lambda x: F.struct(
+                (start + first["start"]).alias("start"),
+                F.substring(
+                    part, (first["start"] + 1).cast("int"), (x["last"]["end"] - first["start"]).cast("int")
+                ).alias("line"),
+            ),
+        )
+
+    return F.flatten(F.transform(marks, of))
+
+
+def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
+    """(__row, start, end, family, probability, share): paragraphs with a telling word.
 
-    some = F.aggregate(lines, begin, step, lambda a: a["found"])
-    looked = F.when(F.regexp_like(F.lower("text"), F.lit(_HAS_WORD)), some)
+    ``docs`` has ``__row`` and ``text``; a row without such a paragraph gives one row of nulls, and
+    one whose share of every template is too small has no family. Positions are in code points.
+    """
+    looked = F.when(F.regexp_like(F.lower("text"), F.lit(_HAS_WORD)), _telling_parts(F.col("text")))
     rows = docs.select("__row", F.explode_outer(looked).alias("p"))
+    rows = rows.select("__row", F.col("p.start").alias("start"), F.col("p.line").alias("part"))
+    lines = F.transform(
+        F.split("part", "\n", -1),
+        lambda x: F.struct(
+            F.char_length(x).alias("n"),
+            words(x).alias("w"),
+            F.regexp_like(F.lower(x), F.lit(_HAS_WORD)).alias("telling"),
+        ),
+    )
+    rows = rows.withColumn("lines", lines).withColumn("marks", _marks(F.col("lines")))
+    rows = rows.select("__row", F.explode_outer(_windows(F.col("marks"), F.col("start"), F.col("part"))).alias("p"))
     rows = rows.select("__row", "p.start", "p.line", pairs(words(F.col("p.line"))).alias("found"))
+    rows = rows.withColumn("near", F.greatest(*[_share(F.col("found"), F.lit(f)) for f in FAMILIES[:-1]]))
     # a column a step: inside a lambda the step before would be worked out for every family
-    rows = rows.withColumn("scores", F.when(F.col("line").isNotNull(), model.scores(F.col("found"))))
+    rows = rows.withColumn("scores", F.when(F.col("near") >= LEAST_SHARE, model.scores(F.col("found"))))
     rows = rows.withColumn("raised", _raised(F.col("scores"), model.temperature))
     rows = rows.withColumn("ps", _normed(F.col("raised")))
     best = F.array_max("ps")
@@ -268,6 +352,23 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def _apart(hits: Column) -> Column:
+    """Of hits that overlap, the one with the largest share, then the shortest, then the first; in order."""
+    ranked = F.array_sort(
+        F.transform(
+            hits,
+            lambda h: F.struct((-h["share"]).alias("rank"), (h["end"] - h["start"]).alias("n"), h["start"].alias("start"), h.alias("h")),
+        )
+    )
+    kind = "array<struct<start:long,end:long,family:string,probability:double,share:double>>"
+
+    def step(acc: Column, r: Column) -> Column:
+        over = F.exists(acc, lambda o: (o["start"] < r["h"]["end"]) & (o["end"] > r["h"]["start"]))
+        return F.when(over, acc).otherwise(F.concat(acc, F.array(r["h"])))
+
+    return F.array_sort(F.aggregate(ranked, F.array().cast(kind), step))
+
+
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, n_licenses, families, spans, least_probability), one row per document.
 
@@ -285,10 +386,10 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         & (F.col("share") >= LEAST_SHARE)
     )
     found = paragraphs(marked, model).select(
-        "__row", F.when(sure, F.struct("start", "end", "family", "probability")).alias("hit")
+        "__row", F.when(sure, F.struct("start", "end", "family", "probability", "share")).alias("hit")
     )
     # a document's rows are neighbours in one task; hits of one document are few paragraphs
-    rows = found.groupBy("__row").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    rows = found.groupBy("__row").agg(F.collect_list("hit").alias("hits")).withColumn("hits", _apart(F.col("hits")))
     named = F.transform("hits", lambda h: F.concat_ws(":", h["family"], h["start"], h["end"]))
     return rows.select(
         F.col("__row.doc_id").alias("doc_id"),
