@@ -93,3 +93,17 @@ def test_empty(spark):
     docs = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(docs).count() == 0
     assert simhash.keep_one(docs).count() == 0
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Each component keeps one row, whatever other components its smallest id occurs in."""
+    one, two, three = ("alpha beta gamma delta", "epsilon zeta eta theta", "iota kappa lambda mu")
+    cases = [
+        ([(1, one), (1, two), (2, two.upper())], [(1, one), (1, two)]),
+        ([(3, one), (5, one.upper()), (5, three)], [(3, one), (5, three)]),
+        ([(1, one), (1, one), (1, two), (None, two), (None, three)], [(0, three), (1, one), (1, two)]),
+    ]
+    for rows, want in cases:
+        kept = simhash.keep_one(spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", mark string"))
+        assert kept.columns == ["doc_id", "text", "mark"]
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == want

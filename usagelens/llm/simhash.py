@@ -54,9 +54,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(set_.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    schema = arrow_schema("doc_id long, fp long")
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp) of every row and more long columns; fp is the fingerprint as a signed long."""
+    ddl = ", ".join(f"{n} long" for n in ("doc_id", "fp", *more))
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
@@ -67,9 +68,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     known[text] = fingerprint(text)
                 values.append(known[text])
             fps = pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, ddl)
 
 
 def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,15 +181,15 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found(*held)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id, component_fp), one row per document.
+def near_duplicates(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id, component_fp) and more long columns, one row per document.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links of at most three bits,
     ``component_fp`` one fingerprint that names the component.
     Copies collapse to their fingerprint before anything is emitted, so a group of copies
     costs as much as one document.
     """
-    rows, _ = written(fingerprints(docs), "simhash-fp")
+    rows, _ = written(fingerprints(docs, *more), "simhash-fp")
     distinct, _ = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
     edges = (
         distinct.select("fp")
@@ -213,20 +214,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         text_of("fp").alias("fingerprint"),
         "component_id",
         text_of("root").alias("component_fp"),
+        *more,
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, all columns kept: the one with its smallest ``doc_id``.
 
-    Of several rows with that id, the one with the smallest text stays. In a component without
-    any id the smallest text stays; such rows are found by their fingerprint.
+    Of the component's rows with that id, the one with the smallest XXH64 of its text stays; other
+    components that the id occurs in keep a row of their own. In a component without any id the
+    smallest text stays; such rows are found by their fingerprint.
     """
-    near = near_duplicates(docs)
-    named = near.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.where("doc_id is not null").join(named, "doc_id", "left_semi")
-    order = "__simhash_order"
+    mark, order = "__simhash_mark", "__simhash_order"
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    near = near_duplicates(marked, mark)
+    chosen = (
+        near.where("doc_id is not null")
+        .groupBy("component_fp")
+        .agg(F.min(F.struct("doc_id", mark)).alias("one"))
+        .select("one.doc_id", f"one.{mark}")
+    )
+    kept = marked.where("doc_id is not null").join(chosen, ["doc_id", mark], "left_semi")
+    first = Window.partitionBy("doc_id", mark).orderBy("text")
     kept = kept.withColumn(order, F.row_number().over(first)).where(F.col(order) == 1).select(docs.columns)
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
