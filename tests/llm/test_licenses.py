@@ -115,3 +115,21 @@ def test_wrapped_notices(spark, model):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(apart, DOCS), model).collect()}
     assert [s.split(":")[0] for s in got[1].spans.split(",")] == [*WRAPPED, "mit"]
     assert got[2].spans == ""
+
+
+def test_near_relatives(spark, model):
+    """Other versions and relatives of a family are not reported as the family."""
+    known = {
+        "This work is licensed under the GNU General Public License,\nversion 3.": "gpl-3.0",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "Licensed under CC BY 4.0.": "cc-by",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+        WRAPPED["gpl-3.0"]: "gpl-3.0",
+    }
+    others = [*licenses.RELATIVES, WRAPPED["gpl-3.0"].replace("version 3", "version 2")]
+    others += [WRAPPED["gpl-3.0"].replace("GNU", f"GNU {w}") for w in ("Lesser", "Affero")]
+    rows = list(enumerate([*known, *others]))
+    got = {r.doc_id: r.families for r in licenses.scan(spark.createDataFrame(rows, DOCS), model).collect()}
+    assert [got[i] for i, _ in rows] == [*known.values()] + [""] * len(others)

@@ -4,7 +4,8 @@ A multinomial logistic regression with an L1 penalty on word pairs tells licence
 an ``unknown`` class apart. It is trained here: on the templates and what is left of them
 when words are missing, against texts that only speak of licences and a bounded sample of
 paragraphs of the corpus. Its probabilities are calibrated on held-out rows by a temperature.
-A predicted family is confirmed by comparing the paragraph with the family's templates.
+A predicted family is confirmed by comparing the paragraph with the family's templates and by the
+word pairs that tell the family from its relatives (its version, Lesser, Affero, NC, SA, ND).
 
 A paragraph is a line of a text, or neighbouring lines of a run without blank lines, so that a
 notice may be wrapped. It starts and ends in a line with a feature, and there are at most ``REACH``
@@ -82,6 +83,37 @@ OTHERS = [
     "Version 2.0 of the program was released in May.",
     "Permission to use the room is granted by the office.",
 ]
+# Notices of the families' nearest relatives; they are unknown.
+RELATIVES = [
+    "Licensed under the Apache License, Version 1.1.",
+    "This work is licensed under the GNU General Public License, version 2.",
+    "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation, either version 2 of the License.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+    "Public License as published by the Free Software Foundation, either version 3 of the License.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+    "Public License as published by the Free Software Foundation, either version 3 of the License.",
+    "Licensed under CC BY-SA 4.0.",
+    "Licensed under CC BY-ND 4.0.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "Licensed under CC BY-NC-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+]
+_NUMBERS = ["1", "2", "3", "4", "international", "license", "licence"]
+# Of each list of a family, one word pair at least is in every notice of it.
+REQUIRED = {
+    "apache-2.0": [["apache license"], ["version 2", "license 2", "v2 0", "v 2"]],
+    "cc-by": [[f"{w} {n}" for w in ("by", "attribution") for n in _NUMBERS]],
+    "cc-by-nc": [[f"{w} {n}" for w in ("nc", "noncommercial") for n in _NUMBERS]],
+    "gpl-3.0": [["gnu general"], ["version 3", "license 3", "license v3", "v 3"]],
+    "mpl-2.0": [["mozilla public"], ["version 2", "license 2", "v2 0", "v 2"]],
+}
 # Words that tell no licence.
 STOP_WORDS = (
     "a and any are as by can either except following for form forms in is it may met not of on or person that the "
@@ -113,17 +145,26 @@ def _plain_pairs(text: str) -> list[str]:
     return [f"{a} {b}" for a, b in zip(found, found[1:], strict=False)]
 
 
-#: The features: the templates' word pairs that have a word which tells something.
-VOCABULARY = sorted(
-    {p for _, t in TEMPLATES for p in _plain_pairs(t) if not all(w in STOP_WORDS for w in p.split())}
-)
+#: Words that tell something only beside the number that follows them.
+_VERSION = ["v", "version"]
+
+
+def _tells(pair: str) -> bool:
+    first, second = pair.split()
+    quiet = all(w in STOP_WORDS or w.isdigit() for w in (first, second))
+    return not quiet or (first in _VERSION and second.isdigit())
+
+
+#: The features: the word pairs of templates and relatives that have a word which tells something.
+VOCABULARY = sorted({p for t in [*(t for _, t in TEMPLATES), *RELATIVES] for p in _plain_pairs(t) if _tells(p)})
+_ANCHORS = sorted({w for p in VOCABULARY for w in p.split() if w not in STOP_WORDS and not w.isdigit()})
 #: Every feature has one of these words.
-TELLING = sorted({w for p in VOCABULARY for w in p.split() if w not in STOP_WORDS})
+TELLING = sorted([*_ANCHORS, *_VERSION])
 #: By first letter, so that most places of a text fail at once.
 _HAS_WORD = (
     r"(?i)(?<![a-z0-9])(?:"
     + "|".join(
-        f"{first}(?:{'|'.join(w[1:] for w in TELLING if w[0] == first)})" for first in sorted({w[0] for w in TELLING})
+        f"{first}(?:{'|'.join(w[1:] for w in _ANCHORS if w[0] == first)})" for first in sorted({w[0] for w in _ANCHORS})
     )
     + r")(?![a-z0-9])"
 )
@@ -194,7 +235,7 @@ def training(docs: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
         .where(F.size("w") > 0)
         .where(F.size(F.array_intersect(pairs(F.col("w")), F.array(*[F.lit(p) for p in VOCABULARY]))) < 2)
     )
-    known = _rows(spark, TEMPLATES).union(_rows(spark, [(UNKNOWN, t) for t in OTHERS]))
+    known = _rows(spark, TEMPLATES).union(_rows(spark, [(UNKNOWN, t) for t in [*OTHERS, *RELATIVES]]))
     rows = known.union(lines).select("family", pairs(F.col("w")).alias("found"))
     return rows.withColumn("held", F.pmod(F.xxhash64("found"), F.lit(4)) == 0)
 
@@ -234,6 +275,16 @@ def _share(found: Column, family: Column) -> Column:
     return F.greatest(*shares)
 
 
+def _told(found: Column, family: Column) -> Column:
+    """Whether the word pairs that the family requires are found."""
+    told = F.lit(True)
+    for name, lists in REQUIRED.items():
+        for one in lists:
+            has = F.arrays_overlap(found, F.array(*[F.lit(p) for p in one]))
+            told = told & ((family != name) | has)
+    return told
+
+
 def _telling_parts(text: Column) -> Column:
     """array<struct<start, line>>: the parts of a text, split before blank lines, with a telling word."""
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,line:string>>").alias("found"))
@@ -348,7 +399,9 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
         (F.col("start") + F.char_length("line")).alias("end"),
         "family",
         "probability",
-        _share(F.col("found"), F.col("family")).alias("share"),
+        F.when(_told(F.col("found"), F.col("family")), _share(F.col("found"), F.col("family")))
+        .otherwise(0.0)
+        .alias("share"),
     )
 
 
