@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import chat, decontam, hnsw, licenses, lmscore, packing, quality, secret_scan, sharding, simhash
+from usagelens.llm import (
+    chat,
+    decontam,
+    hnsw,
+    licenses,
+    lmscore,
+    packing,
+    quality,
+    runs,
+    secret_scan,
+    sharding,
+    simhash,
+)
 from usagelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +79,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of which get a periodic tail first."""
+    docs = runs.with_periodic_tails(table(spark, sf_dir, "documents"))
+    return runs.digests(runs.find_runs(docs))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -81,5 +99,6 @@ def all_queries() -> dict[str, Query]:
             op8_secret_scan,
             op9_embedding_duplicates,
             op10_packing,
+            op13_periodic_runs,
         )
     }
