@@ -33,6 +33,42 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_V = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def op11(clusters: int = 40, rounds: int = 5, dimensions: int = 64) -> str:
+    """Every round by all distances; centroids are one list of lists."""
+    square = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        f"v AS (SELECT vec_id, {_V} AS v FROM embeddings WHERE len(embedding) = {dimensions}"
+        " AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0)",
+        f"""c0 AS (SELECT list(v ORDER BY k) AS cs FROM (SELECT v, row_number() OVER (
+  ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, vec_id, v) AS k FROM v) WHERE k <= {clusters})""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT vec_id, v, list_position(ds, list_min(ds)) AS k, list_min(ds) AS d
+  FROM (SELECT vec_id, v, list_transform(cs, lambda c: {square}) AS ds FROM v, c{r}))"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""s{r} AS (SELECT k, i, (s - ((s % n) + n) % n) // n AS m FROM (SELECT k, i, sum(v[i]) AS s, count(*) AS n
+  FROM a{r}, range(1, {dimensions + 1}) AS t(i) GROUP BY k, i))"""
+            )
+            steps.append(f"m{r} AS (SELECT k, list(CAST(m AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY k)")
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT list(coalesce(m{r}.c, o.c) ORDER BY o.k) AS cs FROM
+  (SELECT unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS k FROM c{r}) o LEFT JOIN m{r} USING (k))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f"""
+SELECT vec_id, CAST(k - 1 AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(cs[k], ',')) AS centroid_sha256 FROM a{rounds}, c{rounds}"""
+    )
+
 
 def all_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6}
+    return {"op6_decontamination": OP6, "op11_centroid_clustering": op11()}

@@ -13,6 +13,7 @@ from usagelens.llm import (
     licenses,
     lmscore,
     packing,
+    ptolemy,
     quality,
     runs,
     secret_scan,
@@ -79,6 +80,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 64 components in 40 clusters."""
+    return ptolemy.with_inertia(*ptolemy.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of all documents, a tenth of which get a periodic tail first."""
     docs = runs.with_periodic_tails(table(spark, sf_dir, "documents"))
@@ -99,6 +105,7 @@ def all_queries() -> dict[str, Query]:
             op8_secret_scan,
             op9_embedding_duplicates,
             op10_packing,
+            op11_centroid_clustering,
             op13_periodic_runs,
         )
     }
