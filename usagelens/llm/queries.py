@@ -10,6 +10,7 @@ from usagelens.llm import (
     chat,
     decontam,
     hnsw,
+    html_extract,
     licenses,
     lmscore,
     packing,
@@ -85,6 +86,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ptolemy.with_inertia(*ptolemy.cluster_vectors(table(spark, sf_dir, "embeddings")))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of all documents, a tenth of which get a periodic tail first."""
     docs = runs.with_periodic_tails(table(spark, sf_dir, "documents"))
@@ -106,6 +112,7 @@ def all_queries() -> dict[str, Query]:
             op9_embedding_duplicates,
             op10_packing,
             op11_centroid_clustering,
+            op12_html_extraction,
             op13_periodic_runs,
         )
     }
