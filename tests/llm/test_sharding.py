@@ -58,3 +58,24 @@ def test_native(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = sharding.shard_documents(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_one_id_throughout(spark):
+    """Rows that are equal in everything are still dealt evenly, and in salted parts."""
+    texts = [(7, "copy")] * 4000 + [(7, f"t{i // 2}") for i in range(1000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = sharding.shard_documents(docs).collect()
+    check(rows, texts)
+    hot = Counter(r.shard for r in rows if r.text_crc32 == zlib.crc32(b"copy"))
+    assert len([s for s, n in hot.items() if n > 30]) <= 14
+
+
+def test_several_large_groups(spark):
+    texts = ["a"] * 1500 + ["b"] * 900 + ["c"] * 300 + [f"s{i}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard_documents(docs).collect()
+    check(rows, list(enumerate(texts)))
+    by_id = {r.doc_id: r.shard for r in rows}
+    for text, most in (("a", 11), ("b", 8), ("c", 4)):
+        counts = Counter(by_id[i] for i, t in enumerate(texts) if t == text)
+        assert len([n for n in counts.values() if n > 20]) <= most

@@ -11,8 +11,11 @@ The law is ``rows``: the numbers of documents of any two shards differ by one at
 
 Defined cases: a null text has no bytes (size 1, checksum 0) and is in one group with no other
 but null texts; a null ``doc_id`` is a document like any other; repeated rows count each; an
-empty table gives no rows; other columns are not read. A group larger than a shard fills
-several shards; its rows are counted before any shuffle and ranked in salted parts.
+empty table gives no rows; other columns are not read; of a text only its length and checksums
+are kept, whatever its length. A group larger than a shard fills several shards: its rows ask
+for one of them each, other documents make room; they are counted before any shuffle and
+ranked in salted parts, also where all have one ``doc_id``. Ties between shards go by the
+group's hash.
 """
 
 from __future__ import annotations
@@ -88,37 +91,72 @@ def _granted(asked: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     )
 
 
+def _large(now: DataFrame, room: float) -> tuple[DataFrame, int]:
+    """Groups that no shard can hold, the room before each, and how many shards they fill.
+
+    They share out the first shards one after the other. Each has more rows than a shard has
+    room for, so there are fewer of them than shards.
+    """
+    sizes = now.groupBy("grp").agg(F.count("*").alias("members")).where(F.col("members") > room)
+    found = sorted(((r["members"], r["grp"]) for r in sizes.collect()), reverse=True)
+    rows, before = [], 0
+    for members, grp in found:
+        rows.append((grp, float(members), float(before)))
+        before += members
+    return now.sparkSession.createDataFrame(rows, "grp string, members double, before double"), int(before / room)
+
+
 def propagate(rows: DataFrame, key: list[str], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """The rows (with ``grp``) and the ``shard`` each belongs to after the rounds.
+    """The rows (with ``grp``), a ``mark`` of each, and the ``shard`` it belongs to after the rounds.
 
-    ``key`` names the columns that tell rows apart, for the draw among those that ask to move;
-    equal rows draw equally.
+    ``key`` names the columns of the first placing. The marks tell equal rows apart for the draw
+    among those that ask to move.
     """
     spark = rows.sparkSession
+    started, started_path = written(
+        rows.withColumn("mark", F.monotonically_increasing_id()).withColumn(
+            "shard", F.pmod(F.xxhash64("grp", *key), F.lit(shards)).cast("int")
+        ),
+        "shards-start",
+    )
+    room = max(started.count() / shards, 1.0)
+    large, full = _large(started, room)
+    # Rows of a large group ask for one of its shards each, in even parts; the shards that such
+    # groups fill are left by all others.
+    drawn = F.floor((F.col("before") + _unit(F.lit(-1), "grp", "mark") * F.col("members")) / room)
+    target = F.when(drawn < shards, drawn).when(drawn.isNotNull(), shards - 1).cast("int")
     now, path = written(
-        rows.withColumn("shard", F.pmod(F.xxhash64("grp", *key), F.lit(shards)).cast("int")), "shards-start"
+        started.join(F.broadcast(large), "grp", "left").withColumn("target", target).drop("members", "before"),
+        "shards-targets",
     )
-    # Of a group that no shard can hold, only as many rows as fit ask to move.
-    fits = now.count() / shards
+    discard(spark, started_path)
+    full = full if full < shards else 0
+    elsewhere = (full + F.pmod(F.xxhash64(F.lit(-2), "grp"), F.lit(shards - full))).cast("int")
     for k in range(rounds):
-        counts = now.groupBy("grp", "shard").agg(F.count("*").alias("n"))
+        small = now.where("target IS NULL")
+        counts = small.groupBy("grp", "shard").agg(F.count("*").alias("n"))
         # most documents, then a shard by the group's hash, so that ties spread evenly
-        draw = F.struct("n", F.xxhash64("grp", "shard").alias("h"), "shard")
+        draw = F.struct(F.col("shard") >= full, "n", F.xxhash64("grp", "shard").alias("h"), "shard")
         best, best_path = written(
-            counts.groupBy("grp").agg(F.max(draw)["shard"].alias("wanted"), F.sum("n").alias("members")).where("members > 1"),
+            counts.groupBy("grp")
+            .agg(F.max(draw)["shard"].alias("wanted"), F.sum("n").alias("members"))
+            .where("members > 1")
+            .drop("members"),
             "shards-best",
         )
+        # a document without neighbours only leaves a shard that is to be full
+        wanted = F.when(F.coalesce("wanted", "shard") < full, elsewhere).otherwise(F.col("wanted"))
         tied, tied_path = written(
-            now.join(best, "grp", "left").withColumn(
-                "wanted", F.when(_unit(F.lit(-1), "grp", *key) < fits / F.col("members"), F.col("wanted"))
-            ),
+            small.join(best, "grp", "left")
+            .withColumn("wanted", wanted)
+            .unionByName(now.where("target IS NOT NULL").withColumn("wanted", F.col("target"))),
             "shards-asked",
         )
         asked = tied.where("wanted <> shard").groupBy("shard", "wanted").agg(F.count("*").alias("x"))
         sizes = tied.groupBy("shard").agg(F.count("*").alias("n"))
         # at most shards x shards rows
         share = F.broadcast(_granted(asked, sizes, shards))
-        moves = _unit(F.lit(k), "grp", *key) < F.coalesce("share", F.lit(0.0))
+        moves = _unit(F.lit(k), "grp", "mark") < F.coalesce("share", F.lit(0.0))
         after, after_path = written(
             tied.join(share, ["shard", "wanted"], "left")
             .withColumn("shard", F.when(moves, F.col("wanted")).otherwise(F.col("shard")))
@@ -128,19 +166,19 @@ def propagate(rows: DataFrame, key: list[str], shards: int = SHARDS, rounds: int
         for old in (path, best_path, tied_path):
             discard(spark, old)
         now, path = after, after_path
-    return now
+    return now.drop("target")
 
 
 def deal(placed: DataFrame, key: list[str], shards: int = SHARDS) -> DataFrame:
     """The placed rows with their final ``shard`` and ``slot``: equal runs of the order of
-    (shard, group), so at most ``shards`` - 1 cuts go through it.
+    (shard, group), so at most ``shards`` - 1 cuts go through it. ``mark`` tells equal rows apart.
 
     Ranks come in two steps: counts of the parts of the order (their number is bounded) and the
     rank in each part. Groups of over a few hundred rows are salted over several parts.
     """
     sizes = placed.groupBy("grp", "shard").agg(F.count("*").alias("members")).where(F.col("members") > _SALT_ROWS)
     large, _ = written(sizes, "shards-large")
-    salt = F.pmod(F.xxhash64(F.lit(7), *key), F.lit(_SALTS))
+    salt = F.pmod(F.xxhash64(F.lit(7), "mark"), F.lit(_SALTS))
     marked, _ = written(
         placed.join(large, ["grp", "shard"], "left")
         .withColumn("g", F.pmod(F.xxhash64("grp"), F.lit(_GROUP_PARTS)))
@@ -157,7 +195,7 @@ def deal(placed: DataFrame, key: list[str], shards: int = SHARDS) -> DataFrame:
         counts.withColumn("begin", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n"), "shards-parts"
     )
     total = placed.count()
-    rank = F.col("begin") + F.row_number().over(Window.partitionBy(*part).orderBy("grp", *key)) - 1
+    rank = F.col("begin") + F.row_number().over(Window.partitionBy(*part).orderBy("grp", *key, "mark")) - 1
     shard = F.floor(F.col("r") * shards / F.lit(max(total, 1)).cast("decimal(20,0)")).cast("int")
     first = F.ceil(F.col("to").cast("decimal(20,0)") * F.lit(total) / shards).cast("long")
     return (
@@ -165,7 +203,7 @@ def deal(placed: DataFrame, key: list[str], shards: int = SHARDS) -> DataFrame:
         .withColumn("r", rank.cast("decimal(20,0)"))
         .withColumn("to", shard)
         .withColumn("slot", F.col("r").cast("long") - first)
-        .drop("g", "s", "begin", "r", "shard")
+        .drop("g", "s", "begin", "r", "shard", "mark")
         .withColumnRenamed("to", "shard")
     )
 
