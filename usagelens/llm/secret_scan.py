@@ -12,14 +12,19 @@ of the text in which the marks' own characters were replaced by another one outs
 
 Entropies are sums of whole numbers (c log2 c in millionths), so every engine gets the same.
 
+Texts are scanned whole, whatever their length: the work is linear in the length of a text and
+of a candidate and in the number of matches, but for the base spans inside one candidate, which
+grow an array.
+
 Defined cases: a null text is empty and has no spans; repeated rows are scanned each; a null
 ``doc_id`` is kept; empty tables give empty results; other columns pass through ``redact``
-whatever their names. Texts are scanned whole, whatever their length.
+whatever their names; spans that start together come by kind, as listed in ``KINDS``, then end.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +68,11 @@ _PIECES = "array<struct<start:long,text:string,cut:boolean>>"
 # Marks of matches, and what takes their place in the text; none is in a pattern.
 _OPEN, _SHUT, _OTHER = "\u0001", "\u0002", "\u0003"
 _MILLION = 1_000_000
+#: Windows of a block, values of a block of running sums; characters of a chunk of text.
+_BLOCK, _CHUNK = 64, 256
+_SPANS = "array<struct<start:long,kind:int,end:long>>"
+#: Where a text is cut: at what no pattern holds, and at spaces without : or = beside them.
+_SEGMENT = r"""(?:[A-Za-z0-9+/_.=:'"-]|(?<=[:=])\x20++|\x20++(?=[:=])|(?<=["'])\x20++(?=[:=]))++"""
 #: c log2 c in millionths, for a count of 0 to WINDOW.
 C_LOG_C = [0, *(round(c * math.log2(c) * _MILLION) for c in range(1, WINDOW + 1))]
 
@@ -76,27 +86,58 @@ def _plain(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _OPEN + _SHUT, _OTHER * 2)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used in there."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _scan(values: Column, first: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes of all values before each: running sums, for example.
+
+    An array grows by copies; so running values are made in blocks, and the blocks' starts before.
+    """
+
+    def grown(v: Column, start: Column) -> Column:
+        return F.aggregate(v, F.array(start), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+
+    def blocks(v: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(v) / _BLOCK).cast("int") - 1, F.lit(0))
+        parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * _BLOCK + 1, _BLOCK))
+        return _let(parts, whole)
+
+    def whole(parts: Column) -> Column:
+        starts = grown(F.transform(parts, lambda part: F.aggregate(part, first, join)), first)
+        inner = F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda part, start: grown(part, start))
+        return F.flatten(F.transform(inner, lambda x: F.slice(x, 1, F.size(x) - 1)))
+
+    return _let(values, blocks)
+
+
+def _lengths(texts: Column, less: int = 0) -> Column:
+    return F.transform(texts, lambda t: (F.char_length(t) - less).cast("long"))
+
+
+def _sums(values: Column) -> Column:
+    return _scan(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def _matches(plain: Column, pattern: str) -> Column:
     """array<struct<start, text>> of all leftmost non-overlapping matches."""
     marked = F.regexp_replace(plain, pattern, f"{_OPEN}$0{_SHUT}")
-    # every part but the first is a match, its end mark, and the text up to the next match
-    parts = F.split(marked, _OPEN, -1)
-    state = F.struct(
-        F.char_length(F.element_at(parts, 1)).cast("long").alias("at"),
-        F.array().cast("array<struct<start:long,text:string>>").alias("found"),
-    )
 
-    def step(acc: Column, part: Column) -> Column:
-        own = F.substring_index(part, _SHUT, 1)
-        return F.struct(
-            (acc["at"] + F.char_length(part) - 1).alias("at"),
-            F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), own.alias("text")))).alias("found"),
+    def found(parts: Column) -> Column:
+        # every part but the first is a match, its end mark, and the text up to the next match;
+        # the first gets a mark, too
+        starts = _sums(_lengths(parts, 1))
+        texts = F.transform(parts, lambda t: F.substring_index(t, _SHUT, 1))
+        return F.slice(
+            F.zip_with(starts, texts, lambda s, t: F.struct((s + 1).alias("start"), t.alias("text"))),
+            2,
+            F.greatest(F.size(parts) - 1, F.lit(1)),
         )
 
-    found = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), state, step, lambda a: a["found"])
-    return F.when(F.regexp_like(plain, F.lit(pattern)), found).otherwise(
-        F.array().cast("array<struct<start:long,text:string>>")
-    )
+    none = F.array().cast("array<struct<start:long,text:string>>")
+    return F.when(F.regexp_like(plain, F.lit(pattern)), _let(F.split(marked, _OPEN, -1), found)).otherwise(none)
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -134,64 +175,76 @@ def _limit(candidate: Column) -> Column:
     )
 
 
-def _windows(candidate: Column) -> Column:
-    """array<struct<begin, total>>: every window's begin and its sum of c log2 c.
+def _high(block: Column, limit: Column) -> Column:
+    """Where in a block the windows begin whose sum of c log2 c is within the limit.
 
-    The state holds the counts of 128 characters; each step changes two of them.
+    From window to window two counts change: that of the character that leaves and that of the
+    one that enters. Both are counted among the characters that stay.
     """
-    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
     table = F.array(*[F.lit(v) for v in C_LOG_C])
+    stay = WINDOW - 1
 
-    def changed(counts: Column, code: Column, by: int) -> Column:
-        return F.concat(
-            F.slice(counts, 1, code), F.array(F.element_at(counts, code + 1) + by), F.slice(counts, code + 2, 127)
+    def weight(count: Column) -> Column:
+        return F.element_at(table, count + 1)
+
+    def gain(character: Column, among: Column) -> Column:
+        count = F.lit(stay) - F.char_length(F.replace(among, character, F.lit("")))
+        return _let(count, lambda c: weight(c + 1) - weight(c))
+
+    def begin(first: Column) -> Column:
+        return F.aggregate(
+            F.array_distinct(F.split(first, "")),
+            F.lit(0),
+            lambda acc, c: acc + weight(F.lit(WINDOW) - F.char_length(F.replace(first, c, F.lit("")))),
         )
 
+    def state(total: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.struct(total.alias("total"), F.when(total <= limit, F.array(F.lit(0))).otherwise(none).alias("found"))
+
     def step(acc: Column, at: Column) -> Column:
-        new = F.element_at(codes, at)
-        had = F.element_at(acc["counts"], new + 1)
-        grown = changed(acc["counts"], new, 1)
-        total = acc["total"] + F.element_at(table, had + 2) - F.element_at(table, had + 1)
-        old = F.element_at(codes, at - WINDOW)
-        has = F.element_at(grown, old + 1)
-        less = total - F.element_at(table, has + 1) + F.element_at(table, has)
-        full = at > WINDOW
-        after = F.when(full, less).otherwise(total)
-        return F.struct(
-            F.when(full, changed(grown, old, -1)).otherwise(grown).alias("counts"),
-            after.alias("total"),
-            F.when(
-                at >= WINDOW,
-                F.concat(acc["seen"], F.array(F.struct((at - WINDOW).cast("long").alias("begin"), after.alias("total")))),
+        both = F.substring(block, at, F.lit(WINDOW + 1))
+
+        def moved(u: Column) -> Column:
+            middle = F.substring(u, 2, stay)
+            total = acc["total"] - gain(F.substring(u, 1, 1), middle) + gain(F.substring(u, WINDOW + 1, 1), middle)
+            return _let(
+                total,
+                lambda t: F.struct(
+                    t.alias("total"),
+                    F.when(t <= limit, F.concat(acc["found"], F.array(at))).otherwise(acc["found"]).alias("found"),
+                ),
             )
-            .otherwise(acc["seen"])
-            .alias("seen"),
-        )
 
-    # one entry more than WINDOW + 1 in the table: a count grows to WINDOW + 1 before one leaves
-    table = F.array(*[F.lit(v) for v in [*C_LOG_C, round((WINDOW + 1) * math.log2(WINDOW + 1) * _MILLION)]])
-    start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"),
-        F.lit(0).alias("total"),
-        F.array().cast("array<struct<begin:long,total:int>>").alias("seen"),
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, lambda a: a["seen"])
+        return _let(both, moved)
 
+    steps = F.char_length(block) - WINDOW
+    later = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    start = _let(begin(F.substring(block, 1, WINDOW)), state)
+    return _let(start, lambda s: F.aggregate(later, s, step, lambda acc: acc["found"]))
 
-def _joined(begins: Column, start: Column) -> Column:
-    """The windows that begin there, as spans; those that touch or overlap are one."""
-    empty = F.array().cast("array<struct<start:long,kind:int,end:long>>")
-
-    def step(acc: Column, begin: Column) -> Column:
-        last = F.element_at(acc, -1)
-        own = F.struct((start + begin).alias("start"), F.lit(3).alias("kind"), (start + begin + WINDOW).alias("end"))
-        longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), own["end"].alias("end"))
-        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= own["start"])
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(
-            F.concat(acc, F.array(own))
-        )
 
-    return F.aggregate(begins, empty, step)
+def _swept(text: Column, start: Column) -> Column:
+    """array<struct<start, kind, end>>: windows within the limit; those that touch are one span."""
+    # blocks that share all characters but one of a window
+    blocks = F.regexp_extract_all(text, F.lit(f"(?=(.{{{WINDOW},{WINDOW + _BLOCK - 1}}})).{{1,{_BLOCK}}}"), F.lit(1))
+
+    def found(limit: Column) -> Column:
+        at = F.transform(blocks, lambda b, k: F.transform(_high(b, limit), lambda i: start + k * _BLOCK + i))
+        return _let(F.flatten(at), _joined)
+
+    return _let(_limit(text), found)
+
+
+def _joined(begins: Column) -> Column:
+    """The windows that begin there, as spans; those that touch or overlap are one."""
+    first = F.filter(begins, lambda b, i: (i == 0) | (F.get(begins, i - 1) + WINDOW < b))
+    last = F.filter(begins, lambda b, i: (i == F.size(begins) - 1) | (F.get(begins, i + 1) > b + WINDOW))
+    return F.zip_with(
+        first,
+        last,
+        lambda s, e: F.struct(s.cast("long").alias("start"), F.lit(3).alias("kind"), (e + WINDOW).cast("long").alias("end")),
+    )
 
 
 def _eligible(text: Column) -> Column:
@@ -226,51 +279,53 @@ def _uncovered(m: Column, base: Column) -> Column:
 
 def _outside(p: Column, pattern: str) -> Column:
     """array<struct<start, text, cut>>: what the matches of a pattern leave of a piece."""
-    parts = F.split(F.regexp_replace(p["text"], pattern, f"{_OPEN}$0{_SHUT}"), f"[{_OPEN}{_SHUT}]", -1)
-    state = F.struct(p["start"].alias("at"), F.lit(False).alias("inside"), F.array().cast(_PIECES).alias("found"))
+    marked = F.split(F.regexp_replace(p["text"], pattern, f"{_OPEN}$0{_SHUT}"), f"[{_OPEN}{_SHUT}]", -1)
 
-    def step(acc: Column, part: Column) -> Column:
-        own = F.array(F.struct(acc["at"].alias("start"), part.alias("text"), F.lit(True).alias("cut")))
-        return F.struct(
-            (acc["at"] + F.char_length(part)).alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(acc["inside"], acc["found"]).otherwise(F.concat(acc["found"], own)).alias("found"),
+    def left(parts: Column) -> Column:
+        pieces = F.zip_with(
+            _sums(_lengths(parts)),
+            parts,
+            lambda s, t: F.struct((p["start"] + s).alias("start"), t.alias("text"), F.lit(True).alias("cut")),
         )
+        return F.filter(pieces, lambda _, i: i % 2 == 0)  # every second one is a match
 
-    return F.aggregate(parts, state, step, lambda a: a["found"])
+    return _let(marked, left)
 
 
 def _kept(pieces: Column) -> Column:
     return F.filter(pieces, lambda p: _eligible(p["text"]))
 
 
-def _not_allowed(p: Column) -> Column:
-    """array<struct<start, text, cut>>: what the allow-list leaves of a piece.
-
-    A piece that no pattern of the list matches stays whole.
-    """
+def _listed(p: Column) -> Column:
+    """Whether the allow-list has something to cut out of a piece."""
     listed = p["cut"] & F.regexp_like(p["text"], F.lit(_LOWER))
     for pattern in ALLOW:
         listed = listed | F.regexp_like(p["text"], F.lit(pattern))
-    whole = F.array(p)
+    return listed
+
 
-    def named(q: Column) -> Column:
-        return F.when(F.regexp_like(q["text"], F.lit(_LOWER)), _kept(_outside(q, _WORDS))).otherwise(F.array(q))
+def _without_placeholders(p: Column) -> Column:
+    """array<struct<start, text, cut>>: a piece, whole if the list has nothing of it (then not cut)."""
+    whole = F.struct(p["start"].alias("start"), p["text"].alias("text"), F.lit(False).alias("cut"))
+    return F.when(_listed(p), _kept(_outside(p, _PLACEHOLDERS))).otherwise(F.array(whole))
 
-    return F.when(listed, F.flatten(F.transform(_kept(_outside(p, _PLACEHOLDERS)), named))).otherwise(whole)
 
+def _without_words(p: Column) -> Column:
+    """array<struct<start, text, cut>>: what dictionary-like parts leave of a listed piece in lower case."""
+    lower = p["cut"] & F.regexp_like(p["text"], F.lit(_LOWER))
+    return F.when(lower, _kept(_outside(p, _WORDS))).otherwise(F.array(p))
 
-def entropy_spans(plain: Column, base: Column) -> Column:
-    """array<struct<start, kind, end>> of the windows above the limits, outside base spans."""
-    found = F.filter(_matches(plain, CANDIDATE), lambda m: _eligible(m["text"]))
-    pieces = _kept(F.flatten(F.transform(found, lambda m: _uncovered(m, base))))
-    pieces = F.flatten(F.transform(pieces, _not_allowed))
 
-    def swept(m: Column) -> Column:
-        high = F.filter(_windows(m["text"]), lambda w: w["total"] <= _limit(m["text"]))
-        return _joined(F.transform(high, lambda w: w["begin"]), m["start"])
+def _shifted(spans: Column, by: Column) -> Column:
+    return F.transform(
+        spans, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"))
+    )
 
-    return F.flatten(F.transform(pieces, swept))
+
+def _moved(pieces: Column, by: Column) -> Column:
+    return F.transform(
+        pieces, lambda p: F.struct((p["start"] + by).alias("start"), p["text"].alias("text"), p["cut"].alias("cut"))
+    )
 
 
 def _named(spans: Column) -> Column:
@@ -284,15 +339,38 @@ def _count(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def _looked_at(text: Column) -> Column:
+    """Whether there is a candidate or a keyword; the other patterns' matches are candidates."""
+    return F.regexp_like(text, F.lit(CANDIDATE)) | F.regexp_like(text, F.lit(ASSIGN))
+
+
 def _scanned(docs: DataFrame, kept: list[Column]) -> DataFrame:
-    """The kept columns, ``__base`` and ``__spans`` of every row.
+    """The kept columns, ``__base``, ``__more`` and ``__spans`` of every row.
 
-    Most texts have neither a match nor a candidate; one look tells.
+    A text is worked on in segments that no pattern crosses. Most of them, and most texts, hold
+    neither a candidate nor a keyword, and one look tells. Arrays of one step are named more than
+    once in the next, or go through ``_let``, so no plan makes them again for every element.
     """
-    plain = F.col("__plain")
+    plain, none = F.col("__plain"), F.array().cast("array<struct<start:long,text:string>>")
+    segments = F.filter(_matches(plain, _SEGMENT), lambda m: _looked_at(m["text"]))
     step = docs.select(*kept, _plain(F.col("text")).alias("__plain"))
-    step = step.select("*", base_spans(plain).alias("__base"))
-    step = step.select("*", entropy_spans(plain, F.col("__base")).alias("__more"))
+    step = step.withColumn("__segments", F.when(_looked_at(plain), segments).otherwise(none)).drop("__plain")
+    step = step.withColumn("__bases", F.transform("__segments", lambda m: base_spans(m["text"])))
+
+    def rests(m: Column, base: Column) -> Column:
+        found = F.filter(_matches(m["text"], CANDIDATE), lambda c: _eligible(c["text"]))
+        return _moved(_kept(F.flatten(F.transform(found, lambda c: _uncovered(c, base)))), m["start"])
+
+    step = step.withColumns(
+        {
+            "__base": F.flatten(F.zip_with("__segments", "__bases", lambda m, b: _shifted(b, m["start"]))),
+            "__pieces": F.flatten(F.zip_with("__segments", "__bases", rests)),
+        }
+    ).drop("__segments", "__bases")
+    for cut in (_without_placeholders, _without_words):
+        step = step.withColumn("__pieces", F.flatten(F.transform("__pieces", cut)))
+    more = F.flatten(F.transform("__pieces", lambda p: _swept(p["text"], p["start"])))
+    step = step.withColumn("__more", more).drop("__pieces")
     return step.withColumn("__spans", F.array_sort(F.concat("__base", "__more")))
 
 
@@ -319,22 +397,32 @@ def redact(docs: DataFrame, placeholder: str = "[secret]") -> DataFrame:
     names = docs.columns
     row = F.struct(*[F.col(f"`{n}`") for n in names]).alias("__row")
     text = F.col("__row.text")
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
-    def step(acc: Column, span: Column) -> Column:
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (span["start"] - acc["at"]).cast("int"))
-        fresh = F.concat(acc["out"], between, F.lit(placeholder))
-        return F.struct(
-            F.when(span["start"] < acc["at"], acc["out"]).otherwise(fresh).alias("out"),
-            F.greatest(acc["at"], span["end"]).alias("at"),
+    def cleaned(spans: Column) -> Column:
+        ends = F.transform(spans, lambda x: x["end"])
+        # a span that begins inside an earlier one is part of it
+        reached = _scan(ends, F.lit(0).cast("long"), lambda a, x: F.greatest(a, x))
+        between = F.filter(
+            F.zip_with(
+                F.concat(reached, F.array(F.array_max(ends))),
+                F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.char_length(text).cast("long"))),
+                lambda at, stop: F.struct(at.alias("at"), stop.alias("stop")),
+            ),
+            lambda x: x["at"] <= x["stop"],
         )
+        return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)), lambda chunks: _texts(chunks, between))
+
+    def _texts(chunks: Column, between: Column) -> Column:
+        def piece(x: Column) -> Column:
+            first, last = F.floor(x["at"] / _CHUNK), F.floor(F.greatest(x["stop"] - 1, x["at"]) / _CHUNK)
+            near = F.array_join(F.slice(chunks, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+            return F.substring(near, (x["at"] % _CHUNK + 1).cast("int"), (x["stop"] - x["at"]).cast("int"))
 
-    def rest(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
+        return F.array_join(F.transform(between, piece), placeholder)
 
     found = F.size("__spans") > 0
     scanned = _scanned(docs.select("*"), [row, F.col("text").alias("text")])
-    new = F.aggregate("__spans", state, step, rest)
+    new = _let(F.col("__spans"), cleaned)
     scanned = scanned.select("__row", found.alias("__found"), F.when(found, new).otherwise(text).alias("__text"))
     columns = []
     for n in names:
