@@ -154,6 +154,27 @@ _put(
     "ingest_arrays",
     "SELECT id AS seq, bucket_name, size_bytes, num_objects, collected_at FROM hist",
 )
+_put(
+    "ingest_cut_arrays",
+    """, filed AS (
+  SELECT *, CAST(floor(id / 2000) AS BIGINT) AS file_number FROM hist),
+ends AS (SELECT *, id = max(id) OVER (PARTITION BY file_number) AS is_last FROM filed)
+SELECT file_number,
+       count(*) FILTER (NOT (is_last AND file_number % 3 = 0)) AS documents,
+       CAST(coalesce(sum(size_bytes) FILTER (NOT (is_last AND file_number % 3 = 0)), 0) AS BIGINT) AS size_bytes,
+       CAST(CASE WHEN file_number % 3 = 1 THEN 0 ELSE 1 END AS BIGINT) AS unreadable
+FROM ends GROUP BY file_number
+""",
+)
+_put(
+    "inventory_files",
+    """
+SELECT page, pos, concat('bucket-', o_orderkey) AS bucket_name
+FROM (SELECT o_orderkey, page, row_number() OVER (PARTITION BY page ORDER BY o_orderkey) - 1 AS pos
+      FROM (SELECT o_orderkey, CAST(floor(o_orderkey / 2000) AS BIGINT) AS page FROM orders))
+WHERE o_orderkey % 4 <> 1
+""",
+)
 _put(
     "ingest_one",
     f""", {_KIND}

@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from usagelens.functions.times import ntz
 from usagelens.operators.maintenance import latest_per_key
@@ -289,6 +290,28 @@ def damaged_documents(documents: DataFrame) -> DataFrame:
     return documents.withColumn("value", value)
 
 
+def write_lists(rows: DataFrame, path: str, unfinished: Column | None = None) -> None:
+    """Files ``file=<n>`` of one line each: the JSON texts ``value`` of a file as one list, by ``id``.
+
+    ``unfinished`` (on ``file``) names the files that lack the end of their list.
+    """
+    by = Window.partitionBy("file")
+    place = F.row_number().over(by.orderBy("id"))
+    placed = rows.select("file", "id", "value", place.alias("place"), F.count(F.lit(1)).over(by).alias("places"))
+    begin = F.when(F.col("place") == 1, "[").otherwise("")
+    last = F.when(F.col("place") < F.col("places"), ",").otherwise("]")
+    if unfinished is not None:
+        last = F.when(unfinished, ",").otherwise(last)
+    texts = placed.select("file", "id", F.concat(begin, "value", last).alias("value"))
+    # rows are written in order of their place; a blank stands between them
+    sorted_ = texts.repartition("file").sortWithinPartitions("file", "id").drop("id")
+    sorted_.write.partitionBy("file").option("lineSep", " ").text(path)
+
+
+def file_number() -> Column:
+    return F.regexp_extract("file", "/file=([0-9]+)/", 1).cast("bigint")
+
+
 def inventory_pages(customer: DataFrame) -> DataFrame:
     """Listing pages of at most 100 elements (keys are unique): strings, objects, others."""
     key = F.col("c_custkey")

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from usagelens.catalog import proxies as px
 from usagelens.catalog.proxies import AS_OF, Proxies
@@ -27,7 +28,7 @@ from usagelens.plans import refresh, reports, serving
 from usagelens.schemas import CURRENT
 from usagelens.session import work_dir
 from usagelens.sinks.history import append_history, read_history
-from usagelens.sources import inventory, snapshots, sync, tables
+from usagelens.sources import borders, inventory, snapshots, sync, tables
 from usagelens.sources.snapshots import ARRIVAL
 from usagelens.streaming.refresh import refresh_stream
 
@@ -116,6 +117,50 @@ def ingest_arrays(p: Proxies) -> DataFrame:
     )
 
 
+#: Documents of an array file, names of a list file.
+PER_FILE = 2000
+
+
+@_query
+def ingest_cut_arrays(p: Proxies) -> DataFrame:
+    """Array files of one line: of three, one ends in a document cut short, one behind a comma.
+
+    What each file gives: its documents, their size, and rows that are no documents.
+    """
+    landed = _landed(p, damaged=False).withColumn("file", F.floor(F.col("id") / PER_FILE))
+    is_last = F.max("id").over(Window.partitionBy("file")) == F.col("id")
+    cut = F.when(is_last & (F.col("file") % 3 == 0), F.substring("value", 1, 40)).otherwise(F.col("value"))
+    path = work_dir(p.spark, "arrays")
+    px.write_lists(landed.withColumn("value", cut), path, F.col("file") % 3 != 1)
+    items = borders.list_items(p.spark, path)
+    documents = items.select("value", "collected_at", "broken", px.file_number().alias("file_number"))
+    parsed = snapshots.parse_documents(documents)
+    good = snapshots.readable() & snapshots.named()
+    size = F.when(good, usage_total(F.col("usage"), "size"))
+    return parsed.groupBy("file_number").agg(
+        F.count_if(good).alias("documents"),
+        F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("size_bytes"),
+        F.count_if(~good).alias("unreadable"),
+    )
+
+
+@_query
+def inventory_files(p: Proxies) -> DataFrame:
+    """List files of names, numbers and objects; every seventh file lacks its end."""
+    key = F.col("o_orderkey")
+    name = F.concat(F.lit("bucket-"), key)
+    value = (
+        F.when(key % 4 == 0, F.concat(F.lit('{"bucket": "'), name, F.lit('", "tags": ["a", {"b": "],["}]}')))
+        .when(key % 4 == 1, key.cast("string"))
+        .otherwise(F.concat(F.lit('"'), name, F.lit('"')))
+    )
+    rows = p.table("orders").select(key.alias("id"), value.alias("value"), F.floor(key / PER_FILE).alias("file"))
+    path = work_dir(p.spark, "inventory")
+    px.write_lists(rows, path, F.col("file") % 7 == 0)
+    items = borders.list_items(p.spark, path).withColumn("page", px.file_number())
+    return inventory.listed_names(items, keep=["page"])
+
+
 @_query
 def ingest_one(p: Proxies) -> DataFrame:
     good = snapshots.good_documents(snapshots.parse_documents(_landed(p).drop("id")))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from usagelens.functions.documents import usage_of_texts, whole_measures
 from usagelens.functions.times import utc_ntz
 from usagelens.schemas import CORRUPT, RAW
+from usagelens.sources.borders import list_items
 
 _BAD = T.StructField(CORRUPT, T.StringType(), True)
 _STRICT = T.StructType([*RAW.fields, _BAD])
@@ -26,6 +27,8 @@ PRETTY_RECORD_END = "\n    },"
 # was read from, and the position in the list a document was taken from.
 BLOCK = "block"
 ARRIVAL = "arrival"
+# Tells the rest of a cut file, which is no document whatever it looks like.
+BROKEN = "broken"
 
 
 def _landed() -> list[Column]:
@@ -50,22 +53,28 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array (or one object) per file. Unindented arrays cannot be split, so a
-    file is one task; use ``read_pretty_arrays`` or one document per line for big files.
+    """JSON arrays (or one object) per file, however they are laid out: one huge line is read by
+    many tasks. A cut file keeps its whole documents and has one ``broken`` row.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", *_landed())
-    return split_arrays(whole.drop(BLOCK))
+    return array_documents(list_items(spark, path))
+
+
+def array_documents(items: DataFrame) -> DataFrame:
+    """List elements as documents: ``value, collected_at, arrival, broken``."""
+    return items.select("value", "collected_at", F.col("pos").cast("int").alias(ARRIVAL), BROKEN)
 
 
 def split_arrays(df: DataFrame) -> DataFrame:
     """Explode ``value`` (array text or a single document) into one document per row, with
-    its position in the list as ``arrival``.
+    its position in the list as ``arrival``. A list that cannot be read is one ``broken`` row.
     """
-    items = F.when(
-        F.ltrim("value").startswith("["), F.from_json("value", "array<string>")
-    ).otherwise(F.array("value"))
+    is_list = F.col("value").rlike(r"\A\s*\[")
+    items = F.when(is_list, F.from_json("value", "array<string>")).otherwise(F.array("value"))
     rest = [c for c in df.columns if c != "value"]
-    return df.select(*rest, F.posexplode(items).alias(ARRIVAL, "value"))
+    marked = df.select(*rest, F.col("value").alias("_text"), items.alias("_items"))
+    broken = F.col("_items").isNull()
+    items = F.coalesce("_items", F.array("_text"))
+    return marked.select(*rest, broken.alias(BROKEN), F.posexplode(items).alias(ARRIVAL, "value"))
 
 
 def read_pretty_arrays(spark: SparkSession, path: str) -> DataFrame:
@@ -94,6 +103,8 @@ def parse_documents(df: DataFrame, value: str = "value") -> DataFrame:
     The parsed struct goes through a generator. Without it a later filter would be pushed
     below the projection and parse every document again.
 
+    A row marked ``broken`` is bad; the mark goes.
+
     Usage values that are no objects are skipped, but one of them voids the whole map of a
     typed parse. Only documents that fail are therefore read a second time, with the usage
     values as text.
@@ -109,12 +120,15 @@ def parse_documents(df: DataFrame, value: str = "value") -> DataFrame:
     odd = F.exists(F.map_values("_second"), lambda cls: cls[CORRUPT].isNotNull())
     rescued = failed & F.col("_second").isNotNull() & ~odd
     objects = F.map_filter("usage", lambda _, cls: cls.isNotNull())
+    bad = F.when(~rescued, F.col(CORRUPT))
+    if BROKEN in df.columns:
+        bad = F.when(F.col(BROKEN), F.coalesce(text, F.lit(""))).otherwise(bad)
     return second.withColumns(
         {
             "usage": F.when(rescued, whole_measures(F.col("_second"))).otherwise(objects),
-            CORRUPT: F.when(~rescued, F.col(CORRUPT)),
+            CORRUPT: bad,
         }
-    ).drop("_loose", "_second")
+    ).drop("_loose", "_second", BROKEN)
 
 
 def readable() -> Column:
