@@ -75,8 +75,8 @@ def _joined_by_block(parts: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def with_depth(parts: DataFrame) -> DataFrame:
     """Adds where each part starts: ``first`` of its file or not, ``inside`` a string or not, with
-    how many ``braces`` and ``brackets`` open; and of the file: ``listed`` (it is a list) and
-    ``cut`` (something is still open at its end)."""
+    how many ``braces`` and ``brackets`` open; and of the file: ``listed`` (it is a list),
+    ``cut`` (something is still open at its end) and ``between`` (only the list itself is)."""
     step = parts.withColumns(
         {
             "quotes": _count(F.regexp_replace("text", r"(?s)\\.", ""), '"'),
@@ -108,13 +108,15 @@ def with_depth(parts: DataFrame) -> DataFrame:
     names = ("braces", "brackets")
     own = {n: F.when(F.col("odd"), F.col(f"{n}1")).otherwise(F.col(f"{n}0")) for n in names}
     totals = totals.withColumns(own)
-    balanced = (_whole_file(F.sum("braces")) == 0) & (_whole_file(F.sum("brackets")) == 0)
+    outside = (_whole_file(F.sum("braces")) == 0) & (_whole_file(F.sum("quotes")) % 2 == 0)
+    brackets = _whole_file(F.sum("brackets"))
     starts = totals.select(
         *_BLOCK,
         "odd",
         *[_blocks_before(n).alias(f"{n}_before") for n in names],
         _whole_file(F.max("listed")).alias("listed"),
-        (~balanced | (_whole_file(F.sum("quotes")) % 2 == 1)).alias("cut"),
+        (~outside | (brackets != 0)).alias("cut"),
+        (outside & (brackets == 1)).alias("between"),
     )
     step = _joined_by_block(step, starts).withColumn("inside", F.col("odd") != F.col("turned"))
     step = step.withColumns({n: F.when(F.col("inside"), F.col(f"{n}1")).otherwise(F.col(f"{n}0")) for n in names})
@@ -125,6 +127,7 @@ def with_depth(parts: DataFrame) -> DataFrame:
         *[(F.col(f"{n}_before") + _parts_before(n)).alias(n) for n in names],
         "listed",
         "cut",
+        "between",
     )
 
 
@@ -156,7 +159,7 @@ def items_of(raw: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list("piece"))
     items = pieces.groupBy("_file", "pos").agg(
         F.array_join(F.transform(ordered, lambda p: p["t"]), "").alias("value"),
-        *[F.first(c).alias(c) for c in ("collected_at", "listed", "cut", "last")],
+        *[F.first(c).alias(c) for c in ("collected_at", "listed", "cut", "between", "last")],
     )
     is_last = F.col("pos") == F.col("last")
     closed = F.col("value").rlike(r"\]\s*\z")
@@ -168,7 +171,7 @@ def items_of(raw: DataFrame) -> DataFrame:
     bare = F.regexp_replace(text, r"\A\s+|\s+\z", "")
     items = items.select("*", bare.alias("bare"))
     nothing = (F.col("bare") == "") & (F.col("pos") == 0) & (F.col("last") == 0) & ~F.col("broken")
-    finished = F.col("broken") & F.col("bare").rlike(r'[}\]"]\z') & F.try_parse_json("bare").isNotNull()
+    finished = F.col("broken") & F.col("between") & F.col("bare").rlike(r'[}\]"]\z')
 
     def row(value: Column, pos: Column, broken: Column) -> Column:
         return F.struct(value.alias("value"), pos.alias("pos"), broken.alias("broken"))
