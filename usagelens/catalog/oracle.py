@@ -12,8 +12,8 @@ WITH hist AS (
          CAST(floor(value * 1024) AS BIGINT) AS size_bytes,
          CAST(floor(value) AS BIGINT) AS num_objects,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-         CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS INTEGER) AS sync_behind_shards,
-         CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) * 10 AS INTEGER) AS sync_behind_entries,
+         CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS BIGINT) AS sync_behind_shards,
+         CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) * 10 AS BIGINT) AS sync_behind_entries,
          ts AS collected_at, event_type AS storage_class
   FROM events),
 latest AS (
@@ -200,8 +200,8 @@ _put(
          k % 10 + k % 2 AS shards, CASE WHEN id % 2 = 0 THEN k * 10 ELSE 0 END AS entries
   FROM hist)
 SELECT id, CASE WHEN listed AND (shards > 0 OR entries > 0) THEN 'behind' ELSE 'synced' END AS sync_status,
-       CAST(CASE WHEN listed THEN shards ELSE 0 END AS INTEGER) AS sync_behind_shards,
-       CAST(CASE WHEN listed THEN entries ELSE 0 END AS INTEGER) AS sync_behind_entries,
+       CAST(CASE WHEN listed THEN shards ELSE 0 END AS BIGINT) AS sync_behind_shards,
+       CAST(CASE WHEN listed THEN entries ELSE 0 END AS BIGINT) AS sync_behind_entries,
        CASE WHEN listed THEN concat('zone-', k % 3) ELSE '' END AS sync_source_zone
 FROM lag
 """,
@@ -212,9 +212,9 @@ _put(
 SELECT id,
        CASE id % 5 WHEN 0 THEN 'behind' WHEN 1 THEN 'behind' WHEN 2 THEN 'synced'
                    WHEN 3 THEN 'error' ELSE 'synced' END AS sync_status,
-       CAST(CASE id % 5 WHEN 0 THEN k % 10 WHEN 1 THEN k % 10 WHEN 2 THEN k ELSE 0 END AS INTEGER)
+       CAST(CASE id % 5 WHEN 0 THEN k % 10 WHEN 1 THEN k % 10 WHEN 2 THEN k ELSE 0 END AS BIGINT)
          AS sync_behind_shards,
-       CAST(CASE id % 5 WHEN 0 THEN k * 10 ELSE 0 END AS INTEGER) AS sync_behind_entries,
+       CAST(CASE id % 5 WHEN 0 THEN k * 10 ELSE 0 END AS BIGINT) AS sync_behind_entries,
        CASE id % 5 WHEN 0 THEN concat('zone-', k % 3) WHEN 2 THEN 'zone-7' ELSE '' END AS sync_source_zone
 FROM hist
 """,
@@ -226,8 +226,8 @@ SELECT id,
        CASE id % 6 WHEN 0 THEN CASE WHEN k % 10 > 0 THEN 'behind' ELSE 'synced' END
                    WHEN 1 THEN 'behind' WHEN 2 THEN 'not_multisite' WHEN 5 THEN 'not_multisite'
                    ELSE 'unknown' END AS sync_status,
-       CAST(CASE id % 6 WHEN 0 THEN k % 10 ELSE 0 END AS INTEGER) AS sync_behind_shards,
-       CAST(CASE id % 6 WHEN 1 THEN k ELSE 0 END AS INTEGER) AS sync_behind_entries,
+       CAST(CASE id % 6 WHEN 0 THEN k % 10 ELSE 0 END AS BIGINT) AS sync_behind_shards,
+       CAST(CASE id % 6 WHEN 1 THEN k ELSE 0 END AS BIGINT) AS sync_behind_entries,
        CASE id % 6 WHEN 0 THEN 'zone-1' ELSE '' END AS sync_source_zone
 FROM hist
 """,
@@ -237,9 +237,9 @@ _put(
     """
 SELECT bucket_name, owner, size_bytes,
        CASE WHEN user_id % 3 <> 0 THEN 'behind' ELSE sync_status END AS sync_status,
-       CAST(CASE WHEN user_id % 3 <> 0 THEN num_objects ELSE sync_behind_shards END AS INTEGER)
+       CAST(CASE WHEN user_id % 3 <> 0 THEN num_objects ELSE sync_behind_shards END AS BIGINT)
          AS sync_behind_shards,
-       CAST(CASE WHEN user_id % 3 <> 0 THEN 0 ELSE sync_behind_entries END AS INTEGER)
+       CAST(CASE WHEN user_id % 3 <> 0 THEN 0 ELSE sync_behind_entries END AS BIGINT)
          AS sync_behind_entries,
        CASE WHEN user_id % 3 <> 0 THEN 'zone-1' ELSE '' END AS sync_source_zone
 FROM cur
@@ -386,6 +386,36 @@ SELECT CASE WHEN to_update > 500 THEN arrived ELSE arrived_due END AS fetched,
 FROM numbers
 """,
 )
+_put("refresh_landed", f"SELECT {_STATE} FROM latest")
+_put(
+    "refresh_counters",
+    f""", {_KIND},
+offered AS (
+  SELECT 'bulk' AS mode, 1 AS version, kind, true AS listed FROM kinds
+  UNION ALL
+  SELECT 'per-bucket', 2, kind, kind NOT IN ('cut', 'nameless', 'array')
+    AND user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) FROM kinds)
+SELECT CAST(version AS BIGINT) AS version, mode, count(*) AS landed,
+       count(*) FILTER (listed AND kind NOT IN ('cut', 'nameless', 'array', 'text shards')) AS collected,
+       count(*) FILTER (kind IN ('cut', 'nameless', 'array') OR listed AND kind = 'text shards') AS errors,
+       count(*) FILTER (kind IN ('cut', 'array') OR listed AND kind = 'text shards') AS unreadable,
+       count(*) FILTER (kind = 'nameless') AS nameless,
+       count(*) FILTER (NOT listed AND kind NOT IN ('cut', 'nameless', 'array')) AS skipped,
+       CAST(0 AS BIGINT) AS readings
+FROM offered GROUP BY version, mode
+""",
+)
+_put(
+    "stream_refresh_with_sync",
+    """
+SELECT bucket_name, size_bytes,
+       CASE WHEN user_id % 3 <> 0 THEN 'behind' END AS sync_status,
+       CASE WHEN user_id % 3 <> 0 THEN num_objects END AS sync_behind_shards,
+       CASE WHEN user_id % 3 <> 0 THEN size_bytes * 1000000 END AS sync_behind_entries,
+       CASE WHEN user_id % 3 <> 0 THEN 'zone-1' END AS sync_source_zone
+FROM latest
+""",
+)
 _put("stream_refresh", f"SELECT {_STATE} FROM latest")
 _put(
     "conform_schema",

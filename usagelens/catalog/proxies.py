@@ -152,8 +152,8 @@ def hist_columns(events: DataFrame) -> DataFrame:
         bucket_name().alias("bucket_name"),
         _size().alias("size_bytes"),
         F.floor("value").alias("num_objects"),
-        (_k() % 10).alias("sync_behind_shards"),
-        (_k() * 10).alias("sync_behind_entries"),
+        (_k() % 10).cast("bigint").alias("sync_behind_shards"),
+        (_k() * 10).cast("bigint").alias("sync_behind_entries"),
         F.col("ts").alias("collected_at"),
         F.col("event_type").alias("storage_class"),
     )
@@ -178,8 +178,8 @@ def current_columns(rows: DataFrame, wide: bool = False) -> DataFrame:
         "size_utilized_bytes": size,
         "num_objects": F.floor("value"),
         "sync_status": status,
-        "sync_behind_shards": _k() % 10,
-        "sync_behind_entries": _k() * 10,
+        "sync_behind_shards": (_k() % 10).cast("bigint"),
+        "sync_behind_entries": (_k() * 10).cast("bigint"),
         "collected_at": F.col("ts"),
     }
     if not wide:

@@ -30,7 +30,7 @@ from usagelens.session import work_dir
 from usagelens.sinks.history import append_history, read_history
 from usagelens.sources import borders, inventory, snapshots, sync, tables
 from usagelens.sources.snapshots import ARRIVAL
-from usagelens.streaming.refresh import refresh_stream
+from usagelens.streaming.refresh import feeds, refresh_feeds, refresh_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Entity of the point lookups.
@@ -356,6 +356,63 @@ def stream_refresh(p: Proxies) -> DataFrame:
     return store.current.read(p.spark).select(*_STATE)
 
 
+@_query
+def refresh_landed(p: Proxies) -> DataFrame:
+    """A per-entity cycle over documents that have landed: they all apply, also those not due."""
+    store, documents = _store(p), _documents(p)
+    refresh.bulk_refresh(p.spark, store, documents.filter(F.col("collected_at") < ntz(ARRIVALS)))
+    later = documents.filter(F.col("collected_at") >= ntz(ARRIVALS))
+    refresh.refresh_once(p.spark, store, p.inv(), later, ARRIVALS, bulk_threshold=5_000_000, landed=True)
+    return store.current.read(p.spark).select(*_STATE)
+
+
+@_query
+def refresh_counters(p: Proxies) -> DataFrame:
+    """What became of every landed row in a bulk run of odd documents and a run by list."""
+    store, documents = _store(p), _documents(p, damaged=True)
+    refresh.bulk_refresh(p.spark, store, documents)
+    names = p.inv().filter(F.col("pos") % 3 == 0)
+    refresh.incremental_refresh(p.spark, store, documents, names)
+    return refresh.run_metrics(p.spark, store).drop("seconds", "stream", "batch")
+
+
+def _spread_by_time(rows: DataFrame, path: str) -> None:
+    """Files of one line per row, all of one landing time."""
+    rows.select("value").write.text(path)
+
+
+@_query
+def stream_refresh_with_sync(p: Proxies) -> DataFrame:
+    """Documents as lines and as list files, and replication status, in one query.
+
+    The status of half the entities lands before their documents, that of the others after
+    them, when the query is started again.
+    """
+    store, root = _store(p), work_dir(p.spark, "feeds")
+    last = p.hist().groupBy("bucket_name").agg(F.max(F.struct("collected_at", "id"))["id"].alias("id"))
+    docs = px.raw_documents(p.table("events")).join(last.select("id"), "id", "left_semi")
+    user = F.regexp_extract("value", '"bucket":"bucket-([0-9]+)"', 1).cast("bigint")
+    docs = docs.withColumn("user_id", user)
+    _spread_by_time(docs.filter(user % 2 == 0), f"{root}/lines")
+    px.write_lists(docs.filter(user % 2 == 1).withColumn("file", F.floor(user / 500)), f"{root}/arrays")
+    stdout = F.concat(F.col("num_objects"), F.lit(" shards behind\n"), F.col("size_bytes"), F.lit("000000 entries behind\nsource zone: zone-1"))
+    fetch = F.struct("bucket_name", F.lit(True).alias("ok"), stdout.alias("stdout"), F.lit("").alias("stderr"))
+    status = p.hist().join(last.select("id"), "id", "left_semi").filter(px.user_id_of() % 3 != 0)
+    texts = status.select(
+        F.to_json(fetch.cast("struct<bucket:string,ok:boolean,stdout:string,stderr:string>")).alias("value"),
+        (px.user_id_of() % 2).alias("late"),
+    )
+    folders = {"lines": f"{root}/lines", "arrays": f"{root}/arrays", "sync": f"{root}/sync"}
+    _spread_by_time(texts.filter("late = 0"), f"{root}/sync")
+    for late in (False, True):
+        if late:
+            texts.filter("late = 1").select("value").write.mode("append").text(f"{root}/sync")
+        query = refresh_feeds(feeds(p.spark, **folders), store, f"{store.root}/checkpoint", once=True)
+        query.awaitTermination()
+    rows = store.current.read(p.spark)
+    return rows.select("bucket_name", "size_bytes", "sync_status", "sync_behind_shards", "sync_behind_entries", "sync_source_zone")
+
+
 @_query
 def conform_schema(p: Proxies) -> DataFrame:
     """A table of an earlier release, without the later columns."""

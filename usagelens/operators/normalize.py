@@ -79,8 +79,12 @@ def usage_rows(records: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 
 def history_rows(records: DataFrame) -> DataFrame:
-    """The history row of each record. The id depends on content only, so a retry repeats it."""
-    identified = records.withColumn("id", F.xxhash64("bucket_name", "collected_at"))
+    """The history row of each record. The id depends on content and arrival only, so a retry
+    repeats it, and two documents of one name and time have ids of their own.
+    """
+    place = [c for c in ("arrival",) if c in records.columns]
+    parts = ["bucket_name", "collected_at", *place, "size_bytes", "num_objects"]
+    identified = records.withColumn("id", F.xxhash64(*parts))
     lag = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in SYNC_COLUMNS[1:3]]
     return identified.select(
         *[c for c in HISTORY.names if c not in SYNC_COLUMNS and c != "collected_at"],

@@ -8,19 +8,19 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.operators.maintenance import repair_dry_run, repair_null_times
+from usagelens.operators.maintenance import latest_per_key, repair_dry_run, repair_null_times
 from usagelens.operators.normalize import history_rows, normalize, usage_rows
 from usagelens.operators.summary import STALE_SECONDS
 from usagelens.operators.worklist import BULK_THRESHOLD, refresh_plan, refresh_worklist
-from usagelens.schemas import ADDED_LATER, CLASS_USAGE, CURRENT, SYNC_COLUMNS
+from usagelens.schemas import ADDED_LATER, CLASS_USAGE, CURRENT, READING, SYNC_COLUMNS
 from usagelens.sinks import versions
 from usagelens.sinks.history import append_history, read_history, version_path
 from usagelens.sinks.keyed import KeyedTable
-from usagelens.sources.snapshots import ARRIVAL, BLOCK, named, parse_documents, readable
+from usagelens.sources.snapshots import ARRIVAL, BLOCK, BROKEN, named, parse_documents, readable
 from usagelens.sources.sync import attach_sync
 from usagelens.sources.tables import Tables
 
@@ -31,6 +31,11 @@ _RUN = (
     f"{_COUNTERS}, seconds double, total_collected bigint, total_errors bigint, "
     "cycles_completed bigint, batches map<string,bigint>"
 )
+# What a run did with every landed row: landed = collected + errors + skipped.
+METRICS = (
+    "version bigint, mode string, stream string, batch bigint, landed bigint, collected bigint, errors bigint, "
+    "unreadable bigint, nameless bigint, skipped bigint, readings bigint, seconds double"
+)
 
 
 @dataclass(frozen=True)
@@ -55,6 +60,11 @@ class StatsStore:
         keys = ("bucket_name", "storage_class")
         return KeyedTable(f"{self.root}/usage", CLASS_USAGE, keys, (), self.shards)
 
+    @property
+    def sync(self) -> KeyedTable:
+        """The latest replication status of each entity, also of those without a document yet."""
+        return KeyedTable(f"{self.root}/sync", READING, ("bucket_name",), (), self.shards)
+
     @property
     def history_path(self) -> str:
         return f"{self.root}/history"
@@ -63,6 +73,13 @@ class StatsStore:
     def runs(self) -> str:
         return f"{self.root}/runs"
 
+    def metrics_path(self, version: int) -> str:
+        return version_path(f"{self.root}/metrics", version)
+
+    def staging_path(self, version: int) -> str:
+        """Parsed rows of a run in progress; on shared storage, so that lost executors cost nothing."""
+        return version_path(f"{self.root}/staging", version)
+
     def tables(self, spark: SparkSession, inv: DataFrame | None = None) -> Tables:
         """The tables as of the last complete run."""
         last = self.last_version(spark)
@@ -78,6 +95,7 @@ class StatsStore:
         """Forget all but the newest ``keep`` versions; the rows of the tables stay."""
         self.current.drop_old(spark, keep)
         self.usage.drop_old(spark, keep)
+        self.sync.drop_old(spark, keep)
         versions.drop_old(spark, self.runs, keep)
 
     def last_version(self, spark: SparkSession) -> int:
@@ -93,11 +111,13 @@ class StatsStore:
         """
         started = time.monotonic()
         if version > self.last_version(spark):
-            for root in (self.current.root, self.usage.root, self.runs):
+            for root in (self.current.root, self.usage.root, self.sync.root, self.runs):
                 # the commit goes first: there is never one without its rows
                 versions.remove(spark, versions.commit_path(root, version))
                 versions.remove(spark, versions.data_path(root, version))
             versions.remove(spark, version_path(self.history_path, version))
+            versions.remove(spark, self.metrics_path(version))
+        versions.remove(spark, self.staging_path(version))
         return started
 
     def last_batch(self, spark: SparkSession, stream: str) -> int:
@@ -109,16 +129,6 @@ class StatsStore:
         return run.select(F.coalesce(F.try_element_at("batches", F.lit(stream)), F.lit(-1))).first()[0]
 
 
-def _counters(rows: DataFrame, mode: str) -> DataFrame:
-    """One row: documents naming an entity, how many of them are readable, the rest."""
-    return rows.agg(
-        F.count_if("named").alias("fetched"),
-        F.count_if(F.col("named") & F.col("readable")).alias("collected"),
-        F.count_if(F.col("named") & ~F.col("readable")).alias("errors"),
-        F.lit(mode).alias("mode"),
-    )
-
-
 def _finish_run(
     spark: SparkSession,
     store: StatsStore,
@@ -171,13 +181,45 @@ def _in_order(documents: DataFrame) -> DataFrame:
 
 def _spread(documents: DataFrame) -> DataFrame:
     """A landing of a few files that cannot be split would be parsed by as few tasks; its
-    texts are handed round first. A landing with enough partitions is left as it is.
+    texts are handed round first. A landing with enough partitions is left as it is, as are
+    list files, whose elements come out of a shuffle.
     """
+    if BROKEN in documents.columns:
+        return documents
     cores = documents.sparkSession.sparkContext.defaultParallelism
     few = documents.rdd.getNumPartitions() < cores
     return documents.repartition(cores) if few else documents
 
 
+def _on_list(documents: DataFrame, names: DataFrame) -> DataFrame:
+    """Documents that may name an entity of the list, before they are parsed.
+
+    The name is taken out of the text alone, which is much cheaper than the whole parse, and
+    meets the list first; for shuffled joins Spark adds a Bloom filter of the list at run time.
+    Texts without a readable name, and those that spell the key twice, are for the parse.
+    """
+    name = F.get_json_object("value", "$.bucket")
+    plain = name.isNotNull() & (F.regexp_count("value", F.lit('"bucket"')) == 1)
+    marked = documents.withColumn("_name", F.when(plain, name))
+    listed = names.select(F.col("bucket_name").alias("_listed")).distinct()
+    kept = marked.join(listed, F.col("_name") == F.col("_listed"), "left_semi")
+    return kept.unionByName(marked.filter(F.col("_name").isNull())).drop("_name")
+
+
+def _with_readings(
+    spark: SparkSession, store: StatsStore, records: DataFrame, readings: DataFrame, version: int
+) -> tuple[DataFrame, DataFrame]:
+    """Records with the latest known status of their entity, and the stored rows of entities
+    that have a new status but no document in this run.
+    """
+    store.sync.upsert(spark, readings, version)
+    known = store.sync.read(spark, version)
+    names = records.select("bucket_name").distinct()
+    fresh = latest_per_key(readings, ["bucket_name"], ["collected_at", ARRIVAL]).join(names, "bucket_name", "left_anti")
+    stored = store.current.read(spark, version - 1).join(fresh.select("bucket_name"), "bucket_name", "left_semi")
+    return attach_sync(records, known), attach_sync(stored, known)
+
+
 def load_documents(
     spark: SparkSession,
     store: StatsStore,
@@ -189,43 +231,103 @@ def load_documents(
     sync: DataFrame | None = None,
     save_history: bool = True,
     batch: tuple[str, int] | None = None,
+    readings: DataFrame | None = None,
 ) -> None:
     """Apply documents (``value``, optionally ``collected_at`` and ``arrival``) as ``version``.
 
     ``only`` restricts the run to a list of names, ``sync`` adds replication status. Rows
     without a status keep the one already stored. Each write replaces its own version, so a
     run that failed at any point is repeated as a whole. ``batch`` names the stream and the
-    micro-batch the documents come from.
+    micro-batch the documents come from. ``readings`` (``bucket_name``, the status columns,
+    ``collected_at``, ``arrival``) are kept as the latest status of their entities, whether
+    these have a document in this run, an earlier or a later one.
+
+    The documents are parsed once and staged; what happens to every landed row is counted on the way.
     """
     started = store.start_run(spark, version)
-    documents = _in_order(documents)
+    landed, parsed_rows = Observation(), Observation()
+    documents = _in_order(documents).observe(landed, F.count(F.lit(1)).alias("landed"))
+    if only is not None:
+        documents = _on_list(documents, only)
     parsed = parse_documents(_spread(documents))
+    flags = ["named", "readable", "listed"]
+    parsed = parsed.withColumns({"named": named(), "readable": readable(), "listed": F.lit(True)})
     if only is not None:
-        names = only.select(F.col("bucket_name").alias("_name"))
-        parsed = parsed.join(names, F.col("bucket") == F.col("_name"), "left_semi")
-    flags = ["named", "readable"]
-    parsed = parsed.withColumns({"named": named(), "readable": readable()})
-    # parsed once for all writes; lost partitions are computed again
-    rows = normalize(parsed, as_of, [ARRIVAL, *flags]).persist(StorageLevel.MEMORY_AND_DISK)
+        listed = only.select(F.col("bucket_name").alias("_name"), F.lit(True).alias("_on")).distinct()
+        parsed = parsed.join(listed, F.col("bucket") == F.col("_name"), "left")
+        parsed = parsed.withColumn("listed", F.coalesce("_on", ~F.col("named"))).drop("_name", "_on")
+    good = F.col("listed") & F.col("named") & F.col("readable")
+    rows = normalize(parsed, as_of, [ARRIVAL, *flags]).observe(
+        parsed_rows,
+        F.count_if(F.col("listed") & F.col("named")).alias("fetched"),
+        F.count_if(good).alias("collected"),
+        F.count_if(F.col("listed") & ~F.col("readable")).alias("unreadable"),
+        F.count_if(F.col("listed") & F.col("readable") & ~F.col("named")).alias("nameless"),
+    )
+    staging = store.staging_path(version)
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(staging)
     try:
-        records = rows.filter("named AND readable").drop(*flags)
+        rows = spark.read.schema(rows.schema).parquet(staging)
+        records = rows.filter(good).drop(*flags)
         if sync is not None:
             records = attach_sync(records, sync)
-        # both tables are sharded by the entity name; this also fills the cache
-        touched = store.current.shards_of(records)
+        changed = records
+        known = 0
+        if readings is not None:
+            known = readings.count()
+            records, others = _with_readings(spark, store, records, readings, version)
+            if known:
+                others = others.withColumn(ARRIVAL, F.lit(None).cast(records.schema[ARRIVAL].dataType))
+                changed = records.unionByName(others)
+        # both tables are sharded by the entity name
+        touched = store.current.shards_of(changed)
         classes = usage_rows(records, [ARRIVAL])
         writes = [
-            lambda: store.current.upsert(spark, records, version, touched),
+            lambda: store.current.upsert(spark, changed, version, touched),
             lambda: store.usage.upsert(spark, classes, version, touched),
         ]
         if save_history:
             history = history_rows(records)
             writes.append(lambda: append_history(history, store.history_path, version))
         _run_together(spark, writes)
+        seen = {**landed.get, **parsed_rows.get}
+        _write_metrics(spark, store, version, mode, batch, seen, known, time.monotonic() - started)
         # last: a run counts once all its tables are visible
-        _finish_run(spark, store, _counters(rows, mode), version, started, batch)
+        errors = seen["fetched"] - seen["collected"]
+        counters = spark.createDataFrame([(seen["fetched"], seen["collected"], errors, mode)], _COUNTERS)
+        _finish_run(spark, store, counters, version, started, batch)
     finally:
-        rows.unpersist()
+        versions.remove(spark, staging)
+
+
+def _write_metrics(
+    spark: SparkSession,
+    store: StatsStore,
+    version: int,
+    mode: str,
+    batch: tuple[str, int] | None,
+    seen: dict[str, int],
+    readings: int,
+    seconds: float,
+) -> None:
+    """One row of ``METRICS``; written again if the run is repeated."""
+    errors = seen["unreadable"] + seen["nameless"]
+    skipped = seen["landed"] - seen["collected"] - errors
+    stream, number = batch or (None, None)
+    row = (
+        version, mode, stream, number, seen["landed"], seen["collected"], errors,
+        seen["unreadable"], seen["nameless"], skipped, readings, seconds,
+    )
+    frame = spark.createDataFrame([row], METRICS).drop("version")
+    frame.coalesce(1).write.mode("overwrite").parquet(store.metrics_path(version))
+
+
+def run_metrics(spark: SparkSession, store: StatsStore) -> DataFrame:
+    """What became of the rows of every complete run, one row a run; runs stay when old versions go."""
+    last = store.last_version(spark)
+    if not last:
+        return spark.createDataFrame([], METRICS)
+    return spark.read.schema(METRICS).parquet(f"{store.root}/metrics").filter(F.col("version") <= last)
 
 
 def run_counters(spark: SparkSession, store: StatsStore, version: int) -> DataFrame:
@@ -290,17 +392,23 @@ def refresh_once(
     threshold_seconds: int = STALE_SECONDS,
     bulk_threshold: int = BULK_THRESHOLD,
     limit: int | None = None,
+    landed: bool = False,
 ) -> DataFrame:
     """One collection cycle: plan it, refresh everything, only what is due, or nothing.
 
-    ``limit`` holds for the per-entity mode only. Returns one row with the counters of the
-    run and the numbers of the plan.
+    ``limit`` holds for the per-entity mode only. Documents that have ``landed`` are not asked for
+    again: they all apply, whatever the plan, which then only tells the mode. Returns one row with
+    the counters of the run and the numbers of the plan.
     """
     cur = store.tables(spark).cur
     # the plan is one row; the choice needs its mode only
     plan = refresh_plan(inv, cur, as_of, threshold_seconds, bulk_threshold).first()
     mode = plan["mode"]
-    if mode == "bulk":
+    if landed:
+        version = store.next_version(spark)
+        load_documents(spark, store, documents, version, mode, as_of)
+        counters = run_counters(spark, store, version)
+    elif mode == "bulk":
         counters = bulk_refresh(spark, store, documents, as_of)
     elif mode == "per-bucket":
         names = refresh_worklist(inv, cur, as_of, threshold_seconds, limit)

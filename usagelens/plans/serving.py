@@ -34,7 +34,7 @@ SECTIONS = {
     "collected_at string, num_shards int",
     "sync_summary": "sync_status string, count bigint",
     "sync_behind": "bucket_name string, owner string, sync_status string, "
-    "shards_behind int, entries_behind int",
+    "shards_behind bigint, entries_behind bigint",
 }
 
 _NEEDED = [

@@ -88,8 +88,8 @@ CURRENT = _struct(
     usage=T.MapType(_S, USAGE),
     bucket_quota=QUOTA,
     sync_status=_S,
-    sync_behind_shards=_I,
-    sync_behind_entries=_I,
+    sync_behind_shards=_L,
+    sync_behind_entries=_L,
     sync_source_zone=_S,
     collected_at=_TS,
     collection_duration_ms=_I,
@@ -101,8 +101,8 @@ HISTORY = _struct(
     bucket_name=_S,
     size_bytes=_L,
     num_objects=_L,
-    sync_behind_shards=_I,
-    sync_behind_entries=_I,
+    sync_behind_shards=_L,
+    sync_behind_entries=_L,
     collected_at=_TS,
 )
 
@@ -117,6 +117,16 @@ CLASS_USAGE = _struct(
     collected_at=_TS,
 )
 
+# Latest replication status per entity.
+READING = _struct(
+    bucket_name=_S,
+    sync_status=_S,
+    sync_behind_shards=_L,
+    sync_behind_entries=_L,
+    sync_source_zone=_S,
+    collected_at=_TS,
+)
+
 SYNC_COLUMNS = ["sync_status", "sync_behind_shards", "sync_behind_entries", "sync_source_zone"]
 
 # Text defaults of the document format.

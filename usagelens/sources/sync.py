@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from usagelens.schemas import SYNC_COLUMNS
 
+LEAST, MOST = -(2**63), 2**63 - 1
 ZONE = "struct<source_zone:string,shards_behind:bigint,entries_behind:bigint>"
 
 # Patterns and phrases of the text form, matched without case.
@@ -37,14 +38,19 @@ def _zones(text: Column) -> Column:
     return F.when(is_list, F.coalesce(whole, single))
 
 
+def _whole(number: Column) -> Column:
+    """A bigint; beyond it, the largest there is."""
+    return F.greatest(F.lit(LEAST), F.least(F.lit(MOST), number)).cast("bigint")
+
+
 def _with_json(df: DataFrame, text: Column) -> DataFrame:
     """Adds ``_zones`` and, in a second step so that the text is parsed once, its sums."""
     df = df.withColumn("_zones", _zones(text))
-    zero = F.lit(0).cast("bigint")
+    zero = F.lit(0).cast("decimal(38,0)")
 
     def lag(field: str) -> Column:
-        total = F.aggregate("_zones", zero, lambda acc, z: acc + F.coalesce(z[field], zero))
-        return F.coalesce(total, zero)
+        total = F.aggregate("_zones", zero, lambda acc, z: (acc + F.coalesce(z[field], F.lit(0))).cast("decimal(38,0)"))
+        return _whole(F.coalesce(total, zero))
 
     named = F.filter("_zones", lambda z: z["source_zone"] != "")
     return df.withColumns(
@@ -62,10 +68,15 @@ def _with_text(df: DataFrame, text: Column) -> DataFrame:
     def found(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
+    def number(pattern: str) -> Column:
+        digits = found(pattern)
+        # more digits than a decimal holds are beyond the range, too
+        return F.when(digits.isNotNull(), F.coalesce(_whole(digits.try_cast("decimal(38,0)")), F.lit(MOST)))
+
     return df.withColumns(
         {
-            "_text_shards": found(SHARDS_PATTERN).try_cast("bigint"),
-            "_text_entries": found(ENTRIES_PATTERN).try_cast("bigint"),
+            "_text_shards": number(SHARDS_PATTERN),
+            "_text_entries": number(ENTRIES_PATTERN),
             "_text_zone": found(ZONE_PATTERN),
         }
     )
@@ -91,9 +102,9 @@ def _sync_columns(df: DataFrame, keep: list[str], values: list[Column]) -> DataF
     status, shards, entries, zone = values
     columns = [
         status,
-        # a lag past the column's range becomes NULL instead of failing the whole job
-        F.coalesce(shards, F.lit(0)).try_cast("int"),
-        F.coalesce(entries, F.lit(0)).try_cast("int"),
+        # a lag past the column's range becomes its largest value instead of failing the whole job
+        F.coalesce(shards, F.lit(0)).cast("bigint"),
+        F.coalesce(entries, F.lit(0)).cast("bigint"),
         F.coalesce(zone, F.lit("")),
     ]
     return df.select(*keep, *[c.alias(n) for n, c in zip(SYNC_COLUMNS, columns, strict=True)])
