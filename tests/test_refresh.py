@@ -15,7 +15,7 @@ from usagelens.operators import listing, summary, worklist
 from usagelens.plans import refresh, serving
 from usagelens.sinks import versions
 from usagelens.sources import snapshots
-from usagelens.streaming.refresh import refresh_folder, stream_id
+from usagelens.streaming.refresh import feeds, refresh_feeds, refresh_folder, stream_id
 
 STALE = 60
 
@@ -401,3 +401,85 @@ def test_stale_rows_after_a_run(spark, store):
     assert listing.stale_for_refresh(cur, later, STALE).count() == 2
     assert summary.stale_count(cur, later, STALE).first().stale_count == 2
     assert cur.filter(F.col("usage").isNull()).count() == 0
+
+
+def test_landed_documents_always_apply(spark, store):
+    """Of three landed documents one is due; the new size of another and a new entity stay."""
+    refresh.bulk_refresh(spark, store, documents(spark, ["a", "b"], NOW))
+    inv, later = inventory(spark, ["a", "b", "c"]), NOW + timedelta(seconds=STALE // 2)
+    landed = documents(spark, ["a", "c", "d"], later, size=7)
+    row = refresh.refresh_once(spark, store, inv, landed, later, STALE, landed=True).first()
+    assert (row.mode, row.fetched, row.collected, row.to_update) == ("per-bucket", 3, 3, 1)
+    got = dict(rows_of(store.tables(spark).cur.select("bucket_name", "size_bytes")))
+    assert got == {"a": 7, "b": 1024, "c": 7, "d": 7}
+
+
+def test_metrics_cover_every_row(spark, store):
+    good = documents(spark, ["a", "b", "c"], NOW)
+    odd = ['{"bucket": "d", "num_shards": "x"}', '{"owner": "o"}', "{broken", '{"bucket": "a", "bucket": "b"}']
+    bad = spark.createDataFrame([(t, NOW) for t in odd], good.schema)
+    landed = good.unionByName(bad)
+    refresh.bulk_refresh(spark, store, landed)
+    refresh.incremental_refresh(spark, store, landed, inventory(spark, ["a", "a", "d"]))
+    rows = refresh.run_metrics(spark, store).orderBy("version").collect()
+    assert [(r.landed, r.collected, r.errors, r.unreadable, r.nameless, r.skipped) for r in rows] == [
+        (7, 4, 3, 2, 1, 0),
+        (7, 1, 3, 2, 1, 3),
+    ]
+    assert all(r.landed == r.collected + r.errors + r.skipped for r in rows)
+
+
+def test_listed_names_meet_documents_before_the_parse(spark):
+    docs = documents(spark, ["a", "b"], NOW)
+    plan = snapshots.parse_documents(refresh._on_list(docs, inventory(spark, ["a"])))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("inline(array(from_json") < text.index("LeftSemi")
+
+
+def test_history_ids_tell_documents_apart(spark, store):
+    rows = [(json.dumps(document("b", size)), NOW, place) for place, size in enumerate([1, 2, 2])]
+    landed = spark.createDataFrame(rows, "value string, collected_at timestamp_ntz, arrival int")
+    refresh.bulk_refresh(spark, store, landed)
+    hist = store.tables(spark).hist.collect()
+    assert len({r.id for r in hist}) == 3 and sorted(r.size_bytes for r in hist) == [1, 2, 2]
+
+
+def _status(name, text):
+    return {"bucket": name, "ok": True, "stdout": text, "stderr": ""}
+
+
+def test_feeds_in_one_stream(spark, store, tmp_path):
+    """Status before, with and after its document, list files cut and whole, and a restart."""
+    folders = {k: str(tmp_path / k) for k in ("lines", "arrays", "sync")}
+    checkpoint = str(tmp_path / "checkpoint")
+    for folder in folders.values():
+        os.makedirs(folder)
+
+    def land(kind, name, text, at):
+        path = tmp_path / kind / name
+        path.write_text(text)
+        os.utime(path, (at, at))
+
+    def drain():
+        refresh_feeds(feeds(spark, **folders), store, checkpoint, once=True).awaitTermination()
+        rows = store.tables(spark).cur.collect()
+        return {r.bucket_name: (r.size_bytes, r.sync_status, r.sync_behind_shards) for r in rows}
+
+    land("lines", "1", json.dumps(document("a", 1)) + "\n\n{broken\n", 1_800_000_000)
+    text = json.dumps([document("b", 2), document("c", 3)])
+    land("arrays", "1", text[:-9], 1_800_000_000)
+    land("sync", "1", "\n".join(json.dumps(_status(n, f"{s} shards behind")) for n, s in (("b", 5_000_000_000), ("z", 7))), 1_800_000_000)
+    assert drain() == {"a": (1, None, None), "b": (2, "behind", 5_000_000_000)}
+    # the status of a, without a document; the document of z, whose status came before
+    land("sync", "2", json.dumps(_status("a", "caught up")) + '\n{"stdout": "1 shard behind"}', 1_800_000_100)
+    land("arrays", "2", json.dumps([document("z", 9)]), 1_800_000_100)
+    assert drain() == {"a": (1, "synced", 0), "b": (2, "behind", 5_000_000_000), "z": (9, "behind", 7)}
+    # an older status of b changes nothing, a new document keeps it
+    land("sync", "3", json.dumps(_status("b", "1 shard behind")), 1_799_990_000)
+    land("lines", "2", json.dumps(document("b", 20)), 1_800_000_200)
+    assert drain() == {"a": (1, "synced", 0), "b": (20, "behind", 5_000_000_000), "z": (9, "behind", 7)}
+    rows = refresh.run_metrics(spark, store).orderBy("version").collect()
+    assert [(r.landed, r.collected, r.errors, r.readings) for r in rows] == [(4, 2, 2, 2), (1, 1, 0, 1), (1, 1, 0, 1)]
+    assert [r.batch for r in rows] == [0, 1, 2] and len({r.stream for r in rows}) == 1
+    lagging = Lens(store.tables(spark), NOW).lagging_by_shards().collect()
+    assert [r.bucket_name for r in lagging] == ["b", "z"]

@@ -295,3 +295,10 @@ def test_attach_sync(spark, make_cur):
     assert got.columns == cur.columns
     picked = got.select("bucket_name", "sync_status", "sync_behind_entries", "sync_source_zone")
     assert sorted(rows_of(picked)) == [("a", "behind", 2, "z"), ("b", "synced", 0, "")]
+
+
+def test_lags_past_the_int_range(spark):
+    got = status(spark, sync.sync_from_text, "3000000000 shards behind", f"{2**70} entries behind", f"{'9' * 60} shards behind")
+    assert [r[:3] for r in got] == [("behind", 3_000_000_000, 0), ("behind", 0, 2**63 - 1), ("behind", 2**63 - 1, 0)]
+    zones = [{"source_zone": "z", "shards_behind": 2**62}] * 3
+    assert status(spark, sync.sync_from_json, json.dumps(zones))[0][:2] == ("behind", 2**63 - 1)
