@@ -66,6 +66,35 @@ def test_blocks_give_the_same(spark):
         assert set().union(*(f for _, f in parts)) == found
 
 
+def test_many_blocks_and_long_items(spark, monkeypatch):
+    """Items far longer than a block, and many blocks, one in a worker's memory at a time."""
+    rng = random.Random(7)
+    text = lambda n, of: " ".join(f"{of}{rng.randrange(6)}" for _ in range(n))
+    items = [(i, text(rng.choice([3, 9, 10, 12, 40]), "a")) for i in range(40)] + [(None, text(1500, "b")), (77, text(900, "a"))]
+    parts = [t.split() for _, t in items]
+    docs = []
+    for i in range(60):
+        own = rng.choice(parts)
+        at = rng.randrange(len(own))
+        docs.append((i, " ".join([text(rng.randrange(9), "a"), *own[at : at + rng.randint(1, 30)], text(5, "b")])))
+    frame = spark.createDataFrame(items, ITEMS)
+    blocks = decontam.build(frame, block_bytes=300)
+    assert len(blocks.numbers) > 20
+    monkeypatch.setattr(decontam, "build", lambda *_: blocks)
+    check(spark, docs, items)
+
+
+def test_very_long_text(spark):
+    item = [f"w{i}" for i in range(200)]
+    text = " ".join(["x y z"] * 100_000 + item[50:80] + ["end"] * 100_000)
+    docs = spark.createDataFrame([(1, text, 0)], DOCS)
+    items = spark.createDataFrame([(5, " ".join(item))], ITEMS)
+    row = decontam.contamination(docs, items).first()
+    assert (row.n_words, row.n_hit, row.n_items) == (400_030, 30, 1)
+    cut = decontam.decontaminate(docs, items).first().text
+    assert cut.split() == ["x", "y", "z"] * 100_000 + ["end"] * 100_000
+
+
 def test_cutting(spark):
     item = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame(

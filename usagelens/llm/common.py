@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,15 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def read_table(path: str, columns: list[str]) -> pa.Table:
+    """A Parquet folder of the shared storage, read by a task's Python itself."""
+    scheme, found, rest = path.partition("://")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    place = f"{scheme}://{rest}" if found else path.removeprefix("file:")
+    system, inner = fs.FileSystem.from_uri(place)
+    return dataset.dataset(inner, filesystem=system, format="parquet").to_table(columns)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a few flat column types, as ``mapInArrow`` returns them."""
     types = {

@@ -4,24 +4,33 @@ The normalised words of all items go into one automaton. Training words stream t
 the longest matching length and the state at each word tell which windows end there. Words
 inside an occurrence of a window are hit; spans and documents beyond the limits are removed.
 
+A test set is dealt to blocks of bounded size. Tasks build their automata and write them to the
+shared folder; the tasks that scan load one block after the other, and spans are merged. A small
+test set is one block.
+
 Defined cases: a null or empty text has no words and is never hit; an item without words has
 no window; repeated items and repeated documents are treated row by row; an item whose id is
-null still hits and is named ``null``; empty tables give empty results; other columns of the
-documents pass through untouched, whatever their names.
+null still hits and is named ``null``; windows that overlap or touch are one span; texts and
+items are taken whole, whatever their length, a long item in overlapping pieces; empty tables give
+empty results; other columns of the documents pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import arrow_schema, in_parts
+from usagelens.llm.common import arrow_schema, discard, in_parts, read_table, written
+from usagelens.session import work_dir
 
 # A-Z to lower case; every other ASCII byte that is no word character to a space. Bytes of
 # other characters belong to words.
@@ -153,23 +162,95 @@ class Automaton:
         return longest
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20) -> Iterator[Automaton]:
-    """Automata of the items, one per block of ``block_bytes`` of text at most.
+#: Bytes of words of a block, about; a state takes up to two words' worth of dictionaries and sets.
+BLOCK_BYTES = 512 << 10
+#: Bytes of documents that are held while the blocks pass, if there are several.
+_HELD = 8 << 20
+
+
+def _pieces(benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(item, words, size): the words of all items; a long item in pieces that share all but one
+    of a window's words, so every window is in one of them."""
+    ddl = "item string, words binary, size long"
+    schema = arrow_schema(ddl)
+
+    def parts(sequence: list[bytes]) -> Iterator[bytes]:
+        begin, size = 0, 0
+        for k, word in enumerate(sequence):
+            size += len(word) + 1
+            if size > block_bytes and k - begin >= max(window, 2):
+                yield b" ".join(sequence[begin:k])
+                begin = k - window + 1
+                size = sum(map(len, sequence[begin : k + 1])) + window
+        yield b" ".join(sequence[begin:])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches):
+            rows = [
+                (item, part, len(part) + 1)
+                for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                if (sequence := words(text))
+                for part in parts(sequence)
+            ]
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    item = F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item")
+    return benchmark.select(item, F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Automata of a test set in a shared folder, by number; a task loads one at a time."""
+
+    folder: str
+    numbers: tuple[int, ...]
 
-    A test set of any size is read block by block; only one block is in the driver's memory
-    as text, and a block (the size bound of what is sent to executors) is usually all of it.
+    def load(self, block: int) -> Automaton:
+        key = (self.folder, block)
+        if key not in _LOADED:
+            _LOADED.clear()  # one block in memory
+            table = read_table(f"{self.folder}/block={block}", ["data"])
+            _LOADED[key] = pickle.loads(table.column("data")[0].as_py())
+        return _LOADED[key]
+
+
+_LOADED: dict[tuple[str, int], Automaton] = {}
+
+
+def build(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """Automata of the items, built by tasks, one per block, and written to the shared folder.
+
+    Items are dealt to blocks by a hash of their row, twice as many as their bytes ask for, so a block
+    stays near its bound; the driver gets one sum.
     """
-    block, size = [], 0
-    for item, text in benchmark.select("item_id", "text").toLocalIterator():
-        sequence = words(text)
-        bytes_ = sum(map(len, sequence))
-        if block and size + bytes_ > block_bytes:
-            yield Automaton(block, window)
-            block, size = [], 0
-        block.append((item, sequence))
-        size += bytes_
-    if block:
-        yield Automaton(block, window)
+    spark = benchmark.sparkSession
+    pieces, path = written(_pieces(benchmark, window, block_bytes), "test-items")
+    total = pieces.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    count = 1 if 0 < total <= block_bytes else -(-2 * total // block_bytes)
+    folder, numbers = work_dir(spark, "llm-automata"), ()
+    if count:
+
+        def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            items = [(item, text.split()) for item, text in zip(rows["item"], rows["words"], strict=True)]
+            data = pickle.dumps(Automaton(items, window), pickle.HIGHEST_PROTOCOL)
+            return pd.DataFrame({"block": [key[0]], "data": [data]})
+
+        row = F.xxhash64("item", "words", F.monotonically_increasing_id())
+        dealt = pieces.withColumn("block", F.pmod(row, F.lit(count)))
+        built = dealt.groupBy("block").applyInPandas(one, "block long, data binary")
+        built.write.partitionBy("block").parquet(folder)
+        # one row per block that got items
+        found = spark.read.schema("data binary, block long").parquet(folder).select("block").distinct()
+        numbers = tuple(sorted(r["block"] for r in found.collect()))
+    discard(spark, path)
+    return Blocks(folder, numbers)
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Automaton]:
+    """The automata of all blocks, one after the other."""
+    blocks = build(benchmark, window, block_bytes)
+    yield from (blocks.load(k) for k in blocks.numbers)
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -182,19 +263,36 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _scan(sequence: list[bytes], blocks: list) -> tuple[list[list[int]], set[str]]:
-    spans, found = [], set()
-    for block in blocks:
-        more, items = block.value.scan(sequence)
-        spans += more
-        found |= items
-    return (_merged(spans) if len(blocks) > 1 else spans), found
-
-
-def _sent(docs: DataFrame, benchmark: DataFrame, window: int) -> list:
-    """The automata as broadcast variables, each bounded by ``automata``'s block size."""
-    context = docs.sparkSession.sparkContext
-    return [context.broadcast(a) for a in automata(benchmark, window)]
+def _scanned(blocks: Blocks, texts: list[str | None]) -> list[tuple[int, list[list[int]], set[str]]]:
+    """(words, merged spans, items) of each text; each block passes over all of them."""
+    sequences = [words(t) for t in texts]
+    found: list[tuple[list, set]] = [([], set()) for _ in texts]
+    for number in blocks.numbers:
+        block = blocks.load(number)
+        for sequence, (spans, items) in zip(sequences, found, strict=True):
+            more, named = block.scan(sequence)
+            spans += more
+            items |= named
+    several = len(blocks.numbers) > 1
+    return [
+        (len(sequence), _merged(spans) if several else spans, items)
+        for sequence, (spans, items) in zip(sequences, found, strict=True)
+    ]
+
+
+def _held(batches: Iterable[pa.RecordBatch], blocks: Blocks) -> Iterator[pa.RecordBatch]:
+    """Small batches; larger ones if several blocks are to be loaded for each."""
+    if len(blocks.numbers) < 2:
+        yield from in_parts(batches)
+        return
+    held: list[pa.RecordBatch] = []
+    for batch in in_parts(batches, 50):
+        held.append(batch)
+        if sum(b.nbytes for b in held) > _HELD:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -202,18 +300,17 @@ HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: its words, words hit, items found and the digest of their ids."""
-    blocks = _sent(docs, benchmark, window)
+    blocks = build(benchmark, window)
     schema = arrow_schema(HITS)
 
     def run(batches):
-        for batch in in_parts(batches):
+        for batch in _held(batches, blocks):
             rows = []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sequence = words(text)
-                spans, items = _scan(sequence, blocks)
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            for doc, (n, spans, items) in zip(ids, _scanned(blocks, texts), strict=True):
                 hit = sum(end - start for start, end in spans)
                 digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-                rows.append((doc, len(sequence), hit, len(items), digest, hit > 0))
+                rows.append((doc, n, hit, len(items), digest, hit > 0))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
                 schema=schema,
@@ -248,19 +345,17 @@ def decontaminate(
     such a column, is set anew); a document of whose words more than ``max_coverage`` are hit
     is removed as a whole. Documents without hits pass unchanged.
     """
-    blocks = _sent(docs, benchmark, window)
+    blocks = build(benchmark, window)
     names = docs.columns
     place = names.index("text")
 
     def run(batches):
-        for batch in in_parts(batches):
+        for batch in _held(batches, blocks):
             texts = batch.column(place).to_pylist()
             keep, changed = [], {}
-            for row, text in enumerate(texts):
-                sequence = words(text)
-                spans, _ = _scan(sequence, blocks)
+            for row, (text, (n, spans, _)) in enumerate(zip(texts, _scanned(blocks, texts), strict=True)):
                 hit = sum(end - start for start, end in spans)
-                keep.append(hit <= max_coverage * len(sequence))
+                keep.append(hit <= max_coverage * n)
                 spans = [s for s in spans if s[1] - s[0] > max_span]
                 if spans and keep[-1]:
                     changed[row] = clean_text(text, spans)
