@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -12,8 +13,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from usagelens.functions import labels
-from usagelens.operators import compare, growth, listing, replication, summary
+from usagelens.operators import compare, export, growth, listing, normalize, replication, summary
 from usagelens.plans import reports
+from usagelens.schemas import CLASS_USAGE
+from usagelens.sources import tables
 
 
 def test_summary(make_cur):
@@ -311,3 +314,40 @@ def test_other_labels(spark):
     df = spark.createDataFrame([("behind", 2), ("", 0), (None, 3), ("synced", None)], "s string, n int")
     got = rows_of(df.select(labels.sync_label(F.col("s"), F.col("n"))))
     assert [r[0] for r in got] == ["behind (2)", "-", "- (3)", "synced"]
+
+
+def test_totals_past_bigint(make_hist, make_cur):
+    """Four snapshots of 2^62 bytes add up to 2^64."""
+    hist = make_hist(*[(f"b{i}", NOW - timedelta(hours=1), 2**62, 1) for i in range(4)])
+    cur = make_cur(*[{"bucket_name": f"b{i}", "owner": "o"} for i in range(4)])
+    assert growth.cluster_growth(hist, NOW).first().total_size == 2**64
+    assert growth.fastest_growing_owners(hist, cur, NOW).first().end_size == 2**64
+    two = hist.union(make_hist(*[(f"b{i}", NOW - timedelta(days=1), 2**62, 1) for i in range(4)]))
+    assert growth.capacity_forecast(two, NOW).first().current_bytes == 2**64
+    assert reports.forecast_report(two, NOW).first().current == "16384.0 PB"
+
+
+def test_free_sql_leaves_the_session_alone(spark, make_cur, make_hist):
+    spark.range(3).createOrReplaceTempView("bucket_stats")
+    try:
+        cur = make_cur({"bucket_name": "a"}, {"bucket_name": "b"})
+        usage = spark.createDataFrame([], CLASS_USAGE)
+        found = tables.custom_sql(spark, tables.Tables(cur, make_hist(("a", NOW, 1, 1)), usage), "SELECT bucket_name FROM bucket_stats")
+        assert sorted(r.bucket_name for r in found.collect()) == ["a", "b"]
+        assert spark.table("bucket_stats").columns == ["id"]
+        assert not spark.catalog.tableExists("bucket_stats_history")
+    finally:
+        spark.catalog.dropTempView("bucket_stats")
+
+
+def test_documents_in_files(spark, make_cur, tmp_path):
+    cur = make_cur(*[{"bucket_name": f"b{i}", "owner": "o"} for i in range(5)])
+    export.write_documents(export.export_all(cur), str(tmp_path / "out"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(json.loads(x)["bucket"] for x in lines) == [f"b{i}" for i in range(5)]
+    assert json.loads(export.export_text(cur, "b3").first().document)["owner"] == "o"
+
+
+def test_unknown_status_is_empty_for_a_reader(make_cur):
+    row = normalize.with_defaults(make_cur({"bucket_name": "a"}).withColumn("sync_status", F.lit(None).cast("string"))).first()
+    assert (row.sync_status, row.sync_behind_shards, row.sync_behind_entries, row.sync_source_zone) == ("", 0, 0, "")

@@ -260,6 +260,21 @@ SELECT bucket_name, bucket_id, bucket_id AS marker, tenant, owner, zonegroup, pl
 FROM cur JOIN usage_json USING (bucket_name)
 """,
 )
+_put(
+    "normalize_all",
+    f"""
+SELECT bucket_name, bucket_id, bucket_id AS marker, tenant, owner, zonegroup, placement_rule,
+       CAST({_EMPTY_PLACEMENT} AS VARCHAR) AS explicit_placement,
+       num_shards, index_type, 'off' AS versioning, versioned, versioning_enabled,
+       object_lock_enabled, mfa_enabled, ver, master_ver, max_marker, mtime, creation_time,
+       total_size AS size_bytes, total_size_actual AS size_actual_bytes,
+       total_size_utilized AS size_utilized_bytes, total_num_objects AS num_objects,
+       CAST(usage AS VARCHAR) AS usage, CAST({_DEFAULT_QUOTA} AS VARCHAR) AS bucket_quota,
+       '' AS sync_status, CAST(0 AS BIGINT) AS sync_behind_shards, CAST(0 AS BIGINT) AS sync_behind_entries,
+       '' AS sync_source_zone, collected_at, collection_duration_ms
+FROM cur JOIN usage_json USING (bucket_name)
+""",
+)
 _put(
     "usage_totals",
     """
@@ -308,6 +323,8 @@ FROM cur JOIN usage_json USING (bucket_name)
 """
 _put("export_one", f"{_DOCUMENT} WHERE bucket_name = 'bucket-3'")
 _put("export_all", f"{_DOCUMENT} ORDER BY bucket_name")
+_put("export_text_found", f"{_DOCUMENT} WHERE bucket_name = 'bucket-3'")
+_put("export_files", f"SELECT document FROM ({_DOCUMENT})")
 _put(
     "export_text_missing",
     """
@@ -535,7 +552,11 @@ FROM cur ORDER BY bucket_name
 )
 _put(
     "serving_age",
-    f"SELECT {_NOW} - INTERVAL 90 SECONDS AS updated, CAST(90 AS DOUBLE) AS age_seconds",
+    f"""
+SELECT {_NOW} - INTERVAL 90 SECONDS AS updated, CAST(90 AS DOUBLE) AS age_seconds,
+       max(collected_at) AS newest, {_age("max(collected_at)")} AS data_age_seconds
+FROM cur
+""",
 )
 
 # --- lookups, lists, top-k ----------------------------------------------------------
@@ -753,6 +774,35 @@ GROUP BY owner ORDER BY growth_bytes DESC, owner LIMIT 20
 """,
 )
 
+# Sizes far past what a bigint sum holds; totals as text.
+_HUGE = "(SELECT * REPLACE (CAST(size_bytes AS HUGEINT) + 4611686018427387904 AS size_bytes) FROM hist)"
+_put(
+    "cluster_growth_wide",
+    f"""
+SELECT date_trunc('day', collected_at) AS day, CAST(sum(size_bytes) AS VARCHAR) AS total_size,
+       CAST(sum(num_objects) AS VARCHAR) AS total_objects
+FROM {_HUGE} WHERE collected_at >= {_MONTH} GROUP BY 1
+""",
+)
+_put(
+    "fastest_growing_owners_wide",
+    f"""
+SELECT owner, CAST(min(size) AS VARCHAR) AS start_size, CAST(max(size) AS VARCHAR) AS end_size,
+       CAST(max(size) - min(size) AS VARCHAR) AS growth_bytes
+FROM (SELECT c.owner, date_trunc('day', h.collected_at) AS day, sum(h.size_bytes) AS size
+      FROM {_HUGE} h JOIN cur c USING (bucket_name) WHERE h.collected_at >= {_WEEK} GROUP BY 1, 2)
+GROUP BY owner ORDER BY max(size) - min(size) DESC, owner LIMIT 100
+""",
+)
+_put(
+    "capacity_forecast_wide",
+    f"""
+SELECT CAST(arg_max(y, day) AS VARCHAR) AS current_bytes, count(*) AS data_points, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT date_trunc('day', collected_at) AS day, sum(size_bytes) AS y
+      FROM {_HUGE} WHERE collected_at >= {_MONTH} GROUP BY 1)
+""",
+)
+
 
 def _ends(source: str) -> str:
     return f"""

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from usagelens.catalog import proxies as px
 from usagelens.catalog.proxies import AS_OF, Proxies
 from usagelens.functions.documents import usage_document, usage_total
+from usagelens.functions.measures import BIGINT
 from usagelens.functions.times import ntz
 from usagelens.operators import (
     compare,
@@ -259,6 +260,25 @@ def export_text_missing(p: Proxies) -> DataFrame:
     return export.export_text(p.cur(wide=True), "no-such-bucket", pretty=False)
 
 
+@_query
+def export_text_found(p: Proxies) -> DataFrame:
+    return export.export_text(p.cur(wide=True), NAME, pretty=False)
+
+
+@_query
+def export_files(p: Proxies) -> DataFrame:
+    """All documents written to files, one a line, and read from there."""
+    path = work_dir(p.spark, "export")
+    export.write_documents(export.export_all(p.cur(wide=True)), path)
+    return p.spark.read.text(path).withColumnRenamed("value", "document")
+
+
+@_query
+def normalize_all(p: Proxies) -> DataFrame:
+    """All columns of the records, as a reader of one document sees them."""
+    return _json_columns(normalize.with_defaults(_round_trip(p)))
+
+
 # --- table maintenance --------------------------------------------------------------
 
 
@@ -600,12 +620,12 @@ def status_rollup(p: Proxies) -> DataFrame:
 
 @_query
 def cluster_growth(p: Proxies) -> DataFrame:
-    return growth.cluster_growth(p.hist(), AS_OF)
+    return growth.cluster_growth(p.hist(), AS_OF, total_type=BIGINT)
 
 
 @_query
 def cluster_growth_eod(p: Proxies) -> DataFrame:
-    return growth.cluster_growth(p.hist(), AS_OF, basis=growth.END_OF_DAY)
+    return growth.cluster_growth(p.hist(), AS_OF, basis=growth.END_OF_DAY, total_type=BIGINT)
 
 
 @_query
@@ -615,7 +635,7 @@ def fastest_growing_entities(p: Proxies) -> DataFrame:
 
 @_query
 def fastest_growing_owners(p: Proxies) -> DataFrame:
-    return growth.fastest_growing_owners(p.hist(), p.cur(), AS_OF)
+    return growth.fastest_growing_owners(p.hist(), p.cur(), AS_OF, total_type=BIGINT)
 
 
 @_query
@@ -625,17 +645,17 @@ def first_last_per_entity(p: Proxies) -> DataFrame:
 
 @_query
 def capacity_forecast(p: Proxies) -> DataFrame:
-    return _rounded(growth.capacity_forecast(p.hist(), AS_OF))
+    return _rounded(growth.capacity_forecast(p.hist(), AS_OF, total_type=BIGINT))
 
 
 @_query
 def capacity_forecast_eod(p: Proxies) -> DataFrame:
-    return _rounded(growth.capacity_forecast(p.hist(), AS_OF, basis=growth.END_OF_DAY))
+    return _rounded(growth.capacity_forecast(p.hist(), AS_OF, basis=growth.END_OF_DAY, total_type=BIGINT))
 
 
 @_query
 def capacity_forecast_by_entity(p: Proxies) -> DataFrame:
-    return _rounded(growth.capacity_forecast(p.hist(), AS_OF, by=["bucket_name"]))
+    return _rounded(growth.capacity_forecast(p.hist(), AS_OF, by=["bucket_name"], total_type=BIGINT))
 
 
 def _rounded(forecast: DataFrame) -> DataFrame:
@@ -643,6 +663,33 @@ def _rounded(forecast: DataFrame) -> DataFrame:
     return forecast.withColumns({n: F.round(n, 4) for n in names})
 
 
+def _huge(p: Proxies) -> DataFrame:
+    """The history with sizes so large that the sum of a few is past 2^63."""
+    return p.hist().withColumn("size_bytes", F.col("size_bytes") + F.lit(2**62))
+
+
+def _as_text(rows: DataFrame, *names: str) -> DataFrame:
+    """Totals as text: engines differ in how they hand over wide numbers."""
+    return rows.withColumns({n: F.col(n).cast("string") for n in names})
+
+
+@_query
+def cluster_growth_wide(p: Proxies) -> DataFrame:
+    return _as_text(growth.cluster_growth(_huge(p), AS_OF), "total_size", "total_objects")
+
+
+@_query
+def fastest_growing_owners_wide(p: Proxies) -> DataFrame:
+    rows = growth.fastest_growing_owners(_huge(p), p.cur(), AS_OF, limit=100)
+    return _as_text(rows, "start_size", "end_size", "growth_bytes")
+
+
+@_query
+def capacity_forecast_wide(p: Proxies) -> DataFrame:
+    rows = growth.capacity_forecast(_huge(p), AS_OF)
+    return _as_text(rows, "current_bytes").select("current_bytes", "data_points", "error")
+
+
 @_query
 def compare_snapshots(p: Proxies) -> DataFrame:
     return compare.compare_snapshots(p.cur(), p.hist(), AS_OF)
@@ -782,7 +829,7 @@ def custom_sql(p: Proxies) -> DataFrame:
 
 @_query
 def cluster_growth_lineitem(p: Proxies) -> DataFrame:
-    return growth.cluster_growth(p.hist_lineitem(), px.AS_OF_LINEITEM, days=365)
+    return growth.cluster_growth(p.hist_lineitem(), px.AS_OF_LINEITEM, days=365, total_type=BIGINT)
 
 
 @_query
@@ -794,7 +841,7 @@ def first_last_lineitem(p: Proxies) -> DataFrame:
 def forecast_by_entity_lineitem(p: Proxies) -> DataFrame:
     return _rounded(
         growth.capacity_forecast(
-            p.hist_lineitem(), px.AS_OF_LINEITEM, history_days=3650, by=["bucket_name"]
+            p.hist_lineitem(), px.AS_OF_LINEITEM, history_days=3650, by=["bucket_name"], total_type=BIGINT
         )
     )
 

@@ -32,15 +32,17 @@ def _in_unit(magnitude: Column, step: int) -> Column:
 
 
 def human_bytes(size: Column, zero: str = "0 B") -> Column:
-    """``1536 -> 1.5 KB``. The sign is kept; sizes past the last unit stay in it."""
-    size = size.cast("bigint")
+    """``1536 -> 1.5 KB``. The sign is kept; sizes past the last unit stay in it. Sizes past
+    2^63 are labelled as fractional ones."""
+    given, size = size, size.try_cast("bigint")
     magnitude = F.abs(size)
     label = F.when(magnitude < 1024, _in_unit(magnitude, 0))
     for step in range(1, len(UNITS) - 1):
         label = label.when(magnitude < (1 << 10 * (step + 1)), _in_unit(magnitude, step))
     label = label.otherwise(_in_unit(magnitude, len(UNITS) - 1))
     signed = F.concat(F.when(size < 0, "-").otherwise(""), label)
-    return F.when(size.isNull() | (size == 0), F.lit(zero)).otherwise(signed)
+    known = F.when(size.isNull() | (size == 0), F.lit(zero)).otherwise(signed)
+    return F.when(size.isNull() & given.isNotNull(), human_rate(given)).otherwise(known)
 
 
 def human_rate(size: Column, zero: str = "0 B") -> Column:

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.functions.measures import BIGINT, WIDE, total
+from usagelens.functions.measures import WIDE, total
 from usagelens.functions.times import day_of, since
 from usagelens.operators.maintenance import latest_per_key
 
@@ -41,9 +41,9 @@ def cluster_growth(
     as_of: datetime,
     days: int = 30,
     basis: str = SNAPSHOTS,
-    total_type: str = BIGINT,
+    total_type: str = WIDE,
 ) -> DataFrame:
-    """Totals per day. ``snapshots`` adds up every snapshot of a day, so it grows with the
+    """Totals per day, exact past 2^63 unless ``total_type`` is a bigint. ``snapshots`` adds up every snapshot of a day, so it grows with the
     polling frequency; ``eod`` counts each entity once, with its last row of the day.
     """
     rows = _daily_basis(since(hist, as_of - timedelta(days=days)), basis, [])
@@ -86,9 +86,9 @@ def fastest_growing_owners(
     as_of: datetime,
     days: int = 7,
     limit: int = 20,
-    total_type: str = BIGINT,
+    total_type: str = WIDE,
 ) -> DataFrame:
-    """Spread of the daily owner totals.
+    """Spread of the daily owner totals, exact past 2^63 unless ``total_type`` is a bigint.
 
     Sizes are summed per (entity, day) before the join: the sums are the same and the
     join sees at most one row per entity and day, however often an entity was polled.
@@ -155,6 +155,7 @@ def capacity_forecast(
     forecast_days: int = 90,
     by: list[str] | None = None,
     basis: str = SNAPSHOTS,
+    total_type: str = WIDE,
 ) -> DataFrame:
     """Least-squares line through the daily totals, extended by ``forecast_days``.
 
@@ -185,7 +186,7 @@ def capacity_forecast(
     rise = (n * F.col("sxy")).cast(WIDE) - (F.col("sx").cast("decimal(10,0)") * F.col("sy")).cast(WIDE)
     run = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     slope = F.when(F.col("n") >= 2, rise.cast("double") / F.nullif(run, F.lit(0)))
-    known = F.when(F.col("n") >= 2, F.col("last").cast("bigint"))
+    known = F.when(F.col("n") >= 2, F.col("last").cast(total_type))
     ahead = F.col("current_bytes") + F.col("daily_growth_bytes") * F.lit(forecast_days)
     return sums.select(
         *by,

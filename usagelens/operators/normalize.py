@@ -60,6 +60,16 @@ def normalize(documents: DataFrame, as_of: datetime | None = None, extra: list[s
     return documents.select(*[column(f) for f in CURRENT.fields], *(extra or []))
 
 
+def with_defaults(records: DataFrame) -> DataFrame:
+    """Records as a reader of one document sees them: no known status is an empty one, without lag.
+
+    In the tables it stays NULL, which lets a merge keep what is known.
+    """
+    fill = {T.StringType: F.lit(""), T.LongType: F.lit(0).cast("bigint")}
+    kinds = {f.name: type(f.dataType) for f in CURRENT.fields if f.name in SYNC_COLUMNS}
+    return records.withColumns({n: F.coalesce(n, fill[kind]) for n, kind in kinds.items()})
+
+
 def usage_rows(records: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """One row per (entity, storage class); missing measures count as 0."""
     rows = records.select(

@@ -149,7 +149,7 @@ def publish_serving(
             .partitionBy("section")
             .parquet(target)
         )
-        stamp = spark.range(1).select(ntz(as_of).alias("updated"))
+        stamp = rows.agg(F.max("collected_at").alias("newest")).select(ntz(as_of).alias("updated"), "newest")
         versions.commit(stamp, root, version)
         versions.drop_old(spark, root, keep)
     finally:
@@ -177,8 +177,14 @@ def read_section(
 
 
 def serving_age(spark: SparkSession, root: str, as_of: datetime) -> DataFrame | None:
-    """Age of the newest snapshot in seconds."""
-    stamp = read_section(spark, root, UPDATED)
-    if stamp is None:
+    """Age in seconds of the newest snapshot, and of the newest row of the table it shows."""
+    version = versions.latest_version(spark, root)
+    if version is None:
         return None
-    return stamp.select("updated", age_seconds(F.col("updated"), as_of).alias("age_seconds"))
+    stamp = versions.read_commit(spark, root, version, "updated timestamp_ntz, newest timestamp_ntz")
+    return stamp.select(
+        "updated",
+        age_seconds(F.col("updated"), as_of).alias("age_seconds"),
+        "newest",
+        age_seconds(F.col("newest"), as_of).alias("data_age_seconds"),
+    )

@@ -37,6 +37,22 @@ class Tables:
 
 
 def custom_sql(spark: SparkSession, tables: Tables, sql: str, **args: object) -> DataFrame:
-    """Free SQL over the tables; ``args`` are bound as named parameters."""
-    tables.register()
-    return spark.sql(sql, args=args or None)
+    """Free SQL over the tables; ``args`` are bound as named parameters.
+
+    The table names hold for this statement only: it is analysed here, then views of the
+    session that have the same names are as before.
+    """
+    before = {v: spark.table(v) for v in VIEW_NAMES.values() if _is_view(spark, v)}
+    try:
+        tables.register()
+        return spark.sql(sql, args=args or None)
+    finally:
+        for view in VIEW_NAMES.values():
+            if view in before:
+                before[view].createOrReplaceTempView(view)
+            else:
+                spark.catalog.dropTempView(view)
+
+
+def _is_view(spark: SparkSession, name: str) -> bool:
+    return any(t.isTemporary and t.name == name for t in spark.catalog.listTables(pattern=name))
