@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from conftest import NOW, rows_of
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from usagelens.lens import Lens
 from usagelens.operators import listing, summary, worklist
-from usagelens.plans import refresh, serving
+from usagelens.plans import duty, refresh, serving
 from usagelens.sinks import versions
 from usagelens.sources import snapshots
 from usagelens.streaming.refresh import feeds, refresh_feeds, refresh_folder, stream_id
@@ -483,3 +483,27 @@ def test_feeds_in_one_stream(spark, store, tmp_path):
     assert [r.batch for r in rows] == [0, 1, 2] and len({r.stream for r in rows}) == 1
     lagging = Lens(store.tables(spark), NOW).lagging_by_shards().collect()
     assert [r.bucket_name for r in lagging] == ["b", "z"]
+
+
+def test_duty_after_every_batch(spark, store, tmp_path):
+    root, landing = str(tmp_path / "duty"), tmp_path / "landing"
+    assert duty.read_worklist(spark, root).count() == 0 and duty.read_plan(spark, root).count() == 0
+    names = [f"b{i}" for i in range(4)]
+
+    def drain(at):
+        inv = lambda: inventory(spark, names)
+        refresh_folder(
+            spark, str(landing), store, str(tmp_path / "c"), once=True, as_of=at, duty_root=root, inventory=inv
+        ).awaitTermination()
+        return rows_of(duty.read_worklist(spark, root))
+
+    at = datetime.fromtimestamp(1_800_000_000, timezone.utc).replace(tzinfo=None)
+    _land(landing, "1.json", [document("b1")], 1_800_000_000)
+    assert drain(at) == [("b0", "uncollected"), ("b2", "uncollected"), ("b3", "uncollected")]
+    _land(landing, "2.json", [document("b3"), document("x")], 1_800_003_600)
+    names.append("b9")
+    got = drain(at + timedelta(hours=1))
+    assert got == [("b0", "uncollected"), ("b2", "uncollected"), ("b9", "uncollected"), ("b1", "stale")]
+    plan = duty.read_plan(spark, root).first()
+    assert (plan.total_buckets, plan.in_db, plan.to_update, plan.orphans, plan.mode) == (5, 3, 4, 1, "per-bucket")
+    assert rows_of(duty.read_worklist(spark, root, 2)) == got[:2]

@@ -433,6 +433,15 @@ SELECT bucket_name, size_bytes,
 FROM latest
 """,
 )
+_put(
+    "published_worklist",
+    """
+SELECT bucket_name, 'stale' AS reason FROM latest WHERE user_id % 4 <> 0
+UNION ALL
+SELECT bucket_name, 'uncollected' AS reason FROM inv
+WHERE bucket_name NOT IN (SELECT bucket_name FROM latest WHERE user_id % 4 <> 0)
+""",
+)
 _put("stream_refresh", f"SELECT {_STATE} FROM latest")
 _put(
     "conform_schema",

@@ -25,13 +25,13 @@ from usagelens.operators import (
     summary,
     worklist,
 )
-from usagelens.plans import refresh, reports, serving
+from usagelens.plans import duty, refresh, reports, serving
 from usagelens.schemas import CURRENT
 from usagelens.session import work_dir
 from usagelens.sinks.history import append_history, read_history
 from usagelens.sources import borders, inventory, snapshots, sync, tables
 from usagelens.sources.snapshots import ARRIVAL
-from usagelens.streaming.refresh import feeds, refresh_feeds, refresh_stream
+from usagelens.streaming.refresh import feeds, refresh_feeds, refresh_folder, refresh_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Entity of the point lookups.
@@ -433,6 +433,30 @@ def stream_refresh_with_sync(p: Proxies) -> DataFrame:
     return rows.select("bucket_name", "size_bytes", "sync_status", "sync_behind_shards", "sync_behind_entries", "sync_source_zone")
 
 
+@_query
+def published_worklist(p: Proxies) -> DataFrame:
+    """The list published after the second of two batches, long after: all that is stored is stale."""
+    store, root = _store(p), work_dir(p.spark, "duty")
+    user = px.user_id_of()
+    last = p.hist().groupBy("bucket_name").agg(F.max(F.struct("collected_at", "id"))["id"].alias("id"))
+    kept = last.filter(user % 4 != 0).select("id")
+    docs = px.raw_documents(p.table("events")).join(kept, "id", "left_semi")
+    for part in (0, 1):
+        _spread_by_time(docs.filter(F.col("id") % 2 == part), f"{root}/landing/part={part}")
+        query = refresh_folder(
+            p.spark,
+            f"{root}/landing/part=*",
+            store,
+            f"{store.root}/checkpoint",
+            once=True,
+            as_of=datetime(2100, 1, 1),
+            duty_root=f"{root}/published",
+            inventory=p.inv,
+        )
+        query.awaitTermination()
+    return duty.read_worklist(p.spark, f"{root}/published")
+
+
 @_query
 def conform_schema(p: Proxies) -> DataFrame:
     """A table of an earlier release, without the later columns."""

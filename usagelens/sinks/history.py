@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from usagelens.functions.times import PARTITION_DATE
 from usagelens.schemas import HISTORY
+from usagelens.sinks.versions import NAME_FILTER
 
 _LAYOUT = T.StructType(
     [
@@ -38,6 +39,7 @@ def append_history(history: DataFrame, path: str, version: int) -> None:
         .hint("rebalance", PARTITION_DATE)
         .sortWithinPartitions(PARTITION_DATE, "bucket_name")
         .write.mode("overwrite")
+        .options(**NAME_FILTER)
         .partitionBy(PARTITION_DATE)
         .parquet(version_path(path, version))
     )

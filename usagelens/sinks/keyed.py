@@ -100,7 +100,7 @@ class KeyedTable:
             both.repartition(SHARD), [SHARD, *keys], ["collected_at", SEQUENCE], list(self.carry)
         )
         target = versions.data_path(self.root, version)
-        merged.write.mode("overwrite").partitionBy(SHARD).parquet(target)
+        merged.write.mode("overwrite").options(**versions.NAME_FILTER).partitionBy(SHARD).parquet(target)
         # each commit is a whole map, so a reader needs only the newest one; a shard without
         # rows has no folder
         places |= dict.fromkeys(versions.numbered(spark, target, SHARD), version)

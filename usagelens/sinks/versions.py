@@ -9,6 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Parquet keeps a Bloom filter of the names of each row group, as large as they need: a look-up
+#: of one entity reads the groups that may hold it. Names are hashed over files and row groups, so
+#: least and greatest values alone would not tell.
+NAME_FILTER = {
+    "parquet.bloom.filter.enabled#bucket_name": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+    "parquet.bloom.filter.fpp#bucket_name": "0.001",
+}
+
 
 def data_path(root: str, version: int) -> str:
     return f"{root}/data/version={version}"

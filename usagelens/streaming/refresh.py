@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from usagelens.plans.duty import publish_duty
 from usagelens.plans.refresh import StatsStore, load_documents
 from usagelens.plans.serving import publish_serving
 from usagelens.sources.borders import items_of, raw_parts
@@ -34,6 +35,8 @@ def _started(
     once: bool = False,
     refresh_seconds: int = REFRESH_SECONDS,
     keep: int = 10,
+    duty_root: str | None = None,
+    inventory: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Start a query whose micro-batches ``load`` applies as versions of the store."""
 
@@ -42,10 +45,12 @@ def _started(
         stream = stream_id(spark, checkpoint)
         if store.last_batch(spark, stream) < batch_id:
             load(batch, store.next_version(spark), (stream, batch_id))
+        now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
+        newest = store.last_version(spark)
         if serving_root:
-            now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
-            newest = store.last_version(spark)
             publish_serving(store.tables(spark).cur, serving_root, newest, now)
+        if duty_root and inventory:
+            publish_duty(inventory(), store.tables(spark).cur, duty_root, newest, now)
         store.drop_old(spark, keep)
 
     writer = rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
@@ -63,7 +68,8 @@ def refresh_stream(documents: DataFrame, store: StatsStore, checkpoint: str, *ar
     and a new checkpoint, also at an old place, is another stream. With ``once``
     the stream drains what has landed and stops. ``serving_root`` is where the snapshot is
     published; ``as_of`` fixes its time, by default it is the time of the batch. The newest ``keep``
-    versions stay.
+    versions stay. ``duty_root`` is where the work list and the plan are published for the
+    collector, against the ``inventory`` as it is then.
     """
 
     def load(batch: DataFrame, version: int, mark: tuple[str, int]) -> None:
