@@ -95,3 +95,10 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert lmscore.score(docs, none).count() == 5
     assert lmscore.score(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def test_vocabulary_is_exact(spark):
+    texts = [" ".join(f"w{i * k % 7001}" for k in range(400)) for i in range(300)] * 2 + [None, "", "W1 w1"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS).repartition(7)
+    found = [w for t in texts for w in (t or "").lower().split()]
+    assert lmscore.vocabulary(docs) == (len(set(found)), len(found))

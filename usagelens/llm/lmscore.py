@@ -6,19 +6,18 @@ good and not toxic. A document's score is the mean over its words of the target
 background loss; the lower, the more it is like the target.
 
 p(w | v) = (c(v, w) + SMOOTH / V) / (c(v) + SMOOTH), where v is the word before, or the start of the
-document, c(v) its count as such, and V the number of distinct words (HyperLogLog, so it is not
-shuffled). Losses are in bits. The loss of a word is log2(c(v) + SMOOTH) - log2(c(v, w) +
+document, c(v) its count as such, and V the number of distinct words, counted exactly. Losses are in bits. The loss of a word is log2(c(v) + SMOOTH) - log2(c(v, w) +
 SMOOTH / V): one term of a context, one of a pair. So counts never meet each other or a text:
 
 1. a task packs the pairs and the contexts of some documents, a *chunk*, into one row for each range
-   of hashed keys; a key is there once, with the documents that have it;
+   of hashed keys; a key is there once, with the documents that have it and how often they do;
 2. one range of all chunks gives the counts of its keys in both corpora, and at once each
    document's sum of their terms;
 3. the sums of a chunk's documents are added up.
 
 Counts are exact but for 48-bit hashes of pairs and contexts. The number of ranges follows the
-corpus (``RANGE`` words in each), so a task holds one range's keys, whatever the corpus. A key
-that many documents share is there once a chunk, so a frequent word makes no large group.
+corpus (``RANGE`` words in each). A key that many documents share is there once a chunk, with one
+number per document of the chunk, not per occurrence; the task of its range holds these.
 
 Defined cases: a null or blank text has no words, entropies and a difference of 0; labels that are
 null or repeated count by their largest value (toxic: any); a null ``doc_id`` is scored and has
@@ -85,38 +84,45 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 #: ``kind``: -1 a chunk's documents, 0 contexts, 1 pairs.
-PACKED = "kind int, span long, chunk long, keys binary, times binary, docs binary, targets binary"
+PACKED = "kind int, span long, chunk long, keys binary, posts binary, docs binary, times binary, goals binary"
 
 
 def _pack(spans: int):
     """Contexts, of which fewer are distinct, have a quarter of the ranges of pairs."""
     schema = arrow_schema(PACKED)
 
-    def ranges(kind: int, chunk: int, found: list[np.ndarray], targets: bytes) -> Iterator[tuple]:
-        """A row for each range of keys that the chunk has, keys in order."""
+    def ranges(kind: int, chunk: int, found: list[np.ndarray], goals: np.ndarray) -> Iterator[tuple]:
+        """A row for each range of keys that the chunk has, keys in order: how many documents have
+        each, which and how often, and how often target documents have it."""
         keys = np.concatenate(found)
+        if not len(keys):
+            return
         docs = np.repeat(np.arange(len(found)), [len(f) for f in found])
         order = np.argsort(keys, kind="stable")
         keys, docs = keys[order], docs[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, int)
-        times = np.diff(np.append(first, len(keys)))
-        distinct = keys[first]
+        fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
+        first = np.flatnonzero(fresh | np.concatenate(([True], docs[1:] != docs[:-1])))
+        times, docs, fresh = np.diff(np.append(first, len(keys))), docs[first], np.flatnonzero(fresh[first])
+        posts = np.diff(np.append(fresh, len(first)))
+        distinct = keys[first[fresh]]
+        target = np.add.reduceat(times * goals[docs], fresh)
         span = ((distinct >> np.uint64(16)) * np.uint64(spans if kind else 1 + spans // 4)) >> np.uint64(32)
-        cuts = np.flatnonzero(np.concatenate(([True], span[1:] != span[:-1]))) if len(span) else np.empty(0, int)
-        for a, b in zip(cuts, np.append(cuts[1:], len(span)), strict=True):
-            start, end = first[a], first[b] if b < len(first) else len(keys)
+        cuts = np.flatnonzero(np.concatenate(([True], span[1:] != span[:-1])))
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(span)).tolist(), strict=True):
+            start, end = fresh[a], fresh[b] if b < len(fresh) else len(first)
             steps = np.diff(distinct[a:b], prepend=np.uint64(0))
-            yield kind, int(span[a]), chunk, packed(steps), packed(times[a:b]), packed(docs[start:end]), targets
+            parts = (steps, posts[a:b], docs[start:end], times[start:end], target[a:b])
+            yield kind, int(span[a]), chunk, *map(packed, parts)
 
     def rows(chunk: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, goals, contexts, pairs = zip(*held, strict=True)
-        targets = packed(np.array(goals, np.uint64))
+        goals = np.array(goals, np.int64)
         named = np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)
         known = packed(np.array([i is not None for i in ids], np.uint64))
         sizes = packed(np.array([len(p) for p in pairs], np.uint64))
-        yield batch([(-1, chunk, chunk, packed(named), known, sizes, targets)])
-        yield from (batch([r]) for r in ranges(0, chunk, contexts, targets))
-        yield from (batch([r]) for r in ranges(1, chunk, pairs, targets))
+        yield batch([(-1, chunk, chunk, packed(named), known, sizes, None, None)])
+        yield from (batch([r]) for r in ranges(0, chunk, contexts, goals))
+        yield from (batch([r]) for r in ranges(1, chunk, pairs, goals))
 
     def batch(found: list[tuple]) -> pa.RecordBatch:
         columns = zip(*found, strict=True)
@@ -164,17 +170,16 @@ def _sum(vocabulary: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, _), found in _grouped(batches, "kind", "span"):
             if kind < 0:
-                for _, _, chunk, ids, known, sizes, _ in found:
+                for _, _, chunk, ids, known, sizes, _, _ in found:
                     yield row(chunk, kind, ids, known, sizes, None)
                 continue
             held, keys, alls, goals = [], [], [], []
-            for _, _, chunk, steps, times, docs, targets in found:
-                n = unpacked(times).astype(np.int64)
-                goal = unpacked(targets)[unpacked(docs).astype(np.int64)]
+            for _, _, chunk, steps, posts, docs, times, target in found:
+                n = unpacked(posts).astype(np.int64)
                 keys.append(np.cumsum(unpacked(steps), dtype=np.uint64))
-                alls.append(n.astype(np.int32))
-                goals.append(np.add.reduceat(goal, np.cumsum(n) - n).astype(np.int32))
-                held.append((chunk, times, docs))
+                alls.append(np.add.reduceat(unpacked(times).astype(np.int64), np.cumsum(n) - n).astype(np.int32))
+                goals.append(unpacked(target).astype(np.int32))
+                held.append((chunk, posts, docs, times))
             cuts = np.cumsum([len(k) for k in keys])[:-1]
             _, place = np.unique(np.concatenate(keys), return_inverse=True)
             del keys
@@ -184,12 +189,13 @@ def _sum(vocabulary: int):
                 sign * np.log2(np.bincount(place, np.concatenate(c)) + more) for c in (goals, alls)
             )
             del alls, goals
-            for (chunk, times, docs), own in zip(held, np.split(place, cuts), strict=True):
-                n, doc = unpacked(times).astype(np.int64), unpacked(docs).astype(np.int64)
+            for (chunk, posts, docs, times), own in zip(held, np.split(place, cuts), strict=True):
+                n, doc = unpacked(posts).astype(np.int64), unpacked(docs).astype(np.int64)
+                often = unpacked(times).astype(np.float64)
                 some = np.flatnonzero(np.bincount(doc))
                 # the difference is far smaller than the loss, so it is rounded by itself
                 terms = (target[own], target[own] - background[own])
-                sums = [np.bincount(doc, np.repeat(t, n))[some].astype(np.float32) for t in terms]
+                sums = [np.bincount(doc, np.repeat(t, n) * often)[some].astype(np.float32) for t in terms]
                 yield row(chunk, kind, packed(some), None, None, np.concatenate(sums).tobytes())
 
     return run
@@ -250,9 +256,12 @@ def good_documents(labels: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame) -> tuple[int, int]:
-    """The distinct words of all documents, about, and all words; one row for the driver."""
+    """The distinct words of all documents, and all words; one row for the driver.
+
+    Each task sends every word once a while; hashes of 64 bits are told apart by grouping.
+    """
     found = docs.select("text").mapInArrow(_distinct, "word long, n long")
-    row = found.agg(F.approx_count_distinct("word", 0.01), F.sum("n")).first()
+    row = found.groupBy("word").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
     return max(1, row[0]), row[1] or 0
 
 
