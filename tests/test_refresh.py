@@ -507,3 +507,26 @@ def test_duty_after_every_batch(spark, store, tmp_path):
     plan = duty.read_plan(spark, root).first()
     assert (plan.total_buckets, plan.in_db, plan.to_update, plan.orphans, plan.mode) == (5, 3, 4, 1, "per-bucket")
     assert rows_of(duty.read_worklist(spark, root, 2)) == got[:2]
+
+
+def test_snapshot_beside_its_table_stays_small(spark, store, tmp_path):
+    root = tmp_path / "serving"
+
+    def publish(version):
+        cur = store.tables(spark).cur
+        serving.publish_serving(cur, str(root), version, NOW, table=store.current, table_version=version)
+        return sum(f.stat().st_size for f in (root / "data" / f"version={version}").rglob("*.parquet"))
+
+    refresh.bulk_refresh(spark, store, documents(spark, [f"b{i:05d}" for i in range(200)], NOW))
+    first = publish(1)
+    before = serving.read_section(spark, str(root), "all_buckets").collect()
+    refresh.bulk_refresh(spark, store, documents(spark, [f"b{i:05d}" for i in range(4000)], NOW, size=9))
+    # a reader of the old version still finds its rows
+    assert [r.size_bytes for r in before] == [1024] * 200
+    second = publish(2)
+    rows = serving.read_section(spark, str(root), "all_buckets").collect()
+    assert [r.bucket_name for r in rows] == [f"b{i:05d}" for i in range(4000)] and {r.size_bytes for r in rows} == {9}
+    assert rows[0].collected_at == str(NOW) + ".000000" or rows[0].collected_at == str(NOW)
+    assert second < 1.5 * first
+    assert serving.read_section(spark, str(root), "all_buckets", 3).count() == 3
+    assert serving.read_section(spark, str(root), "summary").first().total_buckets == 4000

@@ -559,6 +559,14 @@ SELECT bucket_name, owner, size_bytes, num_objects, {_TEXT} AS collected_at, num
 FROM cur ORDER BY bucket_name
 """,
 )
+_put(
+    "serving_read_table",
+    f"""
+SELECT bucket_name, concat('user-', user_id % 10) AS owner, size_bytes, num_objects,
+       {_TEXT} AS collected_at, CAST(11 + user_id % 5 AS INTEGER) AS num_shards
+FROM latest
+""",
+)
 _put(
     "serving_age",
     f"""

@@ -507,6 +507,17 @@ def serving_read_all(p: Proxies) -> DataFrame:
     return serving.read_section(p.spark, _published(p), "all_buckets")
 
 
+@_query
+def serving_read_table(p: Proxies) -> DataFrame:
+    """All rows as a snapshot shows them that was published with its table after a refresh."""
+    store, root = _store(p), work_dir(p.spark, "serving")
+    refresh.bulk_refresh(p.spark, store, _documents(p))
+    cur = store.tables(p.spark).cur
+    version = store.last_version(p.spark)
+    serving.publish_serving(cur, root, version, AS_OF, table=store.current, table_version=version)
+    return serving.read_section(p.spark, root, "all_buckets")
+
+
 @_query
 def serving_age(p: Proxies) -> DataFrame:
     return serving.serving_age(p.spark, _published(p), AS_OF)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from usagelens.functions.times import age_seconds, iso_text, ntz
 from usagelens.operators.replication import lagging_by_entries, with_status
 from usagelens.operators.summary import cluster_summary, freshness_bands, summary_by_owner
+from usagelens.schemas import ADDED_LATER, CURRENT
 from usagelens.sinks import versions
+from usagelens.sinks.keyed import KeyedTable
 
 # Rows per section.
 TOP = 100
@@ -50,6 +52,10 @@ _NEEDED = [
     "sync_behind_entries",
 ]
 
+# Place of ``all_buckets`` among the sections.
+_ROWS_AT = list(SECTIONS).index("all_buckets")
+_STAMP = "updated timestamp_ntz, newest timestamp_ntz, table string, shards int, table_version bigint"
+
 
 def _text(name: str) -> Column:
     return iso_text(F.col(name), " ").alias(name)
@@ -62,8 +68,8 @@ def _section(name: str, rows: DataFrame, order: list[Column] | None) -> DataFram
     return rows.select(F.lit(name).alias("section"), rank.alias("rank"), json)
 
 
-def serving_snapshot(cur: DataFrame, as_of: datetime) -> DataFrame:
-    """All sections in long form.
+def serving_snapshot(cur: DataFrame, as_of: datetime, rows: bool = True) -> DataFrame:
+    """All sections in long form, ``all_buckets`` only with ``rows``.
 
     Ranked sections hold at most ``TOP`` rows or one row per status or band, so ranking them
     in one task is safe. ``all_buckets`` grows with the table and is not ranked: its order
@@ -126,6 +132,8 @@ def serving_snapshot(cur: DataFrame, as_of: datetime) -> DataFrame:
             [F.desc("entries_behind"), name],
         ),
     ]
+    if not rows:
+        del parts[_ROWS_AT]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -133,29 +141,60 @@ def serving_snapshot(cur: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def publish_serving(
-    cur: DataFrame, root: str, version: int, as_of: datetime, keep: int = 3
+    cur: DataFrame,
+    root: str,
+    version: int,
+    as_of: datetime,
+    keep: int = 3,
+    table: KeyedTable | None = None,
+    table_version: int = 0,
 ) -> None:
     """Write the snapshot as a new version; readers switch when it is complete.
 
-    The newest ``keep`` versions stay, so a reader of the one before is not disturbed.
+    The newest ``keep`` versions stay, so a reader of the one before is not disturbed. If ``cur``
+    is a version of a ``table``, its rows are not written once more: the snapshot names the version, and
+    ``all_buckets`` is read there, as long as the table keeps it. What is written then does not
+    grow with the table.
     """
     spark = cur.sparkSession
     rows = cur.select(*_NEEDED).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         target = versions.data_path(root, version)
         (
-            serving_snapshot(rows, as_of)
+            serving_snapshot(rows, as_of, rows=table is None)
             .write.mode("overwrite")
             .partitionBy("section")
             .parquet(target)
         )
-        stamp = rows.agg(F.max("collected_at").alias("newest")).select(ntz(as_of).alias("updated"), "newest")
+        place = (table.root, table.shards, table_version) if table else (None, None, None)
+        stamp = rows.agg(F.max("collected_at").alias("newest")).select(
+            ntz(as_of).alias("updated"),
+            "newest",
+            F.lit(place[0]).cast("string").alias("table"),
+            F.lit(place[1]).cast("int").alias("shards"),
+            F.lit(place[2]).cast("bigint").alias("table_version"),
+        )
         versions.commit(stamp, root, version)
         versions.drop_old(spark, root, keep)
     finally:
         rows.unpersist()
 
 
+def _rows_of_table(spark: SparkSession, root: str, version: int) -> DataFrame | None:
+    """``all_buckets`` from the table version that a snapshot names; None if it has its own rows."""
+    stamp = versions.read_commit(spark, root, version, _STAMP).first()
+    if stamp["table"] is None:
+        return None
+    table = KeyedTable(stamp["table"], CURRENT, ("bucket_name",), (), stamp["shards"], ADDED_LATER)
+    rows = table.read(spark, stamp["table_version"])
+    columns = [_text(c) if c == "collected_at" else F.col(c) for c in _fields("all_buckets")]
+    return rows.select(*columns).orderBy("bucket_name")
+
+
+def _fields(section: str) -> list[str]:
+    return [field.split()[0] for field in SECTIONS[section].split(", ")]
+
+
 def read_section(
     spark: SparkSession, root: str, section: str, limit: int | None = None
 ) -> DataFrame | None:
@@ -165,6 +204,10 @@ def read_section(
         return None
     if section == UPDATED:
         return versions.read_commit(spark, root, version, "updated timestamp_ntz")
+    if section == "all_buckets":
+        whole = _rows_of_table(spark, root, version)
+        if whole is not None:
+            return whole if limit is None else whole.limit(limit)
     rows = (
         spark.read.schema("rank int, json string, section string")
         .parquet(versions.data_path(root, version))

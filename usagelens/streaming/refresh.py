@@ -48,7 +48,8 @@ def _started(
         now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
         newest = store.last_version(spark)
         if serving_root:
-            publish_serving(store.tables(spark).cur, serving_root, newest, now)
+            cur = store.tables(spark).cur
+            publish_serving(cur, serving_root, newest, now, table=store.current, table_version=newest)
         if duty_root and inventory:
             publish_duty(inventory(), store.tables(spark).cur, duty_root, newest, now)
         store.drop_old(spark, keep)
