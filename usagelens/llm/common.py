@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +33,8 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def read_table(path: str, columns: list[str]) -> pa.Table:
     """A Parquet folder of the shared storage, read by a task's Python itself."""
+    from pyarrow import dataset, fs  # large libraries, which other tasks do without
+
     scheme, found, rest = path.partition("://")
     scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
     place = f"{scheme}://{rest}" if found else path.removeprefix("file:")

@@ -24,7 +24,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -231,14 +230,15 @@ def build(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_B
     folder, numbers = work_dir(spark, "llm-automata"), ()
     if count:
 
-        def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            items = [(item, text.split()) for item, text in zip(rows["item"], rows["words"], strict=True)]
-            data = pickle.dumps(Automaton(items, window), pickle.HIGHEST_PROTOCOL)
-            return pd.DataFrame({"block": [key[0]], "data": [data]})
+        def one(key: tuple, rows: pa.Table) -> pa.Table:
+            items, texts = (rows.column(c).to_pylist() for c in ("item", "words"))
+            found = Automaton(zip(items, (t.split() for t in texts), strict=True), window)
+            data = pickle.dumps(found, pickle.HIGHEST_PROTOCOL)
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
 
         row = F.xxhash64("item", "words", F.monotonically_increasing_id())
         dealt = pieces.withColumn("block", F.pmod(row, F.lit(count)))
-        built = dealt.groupBy("block").applyInPandas(one, "block long, data binary")
+        built = dealt.groupBy("block").applyInArrow(one, "block long, data binary")
         built.write.partitionBy("block").parquet(folder)
         # one row per block that got items
         found = spark.read.schema("data binary, block long").parquet(folder).select("block").distinct()
@@ -284,6 +284,7 @@ def _held(batches: Iterable[pa.RecordBatch], blocks: Blocks) -> Iterator[pa.Reco
     """Small batches; larger ones if several blocks are to be loaded for each."""
     if len(blocks.numbers) < 2:
         yield from in_parts(batches)
+        _LOADED.clear()  # a worker goes on with other tasks
         return
     held: list[pa.RecordBatch] = []
     for batch in in_parts(batches, 50):
@@ -293,6 +294,7 @@ def _held(batches: Iterable[pa.RecordBatch], blocks: Blocks) -> Iterator[pa.Reco
             held = []
     if held and sum(b.num_rows for b in held):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    _LOADED.clear()
 
 
 HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
