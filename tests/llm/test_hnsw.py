@@ -90,3 +90,20 @@ def test_odd_vectors(spark):
     together = [(1, 4, 1, True), (2, 4, 1, False), (2, 4, 1, False), (3, 4, 1, False), (14, 4, 1, False)]
     assert got == sorted([*alone, *together, (13, 1, 13, True), (0, 1, 13, False), (0, 0, 0, False)])
     assert hnsw.near_duplicates(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_audit_counts_no_point_as_its_own_link():
+    """Rare links: 4,000 free points and 40 pairs; an audit of queries from elsewhere, too."""
+    rng = np.random.default_rng(6)
+    free = rng.normal(size=(4000, 32))
+    pairs = free[:40] + 0.02 * rng.normal(size=(40, 32))
+    shard = hnsw.Shard(np.concatenate([free, pairs]))
+    assert 0 < shard.true <= 200 and shard.hits >= hnsw.RECALL * shard.true
+    before = shard.true
+    shard.audit(hnsw.unit_rows(free[::4] + 0.02 * rng.normal(size=(1000, 32))))
+    assert shard.true >= before + hnsw.AUDIT and shard.recall >= hnsw.RECALL
+
+
+def test_links_count_both_ways():
+    got = hnsw._both_ways([np.array([0, 2]), np.array([1]), np.array([2]), np.array([0], np.int64)])
+    assert [x.tolist() for x in got] == [[0, 2, 3], [1], [0, 2], [0]]

@@ -2,8 +2,9 @@
 
 Vectors of one label are dealt into shards of bounded size. Each shard builds its own graph;
 every vector of the label searches every shard of it. A beam is widened for all queries until
-an audit against brute force finds enough of the true links, and for a query alone as long as its beam
-is full of links. Candidates are verified by cosine in double precision, and links become
+audits against brute force find enough of the true links: one of the shard's own points, which do
+not count as their own links, one of the queries that come from other shards. For a query alone it
+is widened as long as it is full of links. Links inside a shard count for both ends, whichever found them. Candidates are verified by cosine in double precision, and links become
 components.
 
 Equal vectors of a label collapse to one class first, so a group of copies costs as much as
@@ -35,6 +36,8 @@ DEGREE = 12
 BEAM = 32
 #: Queries of a shard held against brute force, and the share of their links to be found.
 AUDIT, RECALL = 64, 0.99
+#: An audit takes more queries until they have as many links as that, but not more than these.
+MOST_AUDITED = 1024
 _QUERIES = 512
 #: What single precision may lose of a cosine.
 _ROUNDING = 1e-5
@@ -180,18 +183,35 @@ class Shard:
         self.graph = Graph(self.unit) if len(vectors) > 8 * DEGREE else None
         self.beam = BEAM
         self.recall = 1.0
+        #: links that the audits counted, and how many of them were found
+        self.true = self.hits = 0
         if self.graph:
-            self._audit()
+            self.audit(self.unit, own=True)
 
-    def _audit(self) -> None:
-        """Widens the beam until enough of the links of some points, evenly taken, are found."""
-        some = np.unique(np.linspace(0, len(self.unit) - 1, AUDIT).astype(np.int64))
-        true = [np.flatnonzero(row >= self.least) for row in self.unit[some] @ self.unit.T]
+    def audit(self, queries: np.ndarray, own: bool = False) -> None:
+        """Widens the beam until enough of the links of some queries are found.
+
+        Queries are taken evenly, more of them while they have few links, and held against brute
+        force. If they are the shard's ``own`` points, a point does not count as its own link.
+        """
+        if self.graph is None or not len(queries):
+            return
+        n, true, some = AUDIT, [], np.empty(0, np.int64)
         while True:
-            got = self.links(self.unit[some])
+            some = np.unique(np.linspace(0, len(queries) - 1, n).astype(np.int64))
+            true = [np.flatnonzero(row >= self.least) for row in queries[some] @ self.unit.T]
+            if own:
+                true = [t[t != q] for q, t in zip(some, true, strict=True)]
+            if sum(map(len, true)) >= AUDIT or n >= min(len(queries), MOST_AUDITED):
+                break
+            n *= 4
+        total = sum(map(len, true))
+        while total:
+            got = self.links(queries[some])
             hits = sum(len(np.intersect1d(g, t)) for g, t in zip(got, true, strict=True))
-            self.recall = hits / max(1, sum(map(len, true)))
-            if self.recall >= RECALL or 8 * self.beam >= len(self.unit):
+            if hits >= RECALL * total or 8 * self.beam >= len(self.unit):
+                self.true, self.hits = self.true + total, self.hits + hits
+                self.recall = self.hits / self.true
                 return
             self.beam *= 2
 
@@ -222,6 +242,14 @@ class Shard:
         return out
 
 
+def _both_ways(links: list[np.ndarray]) -> list[np.ndarray]:
+    """Links of n points, each also in the list of its other end."""
+    n = len(links)
+    a, b = np.repeat(np.arange(n), [len(x) for x in links]), np.concatenate([*links, np.empty(0, np.int64)]).astype(np.int64)
+    pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
+    return np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))
+
+
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     wide = vectors.astype(np.float64)
     return wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]
@@ -275,7 +303,7 @@ def _search(least: float):
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shard, held = None, None, []
+        key, shard, held, audited = None, None, [], False
         root = ids = copies = np.empty(0, np.int64)
 
         def build() -> pa.RecordBatch:
@@ -283,7 +311,7 @@ def _search(least: float):
             nonlocal shard, root, ids, copies
             ids, copies = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("class", "copies"))
             shard = Shard(np.concatenate([matrix(h) for h in held]), least)
-            found = shard.links(shard.unit)
+            found = _both_ways(shard.links(shard.unit))
             root = _roots(len(ids), found)
             return answers(found, ids, root, ids, copies)
 
@@ -298,12 +326,16 @@ def _search(least: float):
                 if keys[start] != key:
                     if held and shard is None:
                         yield build()
-                    key, shard, held = keys[start], None, []
+                    key, shard, held, audited = keys[start], None, [], False
                 if not query[start]:
                     held.append(part)
                     continue
                 if shard is None:
                     yield build()
+                if not audited:
+                    # by the hash of their class, so the first are like any others
+                    shard.audit(unit_rows(matrix(part.slice(0, MOST_AUDITED))))
+                    audited = True
                 for at in range(0, part.num_rows, _QUERIES):
                     some = part.slice(at, _QUERIES)
                     yield answers(shard.links(unit_rows(matrix(some))), some.column("class").to_numpy(), root, ids, copies)
