@@ -11,7 +11,8 @@ The template, rendered: ``### User: <text></turn>``, ``### Assistant: <text></tu
 Escaping puts a backslash before each control string and each backslash of a content.
 
 Defined cases: a null text or role is empty (a null role is the role ``''``); a null ``turn``
-sorts first; turns at one place, repeated rows too, are ordered by role and text; rows with a
+sorts first; turns at one place, repeated rows too, are ordered by role and the ids of their text; a
+text of any length is encoded whole, in its task's memory; rows with a
 null ``conv_id`` are one conversation; an empty table gives no rows; other columns are not
 read. Conversations of any length stream through their task turn by turn; no task holds one
 whole.

@@ -14,8 +14,8 @@ that can tell them has no feature, is unknown by the model, and is not looked at
 paragraphs that overlap, the one with the largest share of a template is reported, then the shortest.
 
 Defined cases: null and empty texts have no paragraphs; repeated rows are scanned each; a null
-``doc_id`` is kept; an empty table gives no rows (the model is then trained on the templates and
-fixed texts alone); other columns are not read.
+``doc_id`` is kept; texts are read whole, whatever their length; an empty table gives no rows (the
+model is then trained on the templates and fixed texts alone); other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ sequences of at most ``length`` tokens.
 
 Defined cases: a null or empty text is only the closing id; repeated rows and ids are packed
 each for itself; documents at one point of the curve (copies) are ordered by ``doc_id``, so a
-large group of them is dealt over many tasks; a null ``doc_id`` sorts first; an empty table
-gives no rows; other columns are not read.
+large group of them is dealt over many tasks; a null ``doc_id`` sorts first; a text of any length
+is encoded whole, in its task's memory, and cut into as many sequences as it needs; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

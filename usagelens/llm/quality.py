@@ -13,7 +13,8 @@ Defined cases: a null, empty or blank text has the features of an empty text; nu
 paths are sites of their own; labels that are null or repeated count by their largest value, and
 without usable labels every document's own evidence is even (0.5), so all stay at the default
 threshold; a null ``doc_id`` is classified like any other; repeated rows count each; empty tables
-give empty results; other columns pass through ``keep_good`` whatever their names.
+give empty results; texts are described whole, whatever their length; a probability that equals the
+threshold keeps its document; other columns pass through ``keep_good`` whatever their names.
 """
 
 from __future__ import annotations

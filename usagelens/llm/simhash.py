@@ -10,7 +10,8 @@ all its pairs.
 
 Defined cases: a null, empty or blank text has fingerprint zero, which links like any other;
 repeated rows and ids give one row each; a null ``doc_id`` keeps its row, but names a
-component only if it has no other id (then null); an empty table gives no rows; other
+component only if it has no other id (then null); a bit that is set in exactly half the
+shingles is 0; texts are taken whole, whatever their length; an empty table gives no rows; other
 columns are not read.
 """
 
