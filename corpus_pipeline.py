@@ -2,6 +2,12 @@
 
 Each stage's result is written as Parquet below ``spark.checkpoint.dir`` and read again as the
 next stage's documents; all but the last return the columns of ``documents``.
+
+Defined cases, beside those that the operators state: a null text counts as empty and stays null;
+null ids are documents of their own to every stage but near-dedup, which knows them by their text;
+of equal rows near-dedup keeps one; texts of any length go through whole; an empty table gives an
+empty result of the same columns; further columns of the documents, whatever their names, pass
+through all stages but the last.
 """
 
 from __future__ import annotations

@@ -530,3 +530,13 @@ def test_snapshot_beside_its_table_stays_small(spark, store, tmp_path):
     assert second < 1.5 * first
     assert serving.read_section(spark, str(root), "all_buckets", 3).count() == 3
     assert serving.read_section(spark, str(root), "summary").first().total_buckets == 4000
+
+
+def test_what_is_set_aside_stays(spark, store):
+    assert refresh.run_quarantine(spark, store).count() == 0
+    good = documents(spark, ["a"], NOW)
+    bad = spark.createDataFrame([("{broken", NOW), ('{"owner": "o"}', NOW)], good.schema)
+    refresh.bulk_refresh(spark, store, good)
+    refresh.bulk_refresh(spark, store, good.unionByName(bad))
+    rows = refresh.run_quarantine(spark, store).select("value", "reason", "version")
+    assert sorted(rows_of(rows)) == [('{"owner": "o"}', "no entity name", 2), ("{broken", "unreadable", 2)]

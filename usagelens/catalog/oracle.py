@@ -422,6 +422,24 @@ SELECT CAST(version AS BIGINT) AS version, mode, count(*) AS landed,
 FROM offered GROUP BY version, mode
 """,
 )
+# The documents as they landed, as far as their lengths go.
+_put(
+    "refresh_quarantine",
+    f""", {_KIND},
+texts AS (
+  SELECT *, concat('{{"bucket":"', bucket_name, '","num_shards":', 11 + user_id % 5, ',"id":"id-', user_id,
+    '","placement_rule":"default-placement","owner":"user-', user_id % 10, '","usage":{{"', storage_class,
+    '":{{"size":', size_bytes, ',"size_actual":', CAST(ceil(size_bytes / 4096.0) * 4096 AS BIGINT),
+    ',"size_utilized":', size_bytes, ',"num_objects":', num_objects, '}}}}}}') AS whole FROM kinds)
+SELECT CAST(1 AS BIGINT) AS version,
+       CASE WHEN kind = 'nameless' THEN 'no entity name' ELSE 'unreadable' END AS reason,
+       count(*) AS documents,
+       CAST(sum(CASE kind WHEN 'cut' THEN 20 WHEN 'array' THEN 6 WHEN 'nameless' THEN length(whole) - 1
+                ELSE length(whole) + length('"many","other":') END) AS BIGINT) AS characters,
+       max(collected_at) AS last_seen
+FROM texts WHERE kind IN ('cut', 'nameless', 'text shards', 'array') GROUP BY 2
+""",
+)
 _put(
     "stream_refresh_with_sync",
     """

@@ -396,6 +396,19 @@ def refresh_counters(p: Proxies) -> DataFrame:
     return refresh.run_metrics(p.spark, store).drop("seconds", "stream", "batch")
 
 
+@_query
+def refresh_quarantine(p: Proxies) -> DataFrame:
+    """What a bulk run set aside, as text, by reason."""
+    store = _store(p)
+    refresh.bulk_refresh(p.spark, store, _documents(p, damaged=True))
+    bad = refresh.run_quarantine(p.spark, store)
+    return bad.groupBy("version", "reason").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.sum(F.char_length("value")).alias("characters"),
+        F.max("collected_at").alias("last_seen"),
+    )
+
+
 def _spread_by_time(rows: DataFrame, path: str) -> None:
     """Files of one line per row, all of one landing time."""
     rows.select("value").write.text(path)

@@ -76,6 +76,9 @@ class StatsStore:
     def metrics_path(self, version: int) -> str:
         return version_path(f"{self.root}/metrics", version)
 
+    def quarantine_path(self, version: int) -> str:
+        return version_path(f"{self.root}/quarantine", version)
+
     def staging_path(self, version: int) -> str:
         """Parsed rows of a run in progress; on shared storage, so that lost executors cost nothing."""
         return version_path(f"{self.root}/staging", version)
@@ -117,6 +120,7 @@ class StatsStore:
                 versions.remove(spark, versions.data_path(root, version))
             versions.remove(spark, version_path(self.history_path, version))
             versions.remove(spark, self.metrics_path(version))
+            versions.remove(spark, self.quarantine_path(version))
         versions.remove(spark, self.staging_path(version))
         return started
 
@@ -250,8 +254,9 @@ def load_documents(
     if only is not None:
         documents = _on_list(documents, only)
     parsed = parse_documents(_spread(documents))
-    flags = ["named", "readable", "listed"]
-    parsed = parsed.withColumns({"named": named(), "readable": readable(), "listed": F.lit(True)})
+    flags = ["named", "readable", "listed", "bad_text"]
+    bad_text = F.when(~(named() & readable()), F.col("value"))
+    parsed = parsed.withColumns({"named": named(), "readable": readable(), "listed": F.lit(True), "bad_text": bad_text})
     if only is not None:
         listed = only.select(F.col("bucket_name").alias("_name"), F.lit(True).alias("_on")).distinct()
         parsed = parsed.join(listed, F.col("bucket") == F.col("_name"), "left")
@@ -291,6 +296,11 @@ def load_documents(
             writes.append(lambda: append_history(history, store.history_path, version))
         _run_together(spark, writes)
         seen = {**landed.get, **parsed_rows.get}
+        if seen["unreadable"] + seen["nameless"]:
+            reason = F.when(~F.col("readable"), "unreadable").otherwise("no entity name")
+            bad = rows.filter(F.col("listed") & ~(F.col("named") & F.col("readable")))
+            bad = bad.select(F.col("bad_text").alias("value"), "collected_at", reason.alias("reason"))
+            bad.write.mode("overwrite").parquet(store.quarantine_path(version))
         _write_metrics(spark, store, version, mode, batch, seen, known, time.monotonic() - started)
         # last: a run counts once all its tables are visible
         errors = seen["fetched"] - seen["collected"]
@@ -322,6 +332,16 @@ def _write_metrics(
     frame.coalesce(1).write.mode("overwrite").parquet(store.metrics_path(version))
 
 
+def run_quarantine(spark: SparkSession, store: StatsStore) -> DataFrame:
+    """``value, collected_at, reason, version`` of every landed row that is no document, of all complete runs."""
+    ddl = "value string, collected_at timestamp_ntz, reason string, version bigint"
+    last = store.last_version(spark)
+    root = f"{store.root}/quarantine"
+    if not versions.numbered(spark, root, "version"):
+        return spark.createDataFrame([], ddl)
+    return spark.read.schema(ddl).parquet(root).filter(F.col("version") <= last)
+
+
 def run_metrics(spark: SparkSession, store: StatsStore) -> DataFrame:
     """What became of the rows of every complete run, one row a run; runs stay when old versions go."""
     last = store.last_version(spark)
