@@ -51,6 +51,7 @@ def test_blocks_of_a_page():
     assert texts("a<script>never closed <p>b") == ["a"] and texts("a<!-- never closed <p>b") == ["a"]
     assert texts("a<p class='never closed") == ["a"] and texts("a</div></p>b") == ["a", "b"]
     assert texts("<div>a<p>b</div>c") == ["a", "b", "c"]
+    assert texts('a<ins class="ads">b</ins>c <ins>d</ins>') == ["a", "b", "c d"]
     assert blocks(None) == [] and blocks("") == [] and blocks("<p> <br> </p>") == []
 
 
@@ -58,7 +59,7 @@ def test_paths_tell_elements_and_names():
     a, b, c = blocks('<div class="sideBar-x"><p>a</p></div><p>b</p><div id="sidebar"><p>c')
     assert set(a.path) & set(c.path) > set(b.path) & set(a.path)
     deep = blocks("<div>" * 300 + "a")[0]
-    assert len(deep.path) == 24 and blocks("<div>a" * 3000)[-1].text == "a"
+    assert len(deep.path) == 2 * 24 and blocks("<div>a" * 3000)[-1].text == "a"
 
 
 def slow_scores(model, x, sizes):

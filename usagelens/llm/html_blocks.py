@@ -8,6 +8,7 @@ unfinished tag or comment takes the rest of the page, as in browsers.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import zlib
@@ -49,7 +50,7 @@ _P_SCOPE = frozenset("td th caption table button object".split())
 _TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
 #: Of a path, so many outer and inner elements are described.
 OUTER, INNER = 8, 16
-BUCKETS = 1024
+BUCKETS = 2048
 
 
 def bucket(token: str) -> int:
@@ -100,6 +101,12 @@ def _described(name: str, attrs: str) -> tuple[tuple[int, ...], str]:
     return own, mark
 
 
+@functools.lru_cache(4096)
+def _below(above: str, name: str) -> int:
+    """The bucket of an element in its parent: a header of an article is none of the page."""
+    return bucket(f"{above}>{name}")
+
+
 def blocks(page: str | None) -> list[Block]:
     """All blocks with text, in page order."""
     found: list[Block] = []
@@ -163,7 +170,9 @@ def blocks(page: str | None) -> list[Block]:
         if not name or not m[4]:  # a comment or declaration; a tag that the page ends in
             continue
         name = name.lower()
-        if name in INLINE:
+        # inserted text with a class is how some pages mark adverts
+        boxed = name == "ins" and (opened.get("ins") if m[1] else "class" in m[3])
+        if name in INLINE and not boxed:
             if name == "br":
                 pieces.append(" ")
             elif name == "a":
@@ -199,7 +208,9 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name == "body" and opened.get("head"):
             end(frozenset(["head"]), frozenset())
-        stack.append(_Element(name, *_described(name, m[3])))
+        tokens, mark = _described(name, m[3])
+        above = stack[-1].name if stack else ""
+        stack.append(_Element(name, (*tokens, _below(above, name)), mark))
         opened[name] = opened.get(name, 0) + 1
     flush()
     return found

@@ -24,7 +24,7 @@ WORDS = 8192
 SHRINK = 3
 PATH_WIDTH, WORD_WIDTH, HIDDEN = 24, 12, 24
 #: Sampled pages, passes over them, pages of a step.
-PAGES, PASSES, BATCH = 1400, 8, 24
+PAGES, PASSES, BATCH = 2000, 8, 24
 _MEASURES = 14
 _SPLIT = re.compile(r"\w+|[^\w\s]+")
 _KNOWN: dict[str, int] = {}
@@ -285,7 +285,7 @@ def _joined(parts: list[Inputs]) -> Inputs:
     )
 
 
-def _dropped(x: Inputs, rng: np.random.Generator, share: float = 0.06) -> Inputs:
+def _dropped(x: Inputs, rng: np.random.Generator, share: float = 0.03) -> Inputs:
     path, word = rng.random(len(x.path)) > share, rng.random(len(x.word)) > 0.2
     # of some blocks only the place in the page is seen
     measures = x.measures.copy()

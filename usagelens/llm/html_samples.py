@@ -41,7 +41,7 @@ _NAMES = {
     "see-also more-stories",
     "notice": "notice cookie cookie-banner cookies consent gdpr alert warning popup modal overlay paywall message toast "
     "subscribe-wall cookieNotice announcement",
-    "advert": "ad ads advert advertisement sponsor sponsored promo banner-ad adsense ad-slot dfp promotion adBox commercial teaser-ad",
+    "advert": "ad ads advert advertisement sponsor sponsored promo banner-ad adsense ad-slot dfp promotion adBox commercial teaser-ad adsbygoogle google-ads",
     "form": "form search search-form login login-form contact signup newsletter subscribe register contactForm input-group",
     "comments": "comments comment comment-list discussion disqus respond replies commentlist reader-comments thread guestbook "
     "commentSection user-comments feedback",
@@ -49,11 +49,11 @@ _NAMES = {
 _ELEMENTS = {
     "article": "article article article main div div div section td",
     "menu": "nav nav nav div ul menu",
-    "header": "header header div",
+    "header": "header header div div",
     "footer": "footer footer footer div",
-    "sidebar": "aside aside div section td",
+    "sidebar": "aside aside div div section td",
     "notice": "div div section p noscript dialog aside",
-    "advert": "div div aside section p iframe-less",
+    "advert": "div div div aside section p ins",
     "form": "form form form div fieldset",
     "comments": "section div div ol ul aside",
 }
@@ -125,26 +125,29 @@ class Sampler:
             if rng.random() < 0.25:
                 name += rng.choice([" clearfix", " row", "-1", " col-md-8", "_x7"])
             return f' {rng.choice(["class", "class", "id"])}="{name}"'
-        if kind < 0.72:
+        if kind < 0.66:
             return f' class="{self.word()}-{rng.randint(1, 99)}"'
         return ""
 
     def element(self, role: str) -> str:
-        name = self.rng.choice(_ELEMENTS[role].split())
-        return "div" if name == "iframe-less" else name
+        return self.rng.choice(_ELEMENTS[role].split())
 
     def part(self, role: str, inner: str) -> str:
         """A container of one role. A plain one without any name gets one."""
         name = self.element(role)
-        if name == "p" and any(f"<{x}" in inner for x in ("p", "div", "ul", "h", "button", "article")):
+        if name == "td" and role != "article" and self.rng.random() < 0.7:
+            name = "div"
+        if name in ("p", "ins") and any(f"<{x}" in inner for x in ("p", "div", "ul", "h", "button", "article")):
             name = "div"  # a paragraph holds no blocks
         attrs = self.name(role)
-        if name in ("div", "td", "section", "p", "ul", "ol", "aside", "dialog", "fieldset") and "=" not in attrs:
+        if name in ("div", "td", "section", "p", "ul", "ol", "ins", "dialog", "fieldset") and "=" not in attrs:
+            attrs = f' class="{self.rng.choice(_NAMES[role].split())}"'
+        if name == "ins":
             attrs = f' class="{self.rng.choice(_NAMES[role].split())}"'
         if role == "notice" and self.rng.random() < 0.15:
             attrs += ' style="display:none"'
         wrap = inner
-        if name != "p" and self.rng.random() < 0.3:
+        if name not in ("p", "ins") and self.rng.random() < 0.3:
             wrap = f"<div{self.rng.choice(['', ' class=inner', ' class=container'])}>{inner}</div>"
         if name == "td":
             return f'<table><tr><td{attrs} data-mark="{role}">{wrap}</td></tr></table>'
@@ -163,46 +166,64 @@ class Sampler:
             return rng.choice([" | ", " ", " &gt; ", "\n"]).join(items)
         return "".join(f"<div>{x}</div>" for x in items)
 
+    def body(self, role: str) -> str:
+        """What such a part holds: a text, paragraphs, headings with prose, links. An advert, a notice
+        or a comment may read like an article, only its place and names tell."""
+        rng, kind = self.rng, self.rng.random()
+        if kind < 0.3:
+            return self.said(role)
+        if kind < 0.5:
+            return f"<p>{self.said(role)}</p>"
+        if kind < 0.6:
+            return self.linked_list(role)
+        inner = ""
+        if rng.random() < 0.6:
+            h = rng.choice(["h1", "h2", "h2", "h3", "h3", "h4", "p", "div"])
+            inner = f"<{h}>{self.said(role)}</{h}>"
+        for _ in range(rng.randint(1, 3)):
+            text = self.said(role) if rng.random() < 0.3 else self.prose(self.length())
+            inner += rng.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<div>{text}</div>", f"<p>{text} {self.link(self.word())}</p>"])
+        if rng.random() < 0.2:
+            inner += f"<button>{self.said(role)}</button>"
+        return inner
+
     def menu(self) -> str:
         return self.part("menu", self.linked_list("menu"))
 
     def header(self) -> str:
         rng = self.rng
-        inner = rng.choice([f"<h1>{self.said('header')}</h1>", f"<p>{self.link(self.said('header'))}</p>", self.said("header")])
-        if rng.random() < 0.4:
-            inner += f"<p>{self.said('header')}</p>"
-        out = self.part("header", inner)
-        return out if rng.random() < 0.6 else out.replace("</", self.menu() + "</", 1) if "</h1" not in out else out
+        inner = f"<h1>{self.said('header')}</h1>" if rng.random() < 0.4 else ""
+        inner += self.body("header")
+        if rng.random() < 0.3:
+            inner += self.menu()
+        return self.part("header", inner)
 
     def footer(self) -> str:
         rng = self.rng
-        inner = "".join(rng.choice([f"<p>{self.said('footer')}</p>", f"<div>{self.said('footer')}</div>"]) for _ in range(rng.randint(0, 3)))
-        if rng.random() < 0.4:
-            inner += self.linked_list("footer")
-        if not inner or rng.random() < 0.4:
+        inner = self.body("footer")
+        if rng.random() < 0.5:
             inner = f"&copy; {self.word()}.example.net &middot; {self.said('footer')}" + inner
+        if rng.random() < 0.2:
+            inner += self.menu()
         return self.part("footer", inner)
 
     def sidebar(self) -> str:
         rng = self.rng
-        inner = f"<{(h := rng.choice(['h3', 'h4', 'h2', 'p', 'strong']))}>{self.said('sidebar')}</{h}>"
-        inner += self.linked_list("sidebar") if rng.random() < 0.7 else f"<p>{self.prose(self.length())}</p>"
-        return self.part("sidebar", inner)
+        if rng.random() < 0.5:
+            return self.part("sidebar", self.body("sidebar"))
+        h = rng.choice(["h3", "h4", "h2", "p", "strong"])
+        return self.part("sidebar", f"<{h}>{self.said('sidebar')}</{h}>{self.linked_list('sidebar')}")
 
     def notice(self) -> str:
-        rng = self.rng
-        inner = self.said("notice") if rng.random() < 0.5 else f"<p>{self.said('notice')}</p><button>{self.said('notice')}</button>"
-        return self.part("notice", inner)
+        return self.part("notice", self.body("notice"))
 
     def advert(self) -> str:
-        rng = self.rng
-        text = self.said("advert") if rng.random() < 0.7 else self.prose(rng.randint(5, 40))
-        out = self.part("advert", rng.choice([text, f"<p>{text}</p>", self.link(text)]))
-        return f"<!-- ad {rng.randint(0, 999)} -->{out}" if rng.random() < 0.3 else out
+        out = self.part("advert", self.body("advert"))
+        return f"<!-- ad {self.rng.randint(0, 999)} -->{out}" if self.rng.random() < 0.3 else out
 
     def form(self) -> str:
         rng = self.rng
-        inner = ""
+        inner = self.body("form") if rng.random() < 0.3 else ""
         for _ in range(rng.randint(1, 4)):
             inner += rng.choice(
                 [
@@ -268,9 +289,12 @@ class Sampler:
                 out.append(f"<pre>{self.prose(self.length())}</pre>")
             elif kind < 0.98:
                 out.append(f"<div>{self.prose(self.length())}</div>")
-            elif rng.random() < 0.7:
+            else:
                 out.append(rng.choice(inside)())
-        if rng.random() < 0.15:
+        if rng.random() < 0.4:
+            for _ in range(rng.randint(1, 2)):
+                out.insert(rng.randint(1, len(out)), rng.choice(inside)())
+        if rng.random() < 0.2:
             out.append(rng.choice([self.comments, self.sidebar, self.form, self.advert])())
         return self.part("article", "".join(out))
 
