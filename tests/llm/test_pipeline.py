@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import random
+import re
+import subprocess
+import sys
+from pathlib import Path
+
 import corpus_pipeline as pipeline
+import pyarrow as pa
 from test_decontam import slow_scan
 from test_packing import check as check_pieces
 from test_secret_scan import slow_base, slow_entropy
 from test_simhash import slow_components, slow_fingerprint
 
-from usagelens.llm import quality
+from usagelens.llm import packing, quality
 from usagelens.llm.common import table, written
 
+ROOT = Path(__file__).resolve().parents[2]
 SF = "/root/testdata/sf0.001"
 
 
@@ -77,3 +85,36 @@ def test_stages_take_odd_rows(spark):
             now, _ = written(stage(spark, now, SF), "test-odd")
         if docs.isEmpty():
             assert now.count() == 0
+
+
+class Run:
+    """Takes a frame's place and keeps the function that workers would get."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_workers_return_memory(spark):
+    run = packing.tokenized(Run(), packing.public_tokenizers.path(packing.TOKENIZER))
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(5000)}, {rng.random()}" for _ in range(100)) for _ in range(2500)]
+    pool, batch = pa.default_memory_pool(), pa.RecordBatch.from_pydict({"doc_id": range(2500), "text": texts})
+
+    def held():
+        found = re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())
+        return int(found[1]) / 1024
+
+    pool.release_unused()
+    assert sum(b.num_rows for b in run([batch])) == 2500
+    after = held()
+    pool.release_unused()
+    assert after - held() < 10  # MB; Arrow kept several times the batch
+
+
+def test_workers_do_without_pandas():
+    code = "import sys, usagelens.llm.quality, usagelens.llm.simhash, usagelens.llm.packing; print('pandas' in sys.modules)"
+    got = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert got.stdout.strip() == "False"

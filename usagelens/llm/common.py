@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +67,19 @@ def in_parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.
         yield from pieces(batch, rows)
 
 
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``; after it Arrow returns the memory that it holds unused.
+
+    A worker stays for other tasks and waits beside those at work.
+    """
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """(node, root) of every node of the undirected edges (a long, b long).
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import arrow_schema, discard, in_parts, read_table, written
+from usagelens.llm.common import arrow_schema, discard, in_parts, lean, read_table, written
 from usagelens.session import work_dir
 
 # A-Z to lower case; every other ASCII byte that is no word character to a space. Bytes of
@@ -318,7 +318,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 schema=schema,
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, HITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(lean(run), HITS)
 
 
 def clean_text(text: str | None, spans: list[list[int]]) -> str | None:
@@ -373,4 +373,4 @@ def decontaminate(
             out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-from usagelens.llm.common import arrow_schema, in_parts, written
+from usagelens.llm.common import arrow_schema, in_parts, lean, written
 
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH = 1024
@@ -221,7 +221,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
                 [batch.column(0), pa.array(keys), pa.array(closed, pa.binary())], schema=schema
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), ddl)
 
 
 PIECES = (
@@ -289,7 +289,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     coded, _ = written(tokenized(docs, path), "packing-ids")
     along = coded.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
-    return along.mapInArrow(_sequences(length), PIECES)
+    return along.mapInArrow(lean(_sequences(length)), PIECES)
 
 
 def piece_digests(packed: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def piece_digests(packed: DataFrame) -> DataFrame:
             columns = [*batch.columns[:3], pa.array(sums, pa.int64()), *batch.columns[4:]]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return packed.mapInArrow(run, ddl)
+    return packed.mapInArrow(lean(run), ddl)
 
 
 def decoded(ids: bytes) -> np.ndarray:

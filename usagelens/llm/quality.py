@@ -23,11 +23,11 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import written
+from usagelens.llm.common import in_parts, lean, written
 
 #: Labelled documents the classifier is fitted on at most, taken by the hash of their id.
 FIT_ROWS = 20_000
@@ -107,30 +107,35 @@ def trained(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_row
     )
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(one), "doc_id")
 
-    def shapes(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"good": frame["good"], "x": [features(t) for t in frame["text"]]})
+    schema = pa.schema([("good", pa.int32()), ("x", pa.list_(pa.float64()))])
 
-    rows = sample.select("good", "text").mapInPandas(shapes, "good int, x array<double>")
+    def shapes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches):
+            x = pa.array([features(t) for t in batch.column(1).to_pylist()], schema.field("x").type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), x], schema=schema)
+
+    rows = sample.select("good", "text").mapInArrow(lean(shapes), "good int, x array<double>")
     # ids may be repeated in the documents: the bound holds for rows too
-    found = rows.limit(2 * fit_rows).toPandas()
-    x = np.array(found["x"].tolist()).reshape(-1, WIDTH)
-    return fit(x, found["good"].to_numpy(float))
+    found = rows.limit(2 * fit_rows).toArrow()
+    x = np.array(found.column("x").to_pylist()).reshape(-1, WIDTH)
+    return fit(x, found.column("good").to_numpy().astype(float))
 
 
 def own_evidence(model) -> object:
     """A function of the text column: the classifier's probability, not quite 0 or 1."""
     mean, scale, w = model
 
-    @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
-        known: dict[str | None, list[float]] = {}
-        for t in texts:
-            if t not in known:
-                known[t] = features(t)
-        x = np.array([known[t] for t in texts]).reshape(-1, WIDTH)
+    def shapes(texts: pa.Array) -> np.ndarray:
+        coded = texts.fill_null("").dictionary_encode()
+        known = np.array([features(t.as_py()) for t in coded.dictionary]).reshape(-1, WIDTH)
+        return known[coded.indices.to_numpy()]
+
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        x = shapes(texts)
+        pa.default_memory_pool().release_unused()
         logit = np.clip((x - mean) / scale @ w[:-1] + w[-1], -12, 12)
-        return pd.Series(1 / (1 + np.exp(-logit)))
+        return pa.array(1 / (1 + np.exp(-logit)))
 
     return probability
 

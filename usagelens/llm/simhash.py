@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from usagelens.llm.common import arrow_schema, components, in_parts, written
+from usagelens.llm.common import arrow_schema, components, in_parts, lean, written
 
 SEED = 42
 RADIUS = 3
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
             fps = pa.array(np.array(values, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(lean(run), ddl)
 
 
 def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,10 +194,10 @@ def near_duplicates(docs: DataFrame, *more: str) -> DataFrame:
     distinct, _ = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
     edges = (
         distinct.select("fp")
-        .mapInArrow(_emit, "key long, fp long")
+        .mapInArrow(lean(_emit), "key long, fp long")
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(_meet, "a long, b long")
+        .mapInArrow(lean(_meet), "a long, b long")
     )
     groups = components(edges, "simhash-components").withColumnRenamed("node", "fp")
     named, _ = written(
@@ -250,7 +250,7 @@ def _keep_nameless(nameless: DataFrame, near: DataFrame) -> DataFrame:
     chosen = (
         nameless.select("text")
         .distinct()
-        .mapInArrow(_with_fingerprint, "text string, fingerprint string")
+        .mapInArrow(lean(_with_fingerprint), "text string, fingerprint string")
         .join(free, "fingerprint")
         .groupBy("component_fp")
         .agg(F.min(F.struct(F.col("text").isNotNull(), "text")).alias("t"))
